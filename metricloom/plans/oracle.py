@@ -94,7 +94,7 @@ CTES: dict[str, str] = {
         JOIN store t ON t.agent_id = s.agent_id AND t.rn <= r.last_n_rows
         GROUP BY ALL""",
     "documents_json": """
-        SELECT r.fleet_id, r.last_n_rows, 0 AS page,
+        SELECT r.fleet_id, r.last_n_rows, 0::BIGINT AS page,
                '{"fleetId":"' || r.fleet_id || '","activeAgentCount":' || count(a.agent_id) || ',"agents":['
                || coalesce(string_agg('{"agentId":"' || a.agent_id || '","avgCpuUtilizationPct":'
                       || round(a.avg_cpu_utilization_pct, 9) || ',"lastSeenUnixMs":"' || a.last_seen_unix_ms
