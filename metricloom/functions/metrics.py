@@ -19,13 +19,16 @@ def cpu_or_zero() -> Column:
 def memory_pct() -> Column:
     """Used share of memory in percent; null when the total is 0 or unknown."""
     used = F.coalesce(F.col("system.memory_used_bytes").cast("double"), F.lit(0.0))
-    total = F.col("system.memory_total_bytes").cast("double")
-    return F.when(total > 0, F.try_divide(used, total) * 100)
+    return F.try_divide(used, F.col("system.memory_total_bytes").cast("double")) * 100
 
 
 def exceeds(value: Column, limit: Column) -> Column:
-    """Strictly greater, false for null and NaN on either side (Spark orders NaN above all numbers)."""
-    return F.coalesce(~F.isnan(value) & ~F.isnan(limit) & (value > limit), F.lit(False))
+    """Strictly greater, false for null and NaN on either side (Spark orders NaN above all numbers).
+
+    ``nanvl`` instead of ``isnan(x) and x > y``: the operands are expressions and are evaluated once.
+    """
+    missing = F.lit(None).cast("double")
+    return F.coalesce(F.nanvl(value, missing) > F.nanvl(limit, missing), F.lit(False))
 
 
 def _limit(value: float | Column) -> Column:

@@ -122,31 +122,30 @@ def fleet_agents(state: DataFrame, fleet_id: str) -> DataFrame:
     return state.filter(F.col("fleet_id") == fleet_id)
 
 
-def fleet_status_summary(agents: DataFrame, requests: DataFrame) -> DataFrame:
-    """Active agents per request; 0 for a fleet without any."""
-    counts = agents.groupBy("fleet_id", "last_n_rows").agg(F.count(F.lit(1)).alias("n"))
+def fleet_status_summary(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """Active agents per request; 0 for a fleet without any. Only the state table is needed."""
+    counts = state.groupBy("fleet_id").agg(F.count(F.lit(1)).alias("n"))
     return (
         clean_requests(requests)
-        .join(counts, ["fleet_id", "last_n_rows"], "left")
+        .join(counts, "fleet_id", "left")
         .select("fleet_id", "last_n_rows", F.coalesce("n", F.lit(0).cast("bigint")).alias("active_agent_count"))
     )
 
 
 def fleet_status(
-    agents: DataFrame, requests: DataFrame, as_of: datetime, agents_per_page: int = 10_000
+    agents: DataFrame, state: DataFrame, requests: DataFrame, as_of: datetime, agents_per_page: int = 10_000
 ) -> DataFrame:
     """Nested response per request: ``fleet_id, last_n_rows, page, pages, active_agent_count, agents, as_of``.
 
-    Agents are sorted by id. A response with more than ``agents_per_page`` agents is spread over pages of
-    about that size by a hash of the agent id, so no task ever builds the array of a whole fleet; the pages
-    together hold every agent and each shows the full count.
+    ``agents`` are the rows of :func:`fleet_status_agents`, sorted by id inside a page. A response with more
+    than ``agents_per_page`` agents is spread over pages of about that size by a hash of the agent id, so no
+    task ever builds the array of a whole fleet; the pages together hold every agent, each with the full count.
     """
     pages = F.greatest(F.lit(1), F.ceil(F.col("active_agent_count") / F.lit(agents_per_page))).cast("bigint")
-    summary = fleet_status_summary(agents, requests).withColumn("pages", pages)
+    summary = fleet_status_summary(state, requests).withColumn("pages", pages)
     member = F.struct("agent_id", "avg_cpu_utilization_pct", "last_seen_unix_ms", "status")
-    paged = summary.join(agents, ["fleet_id", "last_n_rows"], "left").withColumn(
-        "page", F.when(F.col("agent_id").isNull(), 0).otherwise(F.pmod(F.xxhash64("agent_id"), F.col("pages")))
-    )
+    page = F.when(F.col("agent_id").isNull(), 0).otherwise(F.pmod(F.xxhash64("agent_id"), F.col("pages")))
+    paged = summary.join(agents, ["fleet_id", "last_n_rows"], "left").withColumn("page", page)
     return (
         paged.groupBy("fleet_id", "last_n_rows", "page", "pages", "active_agent_count")
         .agg(F.array_sort(F.collect_list(F.when(F.col("agent_id").isNotNull(), member))).alias("agents"))

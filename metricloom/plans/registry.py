@@ -388,18 +388,19 @@ def agent_state_active(spark, folder):
     return st.active(_state(spark, folder), AS_OF)
 
 
-def _status_agents(spark, folder, placeholder: bool = False) -> DataFrame:
-    return status.fleet_status_agents(
-        _state(spark, folder),
-        _store(spark, folder),
-        t.requests(spark, folder),
-        placeholder_as_of=AS_OF if placeholder else None,
-    )
+# Largest row count in the request table.
+_MAX_N = 10
 
 
 @query
 def fleet_status_agents(spark, folder):
-    agents = _status_agents(spark, folder, placeholder=True)
+    agents = status.fleet_status_agents(
+        _state(spark, folder),
+        _store(spark, folder),
+        t.requests(spark, folder),
+        max_n=_MAX_N,
+        placeholder_as_of=AS_OF,
+    )
     return agents.withColumn("avg_cpu_utilization_pct", nine("avg_cpu_utilization_pct"))
 
 
@@ -410,13 +411,15 @@ def fleet_lookup(spark, folder):
 
 @query
 def fleet_status_summary(spark, folder):
-    return status.fleet_status_summary(_status_agents(spark, folder), t.requests(spark, folder))
+    return status.fleet_status_summary(_state(spark, folder), t.requests(spark, folder))
 
 
 @query
 def fleet_status_json(spark, folder):
-    agents = _status_agents(spark, folder).withColumn("avg_cpu_utilization_pct", nine("avg_cpu_utilization_pct"))
-    return status.fleet_status_json(status.fleet_status(agents, t.requests(spark, folder), AS_OF))
+    state, requests = _state(spark, folder), t.requests(spark, folder)
+    agents = status.fleet_status_agents(state, _store(spark, folder), requests, max_n=_MAX_N)
+    rounded = agents.withColumn("avg_cpu_utilization_pct", nine("avg_cpu_utilization_pct"))
+    return status.fleet_status_json(status.fleet_status(rounded, state, requests, AS_OF))
 
 
 # --- windows ---------------------------------------------------------------------------------------
@@ -502,10 +505,11 @@ def message_totals(spark, folder):
 
 @query
 def log_summary(spark, folder):
-    """Log lines of all responses plus the status documents, then the scan."""
+    """Log lines of all responses plus status lines, then the scan."""
     lines = logs.render_log(al.responses(_marked(spark, folder)))
-    documents = fleet_status_json(spark, folder).select(F.col("document").alias("value"))
-    found = logs.log_summary(lines.unionByName(documents))
+    counts = fleet_status_summary(spark, folder)
+    statuses = counts.select(F.to_json(F.struct(F.col("active_agent_count").alias("activeAgentCount"))).alias("value"))
+    found = logs.log_summary(lines.unionByName(statuses))
     return found.withColumn("active_agents", F.col("active_agents").cast("double"))
 
 

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from metricloom.session import prepare
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; its schema is looked up once, as every look-up runs a job over the file footers."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = prepare(spark).read.parquet(path).schema
+    return prepare(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def regions(spark: SparkSession, folder: str) -> DataFrame:

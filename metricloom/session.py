@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot never compiles methods above 8,000 bytes; Spark then splits the stage's code instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

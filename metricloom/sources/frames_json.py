@@ -8,7 +8,6 @@ from metricloom.schemas import NETWORK_FIELDS, REASONS, SYSTEM_FIELDS
 
 MAX_UINT64 = "18446744073709551615"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def camel(name: str) -> str:
@@ -20,88 +19,83 @@ def _both_spellings(names) -> list[str]:
     return [spelling for name in names for spelling in dict.fromkeys((name, camel(name)))]
 
 
+# A counter is read with some decimals, so that a fraction shows instead of being rounded away.
+_JSON_TYPES = {"double": "double", "uint64": "decimal(24,4)"}
+
+
 def _raw_schema() -> str:
-    """Every leaf is read as text: numbers may be JSON numbers or strings, and a bad one must not be lost."""
+    """Both spellings of every field. Counters may be numbers or strings, which ``decimal`` reads alike."""
     ids = [f"{n} string" for n in _both_spellings(["agent_id", "fleet_id", "collected_at", "idempotency_key"])]
-    groups = [
-        f"{name} struct<{', '.join(f'{n}: string' for n in _both_spellings(fields))}>"
-        for name, fields in (("system", SYSTEM_FIELDS), ("network", NETWORK_FIELDS))
-    ]
+    groups = []
+    for name, fields in (("system", SYSTEM_FIELDS), ("network", NETWORK_FIELDS)):
+        members = [f"{s}: {_JSON_TYPES[t]}" for f, t in fields.items() for s in _both_spellings([f])]
+        groups.append(f"{name} struct<{', '.join(members)}>")
     return ", ".join([*ids, *groups, "labels map<string,string>", "_corrupt string"])
 
 
-def _text(path: str, name: str) -> Column:
-    return F.coalesce(*[F.col(f"{path}.{spelling}") for spelling in dict.fromkeys((name, camel(name)))])
-
-
-def _double(text: Column) -> Column:
-    special = F.lower(F.trim(text)).isin("nan", "infinity", "-infinity")
-    return F.when(text.rlike(NUMBER) | special, F.trim(text).try_cast("double"))
+def _value(path: str, name: str) -> Column:
+    return F.coalesce(*[F.col(f"{path}.{spelling}") for spelling in _both_spellings([name])])
 
 
-def _uint64(text: Column) -> Column:
-    exact = F.when(text.rlike(NUMBER), F.trim(text).try_cast("decimal(38,10)"))
-    inside = (exact >= 0) & (exact <= F.lit(MAX_UINT64).cast("decimal(20,0)")) & (exact == F.floor(exact))
-    return F.when(inside, exact.try_cast("decimal(20,0)"))
+def violation(field: str, description: str) -> Column:
+    return F.struct(F.lit(field).alias("field"), F.lit(description).alias("description"))
 
 
-def _group(name: str, fields: dict[str, str]) -> tuple[Column, list[Column]]:
-    """The typed metric group (unset scalars are 0) and one violation per unreadable field."""
-    members, violations = [], []
-    for field, kind in fields.items():
-        text = _text(f"_raw.{name}", field)
-        value = _double(text) if kind == "double" else _uint64(text)
-        zero = F.lit(0).cast("double" if kind == "double" else "decimal(20,0)")
-        members.append(F.coalesce(value, zero).alias(field))
-        violations.append(F.when(text.isNotNull() & value.isNull(), violation(f"{name}.{field}", f"not a {kind}")))
-    return F.when(F.col(f"_raw.{name}").isNotNull(), F.struct(*members)), violations
+def _group(name: str, fields: dict[str, str]) -> Column:
+    """The metric group of a frame; unset scalars are 0."""
+    members = [
+        F.coalesce(_value(f"_raw.{name}", f), F.lit(0)).cast("double" if t == "double" else "decimal(20,0)").alias(f)
+        for f, t in fields.items()
+    ]
+    return F.when(F.col(f"_raw.{name}").isNotNull(), F.struct(*members)).alias(name)
 
 
-def violation(field: str, description: str) -> Column:
-    return F.struct(F.lit(field).alias("field"), F.lit(description).alias("description"))
+def _violations(name: str, fields: dict[str, str]) -> list[Column]:
+    found = []
+    for field in [f for f, kind in fields.items() if kind == "uint64"]:
+        value = _value(f"_raw.{name}", field)
+        bad = (value < 0) | (value > F.lit(MAX_UINT64).cast("decimal(20,0)")) | (value != F.floor(value))
+        found.append(F.when(bad, violation(f"{name}.{field}", "not a uint64")))
+    return found
 
 
 def decode_frames(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split a column of JSON frames into ``(frames, quarantine)``.
 
-    snake_case and lowerCamelCase names and numbers given as strings are all accepted. Other columns
+    snake_case and lowerCamelCase names and counters given as strings are all accepted. Other columns
     of ``raw`` (arrival time, message attributes) are kept. The quarantine has the payload and the reasons.
     Works on batch and streaming input.
     """
     kept = [c for c in raw.columns if c != value_col]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    # The parse sits below a one-element explode: a plain projection would be merged into the filter on
-    # the reasons and parse the text again for every field it looks at.
     document = F.from_json(F.col(value_col).cast("string"), _raw_schema(), options)
-    parsed = raw.select(*raw.columns, F.explode(F.array(document)).alias("_raw"))
-    system, bad_system = _group("system", SYSTEM_FIELDS)
-    network, bad_network = _group("network", NETWORK_FIELDS)
-    stamp = _text("_raw", "collected_at")
-    collected_at = F.when(F.upper(stamp).rlike(RFC3339), F.upper(stamp).try_cast("timestamp"))
+    # The parse sits in a one-element explode: a plain projection would be merged into the filter on the
+    # reasons, and every check would parse the text again.
+    payload = F.col(value_col).cast("string").alias("_payload")
+    parsed = raw.select(*kept, payload, F.explode(F.array(document)).alias("_raw"))
+    stamp = _value("_raw", "collected_at")
     undecodable = F.col("_raw").isNull() | F.col("_raw._corrupt").isNotNull()
     reasons = F.when(undecodable, F.array(violation("", "not a JSON frame"))).otherwise(
         F.array_compact(
             F.array(
-                F.when(stamp.isNotNull() & collected_at.isNull(), violation("collected_at", "not an RFC 3339 time")),
-                *bad_system,
-                *bad_network,
+                F.when(~stamp.rlike(RFC3339), violation("collected_at", "not an RFC 3339 time")),
+                *_violations("system", SYSTEM_FIELDS),
+                *_violations("network", NETWORK_FIELDS),
             )
         )
     )
-    typed = parsed.select(
+    checked = parsed.withColumn("reasons", reasons.cast(REASONS))
+    frames = checked.filter(F.size("reasons") == 0).select(
         *kept,
-        F.col(value_col).cast("string").alias("_payload"),
-        F.coalesce(_text("_raw", "agent_id"), F.lit("")).alias("agent_id"),
-        F.coalesce(_text("_raw", "fleet_id"), F.lit("")).alias("fleet_id"),
-        collected_at.alias("collected_at"),
-        F.coalesce(_text("_raw", "idempotency_key"), F.lit("")).alias("idempotency_key"),
-        system.alias("system"),
-        network.alias("network"),
+        F.coalesce(_value("_raw", "agent_id"), F.lit("")).alias("agent_id"),
+        F.coalesce(_value("_raw", "fleet_id"), F.lit("")).alias("fleet_id"),
+        F.upper(stamp).try_cast("timestamp").alias("collected_at"),
+        F.coalesce(_value("_raw", "idempotency_key"), F.lit("")).alias("idempotency_key"),
+        _group("system", SYSTEM_FIELDS),
+        _group("network", NETWORK_FIELDS),
         F.coalesce(F.col("_raw.labels"), F.expr("cast(map() as map<string,string>)")).alias("labels"),
-        reasons.cast(REASONS).alias("reasons"),
     )
-    frames = typed.filter(F.size("reasons") == 0).drop("_payload", "reasons")
-    quarantine = typed.filter(F.size("reasons") > 0).select(*kept, F.col("_payload").alias("value"), "reasons")
+    quarantine = checked.filter(F.size("reasons") > 0).select(*kept, F.col("_payload").alias("value"), "reasons")
     return frames, quarantine
 
 

@@ -7,24 +7,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from metricloom.operators.store import merge_rows, store_rows, upsert_frames
 
 
-def _clustered(rows: DataFrame) -> DataFrame:
-    """Date column, and files with narrow key ranges.
-
-    Range partitioning on the (unique) key splits hot agents and dates evenly; sorted files let the
-    ``agent#`` prefix filter skip row groups.
-    """
-    dated = rows.withColumn("event_date", F.to_date(F.timestamp_millis("unix_ms")))
-    return dated.repartitionByRange("event_date", "row_key").sortWithinPartitions("event_date", "row_key")
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("event_date", F.to_date(F.timestamp_millis("unix_ms")))
 
 
 def batch_rows(frames: DataFrame) -> DataFrame:
-    """Merged and clustered rows of one micro-batch."""
-    return _clustered(merge_rows(store_rows(frames)))
+    """Merged rows of one micro-batch, brought together by date for few files.
+
+    The rebalance is adaptive: a date with many rows is split over tasks, small ones share a task.
+    """
+    rows = _dated(merge_rows(store_rows(frames))).hint("rebalance", "event_date")
+    return rows.sortWithinPartitions("event_date", "row_key")
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
-    """Append frames to a store partitioned by date."""
-    _clustered(upsert_frames(frames)).write.mode("append").partitionBy("event_date").parquet(path)
+    """Append frames to a store partitioned by date.
+
+    Range partitioning on the (unique) key splits hot agents and dates evenly and gives files with narrow
+    key ranges, so the ``agent#`` prefix filter skips files and row groups.
+    """
+    rows = _dated(upsert_frames(frames)).repartitionByRange("event_date", "row_key")
+    rows.sortWithinPartitions("event_date", "row_key").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +17,7 @@ from metricloom.operators import alerts as alert_ops
 from metricloom.operators.dedup import KEY, accepted, dead_after
 from metricloom.operators.detect import anomaly_messages, detect
 from metricloom.operators.state import advance_state, expired
-from metricloom.operators.validate import validate
+from metricloom.operators.validate import violations
 from metricloom.schemas import AGENT_STATE, ALERT_BUFFER, DEDUP_SWEEP, DEDUP_TTL, SEEN_KEYS, STATE_TTL_MS
 from metricloom.sources.store import batch_rows
 from metricloom.streaming.tables import drop_snapshot, read_snapshot, write_batch
@@ -47,6 +50,13 @@ def with_arrival(batch: DataFrame) -> DataFrame:
     return batch
 
 
+def _write_all(writes: list[Callable[[], None]]) -> None:
+    """Run independent writes side by side; the first failure is raised after all have ended."""
+    with ThreadPoolExecutor(max_workers=len(writes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(write)) for write in writes]:
+            done.result()
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptions) -> None:
     """Write everything one micro-batch of frames leads to; the acks last.
 
@@ -55,55 +65,64 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
     batch, from the input and the copies of the previous batch, so a replay gives the same tables.
     """
     spark = batch.sparkSession
-    arrived = with_arrival(batch).persist(StorageLevel.MEMORY_AND_DISK)
-    valid, quarantine = validate(arrived, options.strict)
+    cached: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    arrived = with_arrival(batch)
+    if "arrival_seq" not in batch.columns:
+        arrived = keep(arrived)  # numbers given here must not change between the two uses below
+    arrived = arrived.withColumn("reasons", violations(options.strict))
+    valid = arrived.filter(F.size("reasons") == 0)
     seen = read_snapshot(spark, f"{out}/seen", SEEN_KEYS, batch_id - 1)
-    # Read several times below (mark, remember); small, as it has only keys, slots and numbers.
-    winners = accepted(valid, options.ttl, options.sweep, seen).persist(StorageLevel.MEMORY_AND_DISK)
-    first = winners.select("arrival_seq", F.lit(True).alias("_first"))
-    marked = detect(
-        valid.join(first, "arrival_seq", "left")
-        .withColumn("is_duplicate", F.col("_first").isNull())
-        .drop("_first"),
-        options.detector,
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    fresh = marked.filter("not is_duplicate")
     try:
-        # One number each: the latest arrival is the clock of the sweeps.
+        winners = keep(accepted(valid, options.ttl, options.sweep, seen))
+        first = winners.select("arrival_seq", F.lit(True).alias("_first"))
+        joined = arrived.join(first, "arrival_seq", "left").withColumn("is_duplicate", F.col("_first").isNull())
+        checked = keep(detect(joined.drop("_first"), options.detector))
+        marked = checked.filter(F.size("reasons") == 0).drop("reasons")
+        fresh = marked.filter("not is_duplicate")
+        # Two numbers: the latest arrival and its slot are the clock of the sweeps.
         slot = time_bucket(F.col("received_at"), interval_micros(options.sweep))
-        clock = marked.agg(F.max("received_at").alias("at"), F.max(slot).alias("slot"))
-        now, last_slot = clock.select(F.unix_micros("at"), "slot").first()
+        now, last_slot = marked.agg(F.unix_micros(F.max("received_at")), F.max(slot)).first()
 
         remembered = seen.unionByName(winners.select(KEY, "bucket")).groupBy(KEY).agg(F.max("bucket").alias("bucket"))
         if last_slot is not None:
             # Twice the lifetime, so that slightly late arrivals still find their key.
             oldest = last_slot - 2 * dead_after(options.ttl, options.sweep) - 1
             remembered = remembered.filter(F.col("bucket") >= oldest)
-        write_batch(remembered, f"{out}/seen", batch_id)
-
         state = advance_state(read_snapshot(spark, f"{out}/agent_state", AGENT_STATE, batch_id - 1), fresh)
         if now is not None:
             state = state.filter(~expired(F.timestamp_micros(F.lit(now)), options.state_ttl_ms))
-        write_batch(state, f"{out}/agent_state", batch_id)
-
-        write_batch(quarantine.select("agent_id", "fleet_id", KEY, "collected_at", "reasons"), f"{out}/quarantine", batch_id)
-        write_batch(batch_rows(fresh), f"{out}/frames", batch_id, ("event_date",))
-        write_batch(anomaly_messages(fresh), f"{out}/anomalies", batch_id)
+        rejected = checked.filter(F.size("reasons") > 0)
         alerts = alert_ops.build_alerts(fresh)
-        write_batch(alerts, f"{out}/alerts", batch_id)
+        tables = {
+            "frames": batch_rows(fresh),
+            "seen": remembered,
+            "agent_state": state,
+            "quarantine": rejected.select("agent_id", "fleet_id", KEY, "collected_at", "reasons"),
+            "anomalies": anomaly_messages(fresh),
+            "alerts": alerts,
+        }
         if options.subscriptions is not None:
             routed = alert_ops.route_alerts(alerts, options.subscriptions)
-            delivered, overflow = alert_ops.deliver(routed, options.alert_buffer)
-            write_batch(delivered, f"{out}/delivered", batch_id)
-            write_batch(overflow, f"{out}/overflow", batch_id)
+            tables["delivered"], tables["overflow"] = alert_ops.deliver(routed, options.alert_buffer)
+        dated = {"frames": ("event_date",)}
+        _write_all(
+            [
+                partial(write_batch, rows, f"{out}/{name}", batch_id, dated.get(name, ()))
+                for name, rows in tables.items()
+            ]
+        )
         write_batch(alert_ops.acks(marked), f"{out}/acks", batch_id)
         # A replay of this batch needs the copies of the one before it; those before that are done.
         drop_snapshot(spark, f"{out}/seen", batch_id - 2)
         drop_snapshot(spark, f"{out}/agent_state", batch_id - 2)
     finally:
-        marked.unpersist()
-        winners.unpersist()
-        arrived.unpersist()
+        for df in cached:
+            df.unpersist()
 
 
 def run_ingest(
