@@ -20,9 +20,13 @@ def _inverted(ms: Column) -> Column:
     )
 
 
-def row_key(agent_id: Column, ts: Column) -> Column:
+def row_key_at(agent_id: Column, ms: Column) -> Column:
     """``agent#inverted-ms``: ascending text order within an agent is newest first."""
-    return F.concat(agent_id, F.lit("#"), _inverted(unix_ms(ts)).cast("string"))
+    return F.concat(agent_id, F.lit("#"), _inverted(ms).cast("string"))
+
+
+def row_key(agent_id: Column, ts: Column) -> Column:
+    return row_key_at(agent_id, unix_ms(ts))
 
 
 def row_key_ms(key: Column) -> Column:

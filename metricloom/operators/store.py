@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from metricloom.functions.keys import row_key, unix_ms
+from metricloom.functions.keys import row_key_at, unix_ms
 from metricloom.schemas import META_TTL_DAYS, META_VERSIONS, SYSTEM_TTL_DAYS
 
 KEY = ["agent_id", "unix_ms"]
@@ -15,10 +15,11 @@ DAY_MS = 86_400_000
 
 def store_rows(frames: DataFrame) -> DataFrame:
     """Frames as stored rows, before merging; empty labels are not stored."""
+    ms = unix_ms(F.col("collected_at"))
     return frames.select(
         "agent_id",
-        unix_ms(F.col("collected_at")).alias("unix_ms"),
-        row_key(F.col("agent_id"), F.col("collected_at")).alias("row_key"),
+        ms.alias("unix_ms"),
+        row_key_at(F.col("agent_id"), ms).alias("row_key"),
         "fleet_id",
         "idempotency_key",
         F.when(F.size("labels") > 0, F.col("labels")).alias("labels"),
@@ -41,8 +42,7 @@ def merge_rows(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     order_cols = [F.col(c) for c in (order or ["arrival_seq"])]
     last = order_cols[0] if len(order_cols) == 1 else F.struct(*order_cols)
-    return rows.groupBy(*KEY).agg(
-        F.first("row_key").alias("row_key"),
+    merged = rows.groupBy(*KEY).agg(
         _latest("fleet_id", last),
         _latest("idempotency_key", last),
         _latest("labels", last),
@@ -50,6 +50,9 @@ def merge_rows(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
         _latest("network", last),
         *[F.max_by(F.col(c), last).alias(c) for c in (order or ["arrival_seq"])],
     )
+    # The key text follows from the group and need not be shuffled.
+    key = row_key_at(F.col("agent_id"), F.col("unix_ms"))
+    return merged.select(*KEY, key.alias("row_key"), *[c for c in merged.columns if c not in KEY])
 
 
 def upsert_frames(frames: DataFrame) -> DataFrame:
