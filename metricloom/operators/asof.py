@@ -19,6 +19,9 @@ def asof_last(
 ) -> DataFrame:
     """Left rows with ``values`` of the latest right row, all null when there is none.
 
+    A right row at the very time of a left row counts; among right rows of one time the greatest
+    ``tie_break`` wins.
+
     Both sides are laid in one time line and read in order, so no pairs are formed. A key is cut into time
     slots: inside a slot a running window finds the answer, and rows before the slot's first right row take
     the last value of an earlier slot, found on the per-slot summary (one row per key and slot). A hot key
@@ -28,10 +31,14 @@ def asof_last(
     payload = F.struct(*[F.col(c) for c in left.columns])
     value = F.struct(*[F.col(c) for c in values])
     lefts = left.select(
-        F.col(on).alias("_k"), F.col(left_time).alias("_t"), F.lit(2).alias("_o"), payload.alias("_row")
+        F.col(on).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), payload.alias("_row")
     )
     rights = right.select(
-        F.col(on).alias("_k"), F.col(right_time).alias("_t"), F.col(tie_break).cast("int").alias("_o"), value.alias("_v")
+        F.col(on).alias("_k"),
+        F.col(right_time).alias("_t"),
+        F.lit(0).alias("_side"),
+        F.col(tie_break).alias("_o"),
+        value.alias("_v"),
     )
     line = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_b", time_bucket(F.col("_t"), width))
     last_of_slot = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_o")))
@@ -42,7 +49,7 @@ def asof_last(
         .agg(last_of_slot.alias("_last"))
         .select("_k", "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
     )
-    so_far = Window.partitionBy("_k", "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
     found = line.withColumn("_hit", F.last("_v", ignorenulls=True).over(so_far)).filter(F.col("_row").isNotNull())
     answer = F.coalesce("_hit", "_carry")
     return found.join(carried, ["_k", "_b"], "left").select(
