@@ -108,14 +108,15 @@ def fleet_status_agents(
     )
     if placeholder_as_of is None:
         return agents
-    return asked.join(agents, ["fleet_id", "last_n_rows"], "left").select(
+    unknown = asked.join(state.select("fleet_id").distinct(), "fleet_id", "left_anti").select(
         "fleet_id",
         "last_n_rows",
-        F.coalesce("agent_id", F.lit(PLACEHOLDER_AGENT)).alias("agent_id"),
-        F.coalesce("avg_cpu_utilization_pct", F.lit(0.0)).alias("avg_cpu_utilization_pct"),
-        F.coalesce("last_seen_unix_ms", unix_ms(F.lit(placeholder_as_of))).alias("last_seen_unix_ms"),
-        F.coalesce("status", F.lit(INFO)).alias("status"),
+        F.lit(PLACEHOLDER_AGENT).alias("agent_id"),
+        F.lit(0.0).alias("avg_cpu_utilization_pct"),
+        unix_ms(F.lit(placeholder_as_of)).alias("last_seen_unix_ms"),
+        F.lit(INFO).alias("status"),
     )
+    return agents.unionByName(unknown)
 
 
 def fleet_agents(state: DataFrame, fleet_id: str) -> DataFrame:
@@ -144,10 +145,14 @@ def fleet_status(
     pages = F.greatest(F.lit(1), F.ceil(F.col("active_agent_count") / F.lit(agents_per_page))).cast("bigint")
     summary = fleet_status_summary(state, requests).withColumn("pages", pages)
     member = F.struct("agent_id", "avg_cpu_utilization_pct", "last_seen_unix_ms", "status")
-    page = F.when(F.col("agent_id").isNull(), 0).otherwise(F.pmod(F.xxhash64("agent_id"), F.col("pages")))
-    paged = summary.join(agents, ["fleet_id", "last_n_rows"], "left").withColumn("page", page)
+    # Agents on the streamed side: a hot fleet can be split, and the few summary rows can be broadcast.
+    paged = agents.join(summary, ["fleet_id", "last_n_rows"]).withColumn(
+        "page", F.pmod(F.xxhash64("agent_id"), F.col("pages"))
+    )
+    empty = summary.filter("active_agent_count = 0").withColumn("page", F.lit(0).cast("bigint"))
     return (
-        paged.groupBy("fleet_id", "last_n_rows", "page", "pages", "active_agent_count")
+        paged.unionByName(empty, allowMissingColumns=True)
+        .groupBy("fleet_id", "last_n_rows", "page", "pages", "active_agent_count")
         .agg(F.array_sort(F.collect_list(F.when(F.col("agent_id").isNotNull(), member))).alias("agents"))
         .withColumn("as_of", F.lit(as_of))
     )

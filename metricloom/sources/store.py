@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from metricloom.operators.store import merge_rows, store_rows, upsert_frames
+from metricloom.operators.store import apply_retention, merge_rows, store_rows, upsert_frames
 
 
 def _dated(rows: DataFrame) -> DataFrame:
@@ -21,13 +23,15 @@ def batch_rows(frames: DataFrame) -> DataFrame:
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
-    """Append frames to a store partitioned by date.
+    """Append frames to a store partitioned by date."""
+    _write_clustered(upsert_frames(frames), path)
 
-    Range partitioning on the (unique) key splits hot agents and dates evenly and gives files with narrow
-    key ranges, so the ``agent#`` prefix filter skips files and row groups.
-    """
-    rows = _dated(upsert_frames(frames)).repartitionByRange("event_date", "row_key")
-    rows.sortWithinPartitions("event_date", "row_key").write.mode("append").partitionBy("event_date").parquet(path)
+
+def _write_clustered(rows: DataFrame, path: str) -> None:
+    """Range partitioning on the (unique) key splits hot agents and dates evenly and gives files with narrow
+    key ranges, so the ``agent#`` prefix filter skips files and row groups."""
+    ranged = _dated(rows).repartitionByRange("event_date", "row_key")
+    ranged.sortWithinPartitions("event_date", "row_key").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -37,6 +41,17 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return merge_rows(rows, order)
 
 
+def compact_store(spark: SparkSession, path: str, out: str) -> None:
+    """Write the merged store to a new folder: many small batch parts become few files in key order."""
+    _write_clustered(read_store(spark, path), out)
+
+
+def collect_garbage(spark: SparkSession, path: str, out: str, as_of: datetime, **limits: int) -> None:
+    """Write what retention leaves of the store to a new folder (see ``apply_retention`` for the limits)."""
+    rows = spark.read.parquet(path)
+    _write_clustered(apply_retention(rows, as_of, **limits).drop("version"), out)
+
+
 def write_windows(windows: DataFrame, path: str) -> None:
     """Append batch window rows, partitioned by their date; the table is created when missing."""
     windows.withColumn("window_date", F.to_date("window_start")).write.mode("append").partitionBy(

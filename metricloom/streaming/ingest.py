@@ -36,24 +36,21 @@ class IngestOptions:
     alert_buffer: int = ALERT_BUFFER
 
 
-def with_arrival(batch: DataFrame) -> DataFrame:
-    """Fill in arrival time and order where the source has none.
-
-    Order only matters inside a micro-batch: every batch follows the ones before it.
-    """
-    if "received_at" not in batch.columns:
-        batch = batch.withColumn("received_at", F.current_timestamp())
-    if "arrival_seq" not in batch.columns:
-        batch = batch.withColumn("arrival_seq", F.monotonically_increasing_id())
-    if "traceparent" not in batch.columns:
-        batch = batch.withColumn("traceparent", F.lit(None).cast("string"))
-    return batch
+def with_arrival_time(frames: DataFrame) -> DataFrame:
+    """Fill in what the source does not give. In a stream the arrival time is that of the micro-batch, which
+    is logged with its offsets: a replay sees the same."""
+    if "received_at" not in frames.columns:
+        frames = frames.withColumn("received_at", F.current_timestamp())
+    if "traceparent" not in frames.columns:
+        frames = frames.withColumn("traceparent", F.lit(None).cast("string"))
+    return frames
 
 
-def _write_all(writes: list[Callable[[], None]]) -> None:
+def _write_all(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
     """Run independent writes side by side; the first failure is raised after all have ended."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=len(writes)) as pool:
-        for done in [pool.submit(inheritable_thread_target(write)) for write in writes]:
+        for done in [pool.submit(inherit(write)) for write in writes]:
             done.result()
 
 
@@ -71,9 +68,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
         cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
-    arrived = with_arrival(batch)
+    arrived = batch
     if "arrival_seq" not in batch.columns:
-        arrived = keep(arrived)  # numbers given here must not change between the two uses below
+        # Order only matters inside a micro-batch, as every batch follows the ones before it. Cached, so that
+        # both uses below see the same numbers.
+        arrived = keep(batch.withColumn("arrival_seq", F.monotonically_increasing_id()))
     arrived = arrived.withColumn("reasons", violations(options.strict))
     valid = arrived.filter(F.size("reasons") == 0)
     seen = read_snapshot(spark, f"{out}/seen", SEEN_KEYS, batch_id - 1)
@@ -111,10 +110,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
             tables["delivered"], tables["overflow"] = alert_ops.deliver(routed, options.alert_buffer)
         dated = {"frames": ("event_date",)}
         _write_all(
+            spark,
             [
                 partial(write_batch, rows, f"{out}/{name}", batch_id, dated.get(name, ()))
                 for name, rows in tables.items()
-            ]
+            ],
         )
         write_batch(alert_ops.acks(marked), f"{out}/acks", batch_id)
         # A replay of this batch needs the copies of the one before it; those before that are done.
@@ -131,7 +131,8 @@ def run_ingest(
     """Start the ingest job over a stream of frames; by default it ends when the input is used up."""
     chosen = options or IngestOptions()
     return (
-        frames.writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, out, chosen))
+        with_arrival_time(frames)
+        .writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, out, chosen))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

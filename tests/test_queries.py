@@ -1,0 +1,96 @@
+"""Every registered query against its SQL twin, and the plans that matter at scale."""
+
+import os
+import re
+
+import pytest
+from conftest import frame
+
+from __spark_entry__ import entry, oracle_sql, queries
+from check import duck, normal
+from metricloom.operators import alerts as al
+from metricloom.operators import latency as la
+from metricloom.operators import status as st
+from metricloom.operators.dedup import dedup_batch
+from metricloom.operators.detect import detect
+from metricloom.operators.state import latest_state
+from metricloom.operators.store import scan_agent
+from metricloom.operators.windows import fleet_windows
+from metricloom.plans import tables as t
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return duck(FOLDER)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entry(spark):
+    assert entry(spark).count() == 182
+
+
+def test_every_query_has_a_twin():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_query_equals_sql(spark, connection, name):
+    mine = queries()[name](spark, FOLDER).toPandas()
+    theirs = connection.execute(oracle_sql()[name]).df()
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    assert len(mine) > 0
+    assert normal(mine) == normal(theirs)
+
+
+BATCH = [n for n in sorted(queries()) if not n.startswith("stream_") or n == "stream_responses"]
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_products_and_no_python_in_plans(spark, name):
+    text = plan(queries()[name](spark, FOLDER))
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|ArrowEvalPython|BatchEvalPython|FlatMapGroups", text)
+
+
+def test_first_arrival_is_limited_below_the_exchange(spark):
+    text = plan(dedup_batch(t.deliveries(spark, FOLDER)))
+    assert text.count("WindowGroupLimit") == 2
+
+
+def test_recent_rows_and_buffers_are_limited_below_the_exchange(spark, frames):
+    store = spark.createDataFrame([("a", 1, "a#1")], "agent_id string, unix_ms bigint, row_key string")
+    assert plan(st.recent_n(store, 10)).count("WindowGroupLimit") == 2
+    alerts = spark.createDataFrame([("a", "x")], "agent_id string, alert_id string").selectExpr("*", "now() AS triggered_at")
+    assert plan(al.deliver(alerts)[0]).count("WindowGroupLimit") == 2
+
+
+def test_state_and_windows_use_hash_aggregates_in_two_steps(spark):
+    detected = detect(t.frames(spark, FOLDER))
+    for df in (latest_state(detected), fleet_windows(detected.filter("is_anomaly"))):
+        text = plan(df)
+        assert text.count("HashAggregate") == 2 and "SortAggregate" not in text and text.count("Exchange") == 1
+
+
+def test_scans_read_the_needed_columns_only(spark):
+    text = plan(la.inflight(t.rpc_log(spark, FOLDER)))
+    assert "ReadSchema: struct<ts:timestamp_ntz,value:double>" in text
+    assert "customer" not in plan(queries()["fleet_windows_60s"](spark, FOLDER))
+
+
+def test_prefix_filter_reaches_the_files(spark, frames, tmp_path):
+    from metricloom.sources.store import write_frames
+
+    write_frames(frames(frame(cpu=1.0)), str(tmp_path / "s"))
+    text = plan(scan_agent(spark.read.parquet(str(tmp_path / "s")), "a1", 5))
+    assert "StringStartsWith(row_key,a1#)" in text and "TakeOrderedAndProject" in text
+
+
+def test_quantiles_count_values_once(spark):
+    df = la.exact_quantiles(t.rpc_log(spark, FOLDER), [0.5, 0.99])
+    df.collect()
+    assert "ReusedExchange" in plan(df) or plan(df).count("Scan parquet") <= 3

@@ -8,7 +8,7 @@ from metricloom.operators.detect import detect
 from metricloom.operators.state import active, advance_state, latest_state
 from metricloom.operators.store import apply_retention, scan_agent, store_rows, upsert_frames
 from metricloom.schemas import AGENT_STATE, REQUESTS
-from metricloom.sources.store import read_store, write_frames
+from metricloom.sources.store import collect_garbage, compact_store, read_store, write_frames
 
 
 def requests(spark, *rows):
@@ -69,6 +69,11 @@ def test_store_files_merge_over_writes(spark, frames, tmp_path):
         "event_date=2024-03-01",
         "event_date=2024-03-02",
     }
+    compact_store(spark, path, str(tmp_path / "compact"))
+    compacted = spark.read.parquet(str(tmp_path / "compact"))
+    assert {r.idempotency_key: r.network is None for r in compacted.collect()} == {"two": False, "next": True}
+    collect_garbage(spark, path, str(tmp_path / "kept"), at(86400 * 90.5), versions=1)
+    assert [r.idempotency_key for r in spark.read.parquet(str(tmp_path / "kept")).collect()] == ["next"]
 
 
 def test_recent_summary(frames):

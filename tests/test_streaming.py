@@ -1,13 +1,11 @@
 import json
 import random
 
-import pytest
 from conftest import at, frame, ms
 
 from metricloom.operators.dedup import dedup_stream, mark_duplicates_ttl
 from metricloom.operators.detect import anomaly_messages, detect
 from metricloom.operators.state import state_stream
-from metricloom.operators.windows import fleet_windows
 from metricloom.schemas import frame_schema
 from metricloom.sources.frames_json import stream_frames_json
 from metricloom.sources.store import read_store
@@ -74,7 +72,6 @@ def test_stream_equals_batch(spark, frames, tmp_path):
     messages = sw.stream_messages(spark, f"{path}/out/anomalies")
     sw.run_windows(messages, f"{path}/windows", f"{path}/ckpt2", delay="1 minute").awaitTermination()
     got = {(r.fleet_id, r.window_start): r.anomaly_count for r in sw.read_windows(spark, f"{path}/windows").collect()}
-    batch = fleet_windows(detect(valid.join(acks.limit(0), "idempotency_key", "left_anti")).filter("is_anomaly"))
     newest = max(r.collected_at for r in fresh if r.is_anomaly)
     expected = {}
     for r in fresh:
@@ -82,7 +79,7 @@ def test_stream_equals_batch(spark, frames, tmp_path):
             start = r.collected_at.replace(second=0)
             expected[r.fleet_id, start] = expected.get((r.fleet_id, start), 0) + 1
     closed = {k: v for k, v in expected.items() if (newest - k[1]).total_seconds() >= 120}
-    assert got == closed and batch.count() >= len(expected)
+    assert closed and got == closed
 
 
 def test_second_run_and_replay_add_nothing(spark, frames, tmp_path):
@@ -179,4 +176,3 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     from metricloom.session import fresh_dir
 
     assert fresh_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
-    assert pytest is not None
