@@ -68,12 +68,13 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
         cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
-    arrived = batch
     if "arrival_seq" not in batch.columns:
-        # Order only matters inside a micro-batch, as every batch follows the ones before it. Cached, so that
-        # both uses below see the same numbers.
-        arrived = keep(batch.withColumn("arrival_seq", F.monotonically_increasing_id()))
-    arrived = arrived.withColumn("reasons", violations(options.strict))
+        # Order only matters inside a micro-batch, as every batch follows the ones before it.
+        batch = batch.withColumn("arrival_seq", F.monotonically_increasing_id())
+    # Used twice below: once for the keys, once for the whole rows. A micro-batch is not pruned to the columns
+    # of each use, so without the cache its source would be read and decoded twice.
+    source = keep(batch)
+    arrived = source.withColumn("reasons", violations(options.strict))
     valid = arrived.filter(F.size("reasons") == 0)
     seen = read_snapshot(spark, f"{out}/seen", SEEN_KEYS, batch_id - 1)
     try:
@@ -86,6 +87,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
         # Two numbers: the latest arrival and its slot are the clock of the sweeps.
         slot = time_bucket(F.col("received_at"), interval_micros(options.sweep))
         now, last_slot = marked.agg(F.unix_micros(F.max("received_at")), F.max(slot)).first()
+        source.unpersist()
 
         remembered = seen.unionByName(winners.select(KEY, "bucket")).groupBy(KEY).agg(F.max("bucket").alias("bucket"))
         if last_slot is not None:
