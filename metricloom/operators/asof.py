@@ -40,15 +40,20 @@ def asof_last(
         F.col(tie_break).alias("_o"),
         value.alias("_v"),
     )
-    line = lefts.unionByName(rights, allowMissingColumns=True).withColumn("_b", time_bucket(F.col("_t"), width))
-    last_of_slot = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_o")))
-    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    slot = time_bucket(F.col("_t"), width).alias("_b")
+    lefts, rights = lefts.select("*", slot), rights.select("*", slot)
+    # One row per slot with right rows (their last value) and one per slot with left rows (none), the latter
+    # first, so that it only looks at earlier slots.
+    last_values = rights.groupBy("_k", "_b").agg(F.max_by("_v", F.struct("_t", "_o")).alias("_last"))
+    asking = lefts.select("_k", "_b").distinct().withColumn("_asks", F.lit(True))
+    earlier = Window.partitionBy("_k").orderBy("_b", F.desc_nulls_last("_asks")).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        line.select("_k", "_b", "_t", "_o", "_v")
-        .groupBy("_k", "_b")
-        .agg(last_of_slot.alias("_last"))
-        .select("_k", "_b", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+        last_values.unionByName(asking, allowMissingColumns=True)
+        .withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
+        .filter("_asks")
+        .select("_k", "_b", "_carry")
     )
+    line = lefts.unionByName(rights, allowMissingColumns=True)
     so_far = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
     found = line.withColumn("_hit", F.last("_v", ignorenulls=True).over(so_far)).filter(F.col("_row").isNotNull())
     answer = F.coalesce("_hit", "_carry")
