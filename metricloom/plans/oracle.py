@@ -300,6 +300,13 @@ BODIES: dict[str, str] = {
                count(*) FILTER (WHERE duration_s <= le) AS cumulative, count(*) AS count,
                round(sum(duration_s), 9) AS sum
         FROM rpc, bounds GROUP BY method, bounds.le""",
+    "sink_histogram": """
+        SELECT CASE WHEN isinf(le) THEN '+Inf' ELSE le::VARCHAR END AS le,
+               count(*) FILTER (WHERE duration_s <= le) AS cumulative, count(*) AS count,
+               round(sum(duration_s), 9) AS sum
+        FROM rpc, (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'inf'::DOUBLE]
+                   ::DOUBLE[]) AS le) b
+        GROUP BY b.le""",
     "latency_p99": _p99("minute"),
     "latency_p99_1d": _p99("day"),
     "latency_quantiles": " UNION ALL ".join(

@@ -12,6 +12,7 @@ from metricloom.operators import alerts as al
 from metricloom.operators import dedup, detect as de, latency, logs, state as st, status, store, windows as wi
 from metricloom.operators.validate import validate, violations
 from metricloom.plans import tables as t
+from metricloom.schemas import SINK_BUCKETS
 from metricloom.session import fresh_dir, prepare
 from metricloom.sources import alert_feed, frames_json
 from metricloom.streaming import fleet_windows as sw, ingest
@@ -460,6 +461,14 @@ def latency_histogram(spark, folder):
     return found.select("method", bound.alias("le"), "cumulative", "count", nine("sum", "sum"))
 
 
+@query
+def sink_histogram(spark, folder):
+    """All durations in the buckets used for sink writes, not grouped."""
+    found = latency.latency_histogram(t.rpc_log(spark, folder), SINK_BUCKETS, by=())
+    bound = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string"))
+    return found.select(bound.alias("le"), "cumulative", "count", nine("sum", "sum"))
+
+
 def _p99(spark, folder, window: str) -> DataFrame:
     histogram = latency.latency_histogram(t.rpc_log(spark, folder), window=window)
     return latency.quantile_from_buckets(histogram).select("window_start", nine("quantile", "p99"))

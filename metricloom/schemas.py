@@ -58,7 +58,7 @@ def _group(fields: dict[str, str], uint64: str) -> str:
 
 def frame_schema(uint64: str = "decimal(20,0)") -> T.StructType:
     """Frame columns. Unsigned 64-bit counters need ``decimal(20,0)``; ``bigint`` is the compact form."""
-    return T._parse_datatype_string(
+    return T.StructType.fromDDL(
         "agent_id string, fleet_id string, collected_at timestamp, idempotency_key string, "
         f"system struct<{_group(SYSTEM_FIELDS, uint64)}>, "
         f"network struct<{_group(NETWORK_FIELDS, uint64)}>, "

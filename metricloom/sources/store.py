@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from metricloom.operators.store import apply_retention, merge_rows, store_rows, upsert_frames
+from metricloom.schemas import FLEET_WINDOWS
 
 
 def _dated(rows: DataFrame) -> DataFrame:
@@ -53,7 +54,9 @@ def collect_garbage(spark: SparkSession, path: str, out: str, as_of: datetime, *
 
 
 def write_windows(windows: DataFrame, path: str) -> None:
-    """Append batch window rows, partitioned by their date; the table is created when missing."""
-    windows.withColumn("window_date", F.to_date("window_start")).write.mode("append").partitionBy(
-        "window_date"
-    ).parquet(path)
+    """Append batch window rows, partitioned by their date; the table is created when missing.
+
+    The rows must fit the table's column types; text bounds (``format_windows``) do not.
+    """
+    rows = windows.to(T.StructType.fromDDL(FLEET_WINDOWS)).withColumn("window_date", F.to_date("window_start"))
+    rows.write.mode("append").partitionBy("window_date").parquet(path)

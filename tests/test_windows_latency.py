@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from conftest import at, frame
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from metricloom.operators import latency as la
@@ -11,6 +12,8 @@ from metricloom.operators.detect import detect
 from metricloom.operators.logs import log_summary, render_log
 from metricloom.operators.alerts import responses
 from metricloom.operators.windows import fleet_region_day, fleet_windows, format_windows
+from metricloom.sources.store import write_windows
+from metricloom.streaming.fleet_windows import read_windows
 
 LOG = "method string, started_at timestamp, ended_at timestamp, duration_s double, code string"
 
@@ -30,6 +33,15 @@ def test_window_edges_and_rows_without_system(frames):
     assert (text.window_start, text.window_end) == ("2024-03-01T10:00:00Z", "2024-03-01T10:01:00Z")
 
 
+def test_window_table_appends_and_checks_types(spark, frames, tmp_path):
+    windows = fleet_windows(frames(frame(when=0.0, cpu=91.0)))
+    write_windows(windows, str(tmp_path / "w"))
+    write_windows(windows, str(tmp_path / "w"))
+    assert read_windows(spark, str(tmp_path / "w")).count() == 2
+    with pytest.raises(AnalysisException):
+        write_windows(format_windows(windows), str(tmp_path / "w"))
+
+
 def test_redelivered_messages_count_twice_and_extra_aggregates(frames):
     rows = frames(frame(key="k", when=1.0, cpu=91.0), frame(key="k", when=1.0, cpu=91.0))
     (row,) = fleet_windows(rows, extra={"agents": F.count_distinct("agent_id")}).collect()
