@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from metricloom.llm import mixing, shard_tree, simhash
+from metricloom.llm import decontaminate, mixing, pii, shard_tree, simhash
 from metricloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,48 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, max_bits=4)
 
 
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item."""
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op3_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+phrases AS (
+  SELECT DISTINCT item_id, least(n, 10) AS size, array_to_string(w[s:s + least(n, 10) - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(generate_series(1, greatest(n - 9, 1))) AS s FROM b)),
+spans AS (
+  SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s
+        FROM d, (SELECT DISTINCT size FROM phrases))),
+hits AS (SELECT doc_id, item_id, s, size FROM spans JOIN phrases USING (size, phrase)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+  SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 @query
 def op6_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards by the weighted hash tree, and the shard of each row if a ninth were added."""
@@ -75,3 +117,20 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (floor((place + 1) * rate + moved) - floor(place * rate + moved))::BIGINT * size::BIGINT AS taken
 FROM placed
 """
+
+
+@query
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text: counts per kind, and all spans."""
+    found = pii.find_spans(table(spark, folder, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
