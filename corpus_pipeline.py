@@ -1,4 +1,9 @@
-"""A corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Every stage takes and returns the columns of documents; the last adds region, rack and shard. Nulls, empty texts, repeated
+rows and empty tables go through as the operators' docstrings define: rows without an id are never near copies and never
+contaminated, a document without words is not in the mix.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +11,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.llm import simhash
+from metricloom.llm import decontaminate, mixing, quality, shard_tree, simhash
 from metricloom.llm.tables import settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from all labels of documents that are there."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     return simhash.drop_near_duplicates(docs, shingle=4, max_bits=4)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash near-dedup", near_duplicates)]
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, folder, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Each row with its region, rack and shard of eight; copies of a document share a shard."""
+    return shard_tree.assign_shards(docs, ["doc_id"], shard_tree.even_tree(8))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", good_quality),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("mixing to target weights", mixed),
+    ("sharding", sharded),
+]
 
+#: SQL has no trained classifier and no XXH64; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 

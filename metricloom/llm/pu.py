@@ -20,14 +20,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Features are hashed into so many places.
+#: Names of features are hashed into so many numbers.
 WIDTH = 1 << 20
 #: Sample sizes (expected): positives with a label, and unlabelled rows.
 POSITIVES, UNLABELLED = 4000, 8000
 CUT = 0.3
 
-#: Maps UTF-8 text to feature places below WIDTH.
-Featurizer = Callable[[bytes], Iterator[int] | set[int] | list[int]]
+#: Maps UTF-8 text to feature places, each once.
+Featurizer = Callable[[bytes], list[int]]
 
 
 def place(feature: bytes) -> int:
@@ -90,15 +90,16 @@ def fit(
     prior: float,
     rounds: int = 150,
     rate: float = 0.1,
-    decay: float = 3e-4,
+    decay: float = 1e-3,
     beta: float = 0.0,
     fewest: int = 3,
+    least_share: float = 0.0,
     lift: float = 0.0,
 ) -> Model:
     """Adam steps on the non-negative risk over the whole sample.
 
-    Features of fewer than ``fewest`` positives are left out, and those whose share of the positives is below ``lift``
-    times their share of the unlabelled rows: where only positives can be known, only what sets them apart is evidence.
+    Left out are features of fewer than ``fewest`` positives, or than ``least_share`` of them, and those whose share of
+    the positives is below ``lift`` times their share of the unlabelled rows: what sets positives apart is evidence.
     Without positives or without unlabelled rows the score is the prior everywhere.
     """
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
@@ -108,7 +109,7 @@ def fit(
     p, u = Rows.of(positive), Rows.of(unlabelled)
     known, counts = np.unique(p.places, return_counts=True)
     also = np.bincount(np.searchsorted(known, u.places[np.isin(u.places, known)]), minlength=len(known))
-    known = known[(counts >= fewest) & (counts / len(p) >= lift * also / len(u))]
+    known = known[(counts >= max(fewest, least_share * len(p))) & (counts / len(p) >= lift * also / len(u))]
 
     def narrowed(rows: Rows) -> Rows:
         kept = np.isin(rows.places, known)

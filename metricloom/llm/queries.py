@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from metricloom.llm import decontaminate, mixing, pii, shard_tree, simhash
+from metricloom.llm import decontaminate, line_dedup, mixing, pii, pu, quality, shard_tree, simhash, sketches, toxicity, warc
 from metricloom.llm.tables import table
+from metricloom.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +68,28 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _scored(scores: DataFrame, parts: int, held: int) -> DataFrame:
+    held_out = F.coalesce(pu.remainder("doc_id", parts) == held, F.lit(False))
+    predicted = (F.col("score") >= pu.CUT).cast("int")
+    return scores.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learned from three quarters of the labels."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.filter(pu.remainder("doc_id", 4) != 2))
+    return _scored(toxicity.score(docs, model), 4, 2)
+
+
+@query
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text, learned from four fifths of the labels."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.train(docs, labels.filter(pu.remainder("doc_id", 5) != 0))
+    return _scored(quality.score(docs, model), 5, 0)
+
+
 @query
 def op6_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
     """Eight shards by the weighted hash tree, and the shard of each row if a ninth were added."""
@@ -119,6 +142,27 @@ FROM placed
 """
 
 
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier run."""
+    found = line_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC files and read back."""
+    path = fresh_dir(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Bottom-k sketches of every text and its edited text, and their likeness."""
+    return sketches.edited_likeness(table(spark, folder, "documents"))
+
+
 @query
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text: counts per kind, and all spans."""
