@@ -11,15 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.llm import decontaminate, mixing, quality, shard_tree, simhash
+from metricloom.llm import decontaminate, mixing, pu, quality, shard_tree, simhash
 from metricloom.llm.tables import settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from all labels of documents that are there."""
-    return quality.keep_good(docs, quality.train(docs, table(spark, folder, "labels")))
+    """Documents that the quality classifier rejects go; it learns from the labels that op5 learns from."""
+    labels = table(spark, folder, "labels").filter(pu.remainder("doc_id", 5) != 0)
+    return quality.keep_good(docs, quality.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

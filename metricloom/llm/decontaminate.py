@@ -133,9 +133,9 @@ def meetings(anchors: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def phrase_matches(words: DataFrame, anchors: DataFrame, index: DataFrame, window: int) -> DataFrame:
-    """Exact runs of a window's length or more: row, item_id, start, length (in words of the document)."""
+    """Exact runs of a window's length or more: row, item, item_id, start, length (in words of the document)."""
     met = meetings(anchors, index).groupBy("row", "item", "diagonal").agg(F.count("*").alias("met"), F.max("need").alias("need"))
-    places = settle(met.filter("met >= need and diagonal >= 0").select("row", "item", "diagonal"), "diagonals")
+    places = settle(met.filter("met >= need").select("row", "item", "diagonal"), "diagonals")
     wanted = places.join(words.select("item", "item_id", "n", "ipos", "term"), "item")
     wanted = wanted.withColumn("position", F.col("diagonal") + F.col("ipos"))
     there = index.filter("term >= 0").join(places.select("row").distinct(), "row", "left_semi")
@@ -146,7 +146,7 @@ def phrase_matches(words: DataFrame, anchors: DataFrame, index: DataFrame, windo
     runs = runs.groupBy("row", "item", "item_id", "n", "diagonal", "run").agg(
         F.min("position").alias("start"), F.count("*").alias("length")
     )
-    return runs.filter(F.col("length") >= F.least("n", F.lit(window))).select("row", "item_id", "start", "length")
+    return runs.filter(F.col("length") >= F.least("n", F.lit(window))).select("row", "item", "item_id", "start", "length")
 
 
 def proximity_matches(anchors: DataFrame, index: DataFrame, slop: int = SLOP) -> DataFrame:
@@ -172,9 +172,10 @@ def proximity_matches(anchors: DataFrame, index: DataFrame, slop: int = SLOP) ->
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rare: int = RARE, block_words: int = 500_000
 ) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, n_words, n_hit, n_items, item_ids (sorted as strings)."""
+    """Per row of ``docs``: row, doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), and n_near, the items that only
+    come near."""
     items, blocks = items_of(benchmark, block_words)
-    base, found = None, []
+    base, found, near = None, [], []
     for block in range(blocks):
         mine = items.filter(F.col("block") == block)
         vocabulary = sorted(r[0] for r in mine.select(F.explode("words")).distinct().toLocalIterator())
@@ -185,15 +186,19 @@ def contamination(
         words = settle(item_terms(mine, numbers, index), "item-terms")
         anchors = rare_terms(words, window, rare)
         found.append(phrase_matches(words, anchors, index, window))
+        near.append(proximity_matches(anchors, index))
     matches = settle(reduce(DataFrame.union, found), "matches")
     words_hit = matches.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length").cast("int") - 1)).alias("at"))
     hit = words_hit.distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     named = matches.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    rows = base.join(hit, "row", "left").join(named, "row", "left")
+    only = reduce(DataFrame.union, near).join(matches, ["row", "item"], "left_anti")
+    only = only.groupBy("row").agg(F.count("*").alias("n_near"))
+    rows = base.join(hit, "row", "left").join(named, "row", "left").join(only, "row", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return rows.select(
         "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 

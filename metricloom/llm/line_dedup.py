@@ -108,21 +108,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS)
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """``docs`` with later copies of runs deleted from ``text``, n_lines (that count) and n_removed."""
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    rows = keyed.select("doc_id", F.col("_h").alias("h"), F.col("text")).filter("text is not null")
+    keyed = docs.withColumn("__h", F.xxhash64("text"))
+    rows = keyed.select("doc_id", F.col("__h").alias("h"), F.col("text")).filter("text is not null")
     found = repeats(rows, window, long_words)
     gone = found.select("doc_id", "h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("i"))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_hash")).agg(F.collect_set("i").alias("_gone"))
-    same = keyed["doc_id"].eqNullSafe(gone["_id"]) & (keyed["_h"] == gone["_hash"])
-    joined = keyed.join(gone, same, "left").withColumn("_lines", F.split("text", "\n", -1))
-    full = F.transform("_lines", lambda x, i: F.when(F.trim(x, F.lit(BLANKS)) != "", i))
-    joined = joined.withColumn("_full", F.filter(full, lambda i: i.isNotNull()))
-    joined = joined.withColumn("_removed", F.transform("_gone", lambda i: F.get("_full", i)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    text = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
+    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__hash")).agg(F.collect_set("i").alias("__gone"))
+    same = keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__h"] == gone["__hash"])
+    joined = keyed.join(gone, same, "left").withColumn("__lines", F.split("text", "\n", -1))
+    full = F.transform("__lines", lambda x, i: F.when(F.trim(x, F.lit(BLANKS)) != "", i))
+    joined = joined.withColumn("__full", F.filter(full, lambda i: i.isNotNull()))
+    joined = joined.withColumn("__removed", F.transform("__gone", lambda i: F.get("__full", i)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed"))
+    text = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
     joined = joined.withColumns({
-        "n_lines": F.coalesce(F.array_size("_full"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.array_size("_removed"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_removed").isNull(), F.col("text")).otherwise(text),
+        "n_lines": F.coalesce(F.array_size("__full"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.array_size("__removed"), F.lit(0)).cast("long"),
+        "text": F.when(F.col("__removed").isNull(), F.col("text")).otherwise(text),
     })
-    return joined.drop("_h", "_id", "_hash", "_gone", "_lines", "_full", "_removed")
+    return joined.drop("__h", "__id", "__hash", "__gone", "__lines", "__full", "__removed")

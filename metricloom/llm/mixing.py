@@ -59,9 +59,10 @@ def offset(source: Column, seed: int) -> Column:
 
 
 def copies(sizes: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """Add source_size, target and copies to rows with doc_id, source, size and ``tie`` (orders rows of the same id)."""
+    """Add source_size, target, copies and place (in the source, from 0) to rows with doc_id, source, size and ``tie``, which
+    orders rows of the same id."""
     ordered = sizes.withColumn("_order", F.md5(F.col("doc_id").cast("string")))
-    placed = running_sum(ordered, ["source"], ["size", "_order", "tie"], F.lit(1).cast("long"), "_place")
+    placed = running_sum(ordered, ["source"], ["size", "_order", "tie"], F.lit(1).cast("long"), "place")
     goal = targets(placed, weights, ceiling).withColumnRenamed("source", "_source")
     rows = placed.join(goal, placed["source"].eqNullSafe(goal["_source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -70,8 +71,8 @@ def copies(sizes: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS,
     def crossed(place: Column) -> Column:
         return F.floor(place * F.col("_rate") + F.col("_offset"))
 
-    emitted = crossed(F.col("_place") + 1) - crossed(F.col("_place"))
-    return rows.withColumn("copies", emitted.cast("long")).drop("_order", "_place", "_source", "_rate", "_offset")
+    emitted = crossed(F.col("place") + 1) - crossed(F.col("place"))
+    return rows.withColumn("copies", emitted.cast("long")).drop("_order", "_source", "_rate", "_offset")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -87,12 +88,12 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, cei
     so one of them stands for all and comes out with their copies together.
     """
     names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(*names))
+    keyed = docs.withColumns({"__row": F.xxhash64(*names), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
     size = words(F.col("text")).alias("size")
-    narrow = keyed.select("doc_id", "source", size, F.col("_row").alias("tie"))
-    taken = copies(narrow, seed, weights, ceiling).groupBy("doc_id", "tie").agg(F.sum("copies").alias("_copies"))
-    taken = taken.filter("_copies > 0").withColumnRenamed("doc_id", "_id")
-    same = keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_row"] == taken["tie"])
-    joined = keyed.dropDuplicates(["doc_id", "_row"]).join(taken, same)
-    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return joined.withColumn("_copy", every).select(*names)
+    taken = copies(keyed.select("doc_id", "source", size, F.col("__row").alias("tie"), "__id"), seed, weights, ceiling)
+    # copies of equal rows are summed up a thousand places at a time, so no row has to come out very often
+    parts = taken.groupBy("__id", F.col("tie").alias("__row"), F.floor(F.col("place") / 1000).alias("__part"))
+    parts = parts.agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
+    joined = keyed.dropDuplicates(["__id", "__row"]).join(parts, ["__id", "__row"])
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    return joined.withColumn("__copy", every).select(*names)

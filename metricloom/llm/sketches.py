@@ -100,8 +100,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
     length. Only keys and lengths are ordered."""
     narrow = rows.select("id", "h", F.char_length("text").alias("n")).distinct()
     placed = running_sum(narrow, [], ["id", "h"], F.lit(1).cast("long"), "place")
-    total = placed.agg(F.max("place")).first()[0]
-    after = F.when(F.col("place") == F.lit(total), F.lit(0)).otherwise(F.col("place") + 1)
+    last = narrow.count() - 1
+    after = F.when(F.col("place") == F.lit(last), F.lit(0)).otherwise(F.col("place") + 1)
     before = placed.select(
         F.col("id").alias("prev_id"), F.col("h").alias("prev_h"), F.col("n").alias("prev_n"), after.alias("place")
     )

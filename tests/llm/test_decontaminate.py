@@ -1,0 +1,78 @@
+import random
+import re
+
+import pytest
+
+from metricloom.llm import decontaminate as de
+
+
+def words(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+
+
+def brute(text, items, window=10):
+    doc, hit, ids = words(text), set(), set()
+    for item_id, item_text in items:
+        item = words(item_text)
+        size = min(window, len(item))
+        for s in range(len(item) - size + 1 if item else 0):
+            for at in range(len(doc) - size + 1):
+                if doc[at : at + size] == item[s : s + size]:
+                    hit |= set(range(at, at + size))
+                    ids.add(item_id)
+    return len(doc), len(hit), sorted(str(i) for i in ids if i is not None)
+
+
+def corpus(seed=1):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(25)] + ["Ünd", "der", "9"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(1, 30)))) for i in range(25)]
+    items += [(90, ""), (91, None), (92, "..."), (93, "the"), (94, "the the the"), (None, items[0][1]), (3, "rare thing")]
+    docs = []
+    for i in range(60):
+        text = rng.choices(vocabulary, k=rng.randrange(0, 60))
+        if i % 2:
+            piece = words(items[rng.randrange(25)][1])
+            start = rng.randrange(len(piece))
+            text[10:10] = piece[start : start + 14]
+        docs.append((i, " ".join(w.upper() if rng.random() < 0.2 else w for w in text)))
+    docs += [(100, None), (101, ""), (102, "the, the; THE the"), (102, "Rare-thing"), (None, "rare thing"), (103, "the " * 3000)]
+    return docs, items
+
+
+@pytest.mark.parametrize("block_words", [500_000, 100])
+def test_equal_to_brute_force(spark, block_words):
+    docs, items = corpus()
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, row string, term int")
+    got = de.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    want = [(i, *brute(t, items)) for i, t in docs]
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.item_ids) for r in got) == sorted(
+        (str(i), n, h, len(ids), ids) for i, n, h, ids in want
+    )
+    assert sum(h > 0 for _, _, h, _ in want) > 10
+
+
+def test_proximity(spark):
+    item = "zero one two three four five six seven eight nine ten eleven"
+    docs = [(1, item), (2, item.replace("five", "five extra")), (3, "zero one two"), (4, item.replace(" ", " and then some more of it "))]
+    docs += [(10 + i, "zero two four six eight ten" if i % 2 else "five other words here") for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = de.contamination(frame, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_hit} == {1}
+    assert {r.doc_id for r in got if r.n_near} == {2}
+
+
+def test_drop_contaminated(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b", "y"), (None, "a b c", "z")], "doc_id long, text string, _bad string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    kept = de.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=str) == sorted([(2, "a b", "y"), (None, "a b c", "z")], key=str)
+
+
+def test_empty_tables(spark):
+    docs, items = "doc_id long, text string", "item_id long, text string"
+    assert de.contamination(spark.createDataFrame([], docs), spark.createDataFrame([(1, "a b")], items)).collect() == []
+    row = de.contamination(spark.createDataFrame([(1, "a b")], docs), spark.createDataFrame([], items)).first()
+    assert (row.doc_id, row.n_words, row.n_hit, row.n_items) == (1, 2, 0, 0)
