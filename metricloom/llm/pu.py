@@ -1,9 +1,10 @@
 """Non-negative positive-unlabelled learning of a logistic model on sparse binary features, in numpy.
 
 The risk of a classifier is estimated without negatives: with class prior p, positives P and unlabelled rows U,
-``p * mean_P loss(+) + max(0, mean_U loss(-) - p * mean_P loss(-))``. The bracket estimates the risk on negatives; where a
-flexible model drives it below zero it is raised again instead of lowered (non-negative correction). The loss is
-logistic, so the sigmoid of the model's output estimates the probability of the positive class.
+``p * mean_P loss(+) + max(0, mean_U loss(-) - p * mean_P loss(-))``. The second part estimates the risk on negatives, which
+cannot be below zero; where a flexible model drives the estimate there, it is raised again with strength ``gamma``
+(non-negative correction). The loss is logistic, so the sigmoid of the model's output estimates the probability of the
+positive class.
 
 The model is fitted on the driver from a bounded sample (``positives`` and ``unlabelled`` rows in expectation, picked by a
 hash of the id); the prior is estimated from all labels, and every row is scored.
@@ -90,13 +91,13 @@ def fit(
     prior: float,
     rounds: int = 150,
     rate: float = 0.1,
-    decay: float = 1e-3,
-    beta: float = 0.0,
+    decay: float = 3e-4,
+    gamma: float = 1.0,
     fewest: int = 3,
     least_share: float = 0.0,
     lift: float = 0.0,
 ) -> Model:
-    """Adam steps on the non-negative risk over the whole sample.
+    """Adam steps on the non-negative risk over the whole sample; the model is the mean of the last third of the steps.
 
     Left out are features of fewer than ``fewest`` positives, or than ``least_share`` of them, and those whose share of
     the positives is below ``lift`` times their share of the unlabelled rows: what sets positives apart is evidence.
@@ -117,7 +118,7 @@ def fit(
         return Rows(np.searchsorted(known, rows.places[kept]), sums[rows.starts])
 
     p, u, width = narrowed(p), narrowed(u), len(known)
-    theta, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    theta, first, second, mean = (np.zeros(width + 1) for _ in range(4))
     theta[-1] = start
     for step in range(1, rounds + 1):
         zp, zu = p.outputs(theta[:-1], theta[-1]), u.outputs(theta[:-1], theta[-1])
@@ -125,12 +126,14 @@ def fit(
         # slopes of the parts: loss(+) = softplus(-z), loss(-) = softplus(z)
         plus = -prior * sigmoid(-zp) / len(p)
         minus_p, minus_u = -prior * sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        sp, su = (plus + minus_p, minus_u) if negative >= -beta else (-minus_p, -minus_u)
+        sp, su = (plus + minus_p, minus_u) if negative >= 0 else (plus - gamma * minus_p, -gamma * minus_u)
         slope = np.append(p.gradient(sp, width) + u.gradient(su, width), sp.sum() + su.sum())
         slope[:-1] += decay * theta[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        mean += theta * (step > rounds - rounds // 3)
+    theta = mean / max(1, rounds // 3)
     kept = np.abs(theta[:-1]) > 1e-4
     return Model(known[kept], theta[:-1][kept], float(theta[-1]))
 
