@@ -180,7 +180,7 @@ def write(
         nothing.cast("bigint").alias("ref"), nothing.cast("string").alias("ref_url"),
     )
     both = about.union(body).withColumn("shard", shard if starts else F.lit(0))
-    both = both.repartition(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "order", "url")
+    both = both.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "order", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, known, refers = Roller(path, file_bytes, level, date), None, None
