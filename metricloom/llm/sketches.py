@@ -88,11 +88,15 @@ def digits(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+#: Stands for a missing id among the join keys; as an id it counts as missing.
+MISSING = -(2**63)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the join keys id and h; a missing id gets keys of its own."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    missing = F.lit(-(2**63))
-    return rows.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), missing), "h": F.xxhash64("text", F.isnull("doc_id"))})
+    """id, h and text: the join keys and what they stand for."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("id"), text)
+    return rows.withColumn("h", F.xxhash64("text"))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -111,7 +115,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Sketches of every text and of its edited text, whose second half is the beginning of the next document.
 
-    The texts are shuffled once, by document; what the next document has to give is cut to the length needed before it
+    The texts are shuffled once, by document (both joins read the same exchange); what the next document has to give is cut to the length needed before it
     moves to its predecessor, together with its sketch.
     """
     rows = keyed(docs)
@@ -126,7 +130,7 @@ def edited_likeness(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Data
     )
     n = F.char_length("text")
     joined = rows.join(gives, ["id", "h"]).select(
-        "doc_id",
+        F.when(F.col("id") != MISSING, F.col("id")).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         "text",
         F.concat(F.left("text", n - F.floor(n / 2).cast("int")), "tail").alias("edited"),
