@@ -21,6 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from metricloom.llm.tables import settle
+
 #: Names of features are hashed into so many numbers.
 WIDTH = 1 << 20
 #: Sample sizes (expected): positives with a label, and unlabelled rows.
@@ -55,26 +57,30 @@ class Model:
 
 @dataclass
 class Rows:
-    """Feature places of many rows, one after another, and where each row's begin."""
+    """Features of many rows as numbers from 0, one row after another, and where each row begins."""
 
-    places: np.ndarray
+    numbers: np.ndarray
     starts: np.ndarray
 
     @staticmethod
-    def of(rows: list[np.ndarray]) -> Rows:
-        sizes = [len(r) for r in rows]
-        joined = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-        return Rows(joined, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    def of(rows: list[list[int]]) -> Rows:
+        joined = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.empty(0, np.int32)
+        return Rows(joined, np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64))
+
+    @staticmethod
+    def of_arrow(column: pa.ListArray) -> Rows:
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        return Rows(column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0])
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
     def outputs(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        sums = np.append(0.0, np.cumsum(weights[self.places]))
+        sums = np.append(0.0, np.cumsum(weights[self.numbers]))
         return bias + sums[self.starts[1:]] - sums[self.starts[:-1]]
 
     def gradient(self, slopes: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.places, np.repeat(slopes, np.diff(self.starts)), width)
+        return np.bincount(self.numbers, np.repeat(slopes, np.diff(self.starts)), width)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -86,38 +92,17 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 def fit(
-    positive: list[np.ndarray],
-    unlabelled: list[np.ndarray],
-    prior: float,
-    rounds: int = 150,
-    rate: float = 0.1,
-    decay: float = 3e-4,
-    gamma: float = 1.0,
-    fewest: int = 3,
-    least_share: float = 0.0,
-    lift: float = 0.0,
+    p: Rows, u: Rows, known: np.ndarray, prior: float, rounds: int = 150, rate: float = 0.1, decay: float = 3e-4, gamma: float = 1.0
 ) -> Model:
-    """Adam steps on the non-negative risk over the whole sample; the model is the mean of the last third of the steps.
+    """Adam steps on the non-negative risk over the whole sample of positives ``p`` and unlabelled rows ``u``; the model is
+    the mean of the last third of the steps. ``known`` has the places of the numbered features.
 
-    Left out are features of fewer than ``fewest`` positives, or than ``least_share`` of them, and those whose share of
-    the positives is below ``lift`` times their share of the unlabelled rows: what sets positives apart is evidence.
     Without positives or without unlabelled rows the score is the prior everywhere.
     """
     prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
-    start = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    start, width = float(np.log(prior / (1 - prior))), len(known)
+    if not len(p) or not len(u):
         return Model(np.empty(0, np.int64), np.empty(0), start)
-    p, u = Rows.of(positive), Rows.of(unlabelled)
-    known, counts = np.unique(p.places, return_counts=True)
-    also = np.bincount(np.searchsorted(known, u.places[np.isin(u.places, known)]), minlength=len(known))
-    known = known[(counts >= max(fewest, least_share * len(p))) & (counts / len(p) >= lift * also / len(u))]
-
-    def narrowed(rows: Rows) -> Rows:
-        kept = np.isin(rows.places, known)
-        sums = np.append(0, np.cumsum(kept))
-        return Rows(np.searchsorted(known, rows.places[kept]), sums[rows.starts])
-
-    p, u, width = narrowed(p), narrowed(u), len(known)
     theta, first, second, mean = (np.zeros(width + 1) for _ in range(4))
     theta[-1] = start
     for step in range(1, rounds + 1):
@@ -145,9 +130,7 @@ def sample_ids(ids: DataFrame, limit: int, salt: str) -> DataFrame:
     return ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def gather(
-    docs: DataFrame, labels: DataFrame, features: Featurizer, positives: int, unlabelled: int
-) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def gather(docs: DataFrame, labels: DataFrame, features: Featurizer, positives: int, unlabelled: int) -> DataFrame:
     """Feature places of the sampled positives (``label`` 1) and unlabelled rows; labels of the latter are not looked at."""
     good = sample_ids(labels.filter("label = 1"), positives, "positive").withColumn("positive", F.lit(True))
     rest = sample_ids(docs, unlabelled, "unlabelled").withColumn("positive", F.lit(False))
@@ -165,12 +148,42 @@ def gather(
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "positive", "text").mapInArrow(run, f"doc_id {kind}, positive boolean, places array<int>")
     # of rows that share an id one is enough; it is the same one in every run
-    rows = rows.groupBy("doc_id", "positive").agg(F.min("places").alias("places")).toArrow()
-    order = np.lexsort((rows.column("doc_id").to_numpy(), rows.column("positive").to_numpy()))
-    rows = rows.take(pa.array(order))
-    taken = [np.array(x, np.int64) for x in rows.column("places").to_pylist()]
-    positive = rows.column("positive").to_pylist()
-    return [x for x, p in zip(taken, positive) if p], [x for x, p in zip(taken, positive) if not p]
+    return settle(rows.groupBy("doc_id", "positive").agg(F.min("places").alias("places")), "sample")
+
+
+def telling(sample: DataFrame, n_p: int, n_u: int, fewest: int, least_share: float, lift: float) -> np.ndarray:
+    """Places of the features to learn from, ascending.
+
+    Left out are features of fewer than ``fewest`` positives, or than ``least_share`` of them, and those whose share of
+    the positives is below ``lift`` times their share of the unlabelled rows: what sets positives apart is evidence.
+    """
+    counts = sample.select("positive", F.explode("places").alias("place")).groupBy("place")
+    counts = counts.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
+    often = F.col("p") >= max(fewest, least_share * n_p)
+    apart = F.col("p") / F.lit(max(1, n_p)) >= F.lit(float(lift)) * F.col("u") / F.lit(max(1, n_u))
+    return np.sort(counts.filter(often & apart).select("place").toArrow().column(0).to_numpy())
+
+
+def numbered(sample: DataFrame, known: np.ndarray) -> tuple[Rows, Rows]:
+    """The sample's positives and unlabelled rows with the features in ``known`` as numbers, by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = Rows.of_arrow(batch.column(2))
+            at = np.searchsorted(known, rows.numbers)
+            kept = at < len(known)
+            kept[kept] = known[at[kept]] == rows.numbers[kept]
+            ends = np.append(0, np.cumsum(kept))[rows.starts]
+            numbers = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[kept].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], numbers], ["doc_id", "positive", "places"])
+
+    sides = []
+    for positive in (True, False):
+        rows = sample.filter(F.col("positive") == positive).mapInArrow(run, sample.schema).toArrow().combine_chunks()
+        order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+        column = rows.take(pa.array(order)).column("places").combine_chunks()
+        sides.append(Rows.of_arrow(column) if len(column) else Rows.of([]))
+    return sides[0], sides[1]
 
 
 def train(
@@ -179,12 +192,20 @@ def train(
     features: Featurizer,
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
+    fewest: int = 3,
+    least_share: float = 0.0,
+    lift: float = 0.0,
     **options: float,
 ) -> Model:
-    """Model from documents and labels (doc_id, ``label`` 0 or 1; only label 1 and the share of 1 are used)."""
+    """Model from documents and labels (doc_id, ``label`` 0 or 1; only label 1 and the share of 1 are used).
+
+    Features are chosen where the sample is; the driver gets the numbers of chosen ones only.
+    """
     prior = labels.agg(F.avg(F.col("label").cast("double"))).first()[0]
     sample = gather(docs, labels, features, positives, unlabelled)
-    return fit(*sample, 0.5 if prior is None else prior, **options)
+    n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    known = telling(sample, n_p, n_u, fewest, least_share, lift)
+    return fit(*numbered(sample, known), known, 0.5 if prior is None else prior, **options)
 
 
 def score(docs: DataFrame, model: Model, outputs: Callable[[Model], Callable[[bytes], float]]) -> DataFrame:

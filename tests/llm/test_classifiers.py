@@ -13,13 +13,14 @@ def test_risk_needs_no_negatives():
     def rows(n, positive):
         return [np.unique(np.append(rng.choice([0, 1] if positive else [2, 3], 2), rng.integers(4, 30, 6))) for _ in range(n)]
 
-    model = pu.fit(rows(300, True), rows(300, True) + rows(700, False), 0.3)
+    mixed = rows(300, True) + rows(700, False)
+    model = pu.fit(pu.Rows.of(rows(300, True)), pu.Rows.of(mixed), np.arange(30), 0.3)
     outputs = [pu.sigmoid(np.array([sum(model.lookup().get(p, 0) for p in r) + model.bias]))[0] for r in rows(100, True) + rows(100, False)]
     assert min(outputs[:100]) > 0.5 > max(outputs[100:])
 
 
 def test_nothing_to_learn_from():
-    model = pu.fit([], [np.array([1, 2])], 0.2)
+    model = pu.fit(pu.Rows.of([]), pu.Rows.of([[0, 1]]), np.arange(2), 0.2)
     assert abs(float(pu.sigmoid(np.array([model.bias]))[0]) - 0.2) < 1e-9
 
 
