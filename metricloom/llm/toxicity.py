@@ -19,7 +19,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: A feature counts again where it comes up at least so often, and at least once in so many words.
 TIMES, ONE_IN = (2, 4), (100, 25)
 #: Few features can mark a toxic text: they must be several times as common in them as elsewhere.
-OPTIONS = {"lift": 5.0, "least_share": 0.015, "decay": 3e-3}
+OPTIONS = {"lift": 5.0, "fewest": 8, "least_share": 0.015, "decay": 3e-3}
 #: Words whose places a task remembers before it begins anew.
 REMEMBERED = 1 << 18
 LETTERS = bytes(
