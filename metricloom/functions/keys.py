@@ -39,13 +39,34 @@ def row_key_ms(key: Column) -> Column:
     return F.try_subtract(F.lit(MAX_LONG), number)
 
 
+def _utc_text(seconds: Column) -> Column:
+    """Date and time of whole seconds since the epoch, as UTC whatever the session's time zone."""
+    day = F.lit(86_400).cast("bigint")
+    rest = F.pmod(seconds, day)
+    parts = [F.call_function("div", rest, F.lit(3600)), F.call_function("div", F.pmod(rest, F.lit(3600)), F.lit(60)), F.pmod(rest, F.lit(60))]
+    clock = F.concat_ws(":", *[F.lpad(p.cast("string"), 2, "0") for p in parts])
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.call_function("div", seconds - rest, day).cast("int"))
+    return F.when(seconds.isNotNull(), F.concat(date.cast("string"), F.lit("T"), clock))
+
+
 def rfc3339(ts: Column) -> Column:
-    """UTC text of a timestamp, seconds precision; the session time zone must be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC text of a timestamp, seconds precision."""
+    micros = F.unix_micros(ts)
+    return F.concat(_utc_text(F.call_function("div", micros - F.pmod(micros, F.lit(10**6)), F.lit(10**6))), F.lit("Z"))
 
 
 def rfc3339_micros(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """The same with six decimals."""
+    micros = F.unix_micros(ts)
+    rest = F.pmod(micros, F.lit(10**6))
+    decimals = F.lpad(rest.cast("string"), 6, "0")
+    return F.concat(_utc_text(F.call_function("div", micros - rest, F.lit(10**6))), F.lit("."), decimals, F.lit("Z"))
+
+
+def utc_date(ts: Column) -> Column:
+    """Date of a timestamp in UTC."""
+    micros, day = F.unix_micros(ts), F.lit(86_400 * 10**6).cast("bigint")
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.call_function("div", micros - F.pmod(micros, day), day).cast("int"))
 
 
 def interval_micros(text: str) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from metricloom.functions.keys import interval_micros, time_bucket
 from metricloom.functions.metrics import severity_name
 from metricloom.functions.text import stable_id
 from metricloom.operators.asof import asof_last
@@ -121,18 +122,12 @@ def undelivered(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return with_subscriber(alerts, subscriptions).filter("subscribed_at is null").drop("subscribed_at")
 
 
-def deliver(routed: DataFrame, cap: int = ALERT_BUFFER) -> tuple[DataFrame, DataFrame]:
-    """``(delivered, overflow)`` of one micro-batch: a subscriber's buffer takes the ``cap`` oldest alerts.
+def deliver(routed: DataFrame, cap: int = ALERT_BUFFER, slot: str = "1 minute") -> tuple[DataFrame, DataFrame]:
+    """``(delivered, overflow)``: a subscriber's buffer takes the ``cap`` oldest alerts of every time slot.
 
-    The overflow is a count per agent; the alerts themselves stay in the alert table. The cap is planned
-    as a group limit below the exchange and the counts are aggregated on the map side.
+    Slots are fixed, so the answer does not depend on how the alerts came in. Both parts are alerts; none is lost.
     """
-    order = Window.partitionBy("agent_id").orderBy("triggered_at", "alert_id")
-    delivered = routed.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= cap).drop("_rn")
-    overflow = (
-        routed.groupBy("agent_id")
-        .agg(F.count(F.lit(1)).alias("routed"))
-        .filter(F.col("routed") > cap)
-        .select("agent_id", (F.col("routed") - cap).alias("overflow"))
-    )
-    return delivered, overflow
+    at = time_bucket(F.col("triggered_at"), interval_micros(slot))
+    order = Window.partitionBy("agent_id", at).orderBy("triggered_at", "alert_id")
+    placed = routed.withColumn("_rn", F.row_number().over(order))
+    return placed.filter(F.col("_rn") <= cap).drop("_rn"), placed.filter(F.col("_rn") > cap).drop("_rn")

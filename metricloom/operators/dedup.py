@@ -12,6 +12,8 @@ from metricloom.functions.keys import interval_micros, time_bucket
 from metricloom.schemas import DEDUP_SWEEP, DEDUP_TTL
 
 KEY = "idempotency_key"
+#: Accepted slots are gathered in pieces of this length, so that adding one never copies the whole list.
+_PIECE = 256
 
 
 def dedup_batch(frames: DataFrame) -> DataFrame:
@@ -26,16 +28,16 @@ def dedup_batch(frames: DataFrame) -> DataFrame:
 
 def mark_duplicates(frames: DataFrame) -> DataFrame:
     """All rows with ``is_duplicate``. The join back is on the unique ``arrival_seq``, so it cannot skew."""
-    winners = frames.groupBy(KEY).agg(F.min("arrival_seq").alias("arrival_seq")).select("arrival_seq")
-    return _mark(frames, winners)
+    key = F.coalesce(KEY, F.lit("")).alias(KEY)
+    return mark(frames, frames.groupBy(key).agg(F.min("arrival_seq").alias("arrival_seq")))
 
 
-def _mark(frames: DataFrame, winners: DataFrame) -> DataFrame:
-    return (
-        frames.join(winners.withColumn("_first", F.lit(True)), "arrival_seq", "left")
-        .withColumn("is_duplicate", F.col("_first").isNull())
-        .drop("_first")
-    )
+def mark(frames: DataFrame, winners: DataFrame) -> DataFrame:
+    """Rows that are no winner (key, arrival_seq) are duplicates; of rows that share both, one is the winner."""
+    first = winners.select(F.col(KEY).alias("_key"), "arrival_seq", F.lit(True).alias("_first"))
+    rows = frames.withColumn("_key", F.coalesce(KEY, F.lit(""))).join(first, ["arrival_seq", "_key"], "left")
+    again = F.row_number().over(Window.partitionBy("arrival_seq", "_key").orderBy("arrival_seq")) > 1
+    return rows.withColumn("is_duplicate", F.col("_first").isNull() | again).drop("_first", "_key")
 
 
 def dead_after(ttl: str = DEDUP_TTL, sweep: str = DEDUP_SWEEP) -> int:
@@ -62,10 +64,11 @@ def accepted(
 ) -> DataFrame:
     """``(idempotency_key, bucket, arrival_seq)`` of the accepted rows.
 
-    ``seen`` (key, bucket) holds at most one remembered acceptance per key from earlier input.
-    Walking the slots of a key in order needs one small array per key: its length is bounded by the time
-    span over ``sweep`` (8,640 for 30 days), whatever the number of rows.
+    ``seen`` (key, bucket) holds remembered acceptances from earlier input; the latest of a key counts. A null key is
+    the unset key. Walking the slots of a key in order needs one small array per key: its length is bounded by the time
+    span over ``sweep`` (8,640 for 30 days), whatever the number of rows, and the walk is linear in it.
     """
+    frames = frames.withColumn(KEY, F.coalesce(KEY, F.lit("")))
     m = dead_after(ttl, sweep)
     slots = first_in_slots(frames, sweep).groupBy(KEY).agg(
         F.array_sort(F.collect_list(F.struct("bucket", "arrival_seq"))).alias("_slots")
@@ -73,33 +76,41 @@ def accepted(
     if seen is None:
         slots = slots.withColumn("_last", F.lit(None).cast("bigint"))
     else:
-        slots = slots.join(seen.select(KEY, F.col("bucket").alias("_last")), KEY, "left")
+        known = seen.groupBy(F.coalesce(KEY, F.lit("")).alias(KEY)).agg(F.max("bucket").alias("_last"))
+        slots = slots.join(known, KEY, "left")
     slot_type = "array<struct<bucket: bigint, arrival_seq: bigint>>"
-    empty = F.expr(f"cast(array() as {slot_type})")
+    empty, none = F.expr(f"cast(array() as {slot_type})"), F.expr(f"cast(array() as array<{slot_type}>)")
 
     def step(state, slot):
         free = state["last"].isNull() | (slot["bucket"] > state["last"] + m)
+        full = F.size(state["piece"]) >= _PIECE
+        piece = F.when(full, F.array(slot)).otherwise(F.concat(state["piece"], F.array(slot)))
+        done = F.when(full, F.concat(state["done"], F.array(state["piece"]))).otherwise(state["done"])
         return F.when(
-            free,
-            F.struct(slot["bucket"].alias("last"), F.concat(state["kept"], F.array(slot)).alias("kept")),
+            free, F.struct(slot["bucket"].alias("last"), piece.alias("piece"), done.alias("done"))
         ).otherwise(state)
 
+    start = F.struct(F.col("_last").alias("last"), empty.alias("piece"), none.alias("done"))
     kept = F.aggregate(
-        "_slots", F.struct(F.col("_last").alias("last"), empty.alias("kept")), step, lambda state: state["kept"]
+        "_slots", start, step, lambda state: F.flatten(F.concat(state["done"], F.array(state["piece"])))
     )
-    return slots.select(KEY, F.explode(kept).alias("_k")).select(KEY, "_k.bucket", "_k.arrival_seq")
+    # nearly every key has one slot and needs no walk
+    one = F.size("_slots") == 1
+    single = F.when(F.col("_last").isNull() | (F.get("_slots", F.lit(0))["bucket"] > F.col("_last") + m), F.col("_slots")).otherwise(empty)
+    chosen = F.explode(F.when(one, single).otherwise(kept))
+    return slots.select(KEY, chosen.alias("_k")).select(KEY, "_k.bucket", "_k.arrival_seq")
 
 
 def mark_duplicates_ttl(
     frames: DataFrame, ttl: str = DEDUP_TTL, sweep: str = DEDUP_SWEEP, seen: DataFrame | None = None
 ) -> DataFrame:
     """All rows with ``is_duplicate``, keys being forgotten as described in :func:`dead_after`."""
-    return _mark(frames, accepted(frames, ttl, sweep, seen).select("arrival_seq"))
+    return mark(frames, accepted(frames, ttl, sweep, seen))
 
 
 def dedup_batch_ttl(frames: DataFrame, ttl: str = DEDUP_TTL, sweep: str = DEDUP_SWEEP) -> DataFrame:
     """Keep the accepted rows only."""
-    return frames.join(accepted(frames, ttl, sweep).select("arrival_seq"), "arrival_seq", "left_semi")
+    return mark_duplicates_ttl(frames, ttl, sweep).filter("not is_duplicate").drop("is_duplicate")
 
 
 def dedup_stream(frames: DataFrame, ttl: str = DEDUP_TTL, time_col: str = "received_at") -> DataFrame:

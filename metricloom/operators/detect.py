@@ -10,7 +10,7 @@ from metricloom.functions.metrics import (
     severity_name,
     threshold_detector,
 )
-from metricloom.functions.text import trace_id
+from metricloom.functions.text import span_id, trace_id
 from metricloom.schemas import DEFAULT_CPU_PCT, DEFAULT_MEMORY_PCT
 from metricloom.sources.frames_json import frame_json
 
@@ -64,7 +64,7 @@ def policy_detect(
 
 
 def anomaly_messages(detected: DataFrame) -> DataFrame:
-    """One message per anomaly: the whole frame as JSON plus trace context and ids as attributes."""
+    """One message per anomaly: the whole frame as JSON, trace context and ids as attributes, and the time of arrival."""
     tracestate = F.col("tracestate") if "tracestate" in detected.columns else F.lit("")
     attributes = {
         "traceparent": F.coalesce("traceparent", F.lit("")),
@@ -73,7 +73,10 @@ def anomaly_messages(detected: DataFrame) -> DataFrame:
         "fleet_id": F.col("fleet_id"),
     }
     pairs = [part for name, value in attributes.items() for part in (F.lit(name), value)]
-    return anomalies(detected).select(frame_json().alias("payload"), F.create_map(*pairs).alias("attributes"))
+    published = F.col("received_at") if "received_at" in detected.columns else F.lit(None).cast("timestamp")
+    return anomalies(detected).select(
+        frame_json().alias("payload"), F.create_map(*pairs).alias("attributes"), published.alias("published_at")
+    )
 
 
 def trace_join(messages: DataFrame, logs: DataFrame) -> DataFrame:
@@ -95,3 +98,15 @@ def trace_join(messages: DataFrame, logs: DataFrame) -> DataFrame:
         )
     )
     return messages.withColumn("trace_id", trace_id(F.col("attributes")["traceparent"])).join(per_trace, "trace_id")
+
+
+def trace_records(messages: DataFrame, logs: DataFrame) -> DataFrame:
+    """Messages with the log records of their own span: message columns, trace_id, span_id, then the log's columns.
+
+    A span belongs to one frame, so this grows with the input, unlike records paired by trace alone.
+    """
+    own = F.col("attributes")["traceparent"]
+    left = messages.withColumns({"trace_id": trace_id(own), "span_id": span_id(own)})
+    there = F.col("traceparent")
+    right = logs.withColumns({"trace_id": trace_id(there), "span_id": span_id(there)}).drop("traceparent")
+    return left.join(right.filter("trace_id is not null"), ["trace_id", "span_id"])

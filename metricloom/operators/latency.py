@@ -53,7 +53,9 @@ def quantile_from_buckets(histogram: DataFrame, q: float = 0.99, by: tuple[str,
         F.coalesce(F.lag("cumulative").over(le_order), F.lit(0)).alias("_below"),
         (F.max("cumulative").over(Window.partitionBy(*by)) * F.lit(q)).alias("_rank"),
     )
-    inside = ranked.filter((F.col("_rank") <= F.col("cumulative")) & (F.col("_rank") > F.col("_below")))
+    # rank 0 lies at the lower end of the first bucket that holds anything
+    above = (F.col("_rank") > F.col("_below")) | ((F.col("_rank") == 0) & (F.col("_below") == 0) & (F.col("cumulative") > 0))
+    inside = ranked.filter((F.col("_rank") <= F.col("cumulative")) & above)
     share = F.try_divide(F.col("_rank") - F.col("_below"), (F.col("cumulative") - F.col("_below")).cast("double"))
     value = F.when(F.col("le") == _INF, F.col("_lower")).otherwise(
         F.col("_lower") + (F.col("le") - F.col("_lower")) * share

@@ -4,36 +4,30 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from metricloom.functions.keys import row_key_ms, unix_ms
+from metricloom.functions.keys import rfc3339_micros, row_key_ms, unix_ms
 from metricloom.functions.metrics import guarded_mean, severity_name
 from metricloom.schemas import DEFAULT_LAST_N, INFO, PLACEHOLDER_AGENT
 
-# Above spark.sql.optimizer.windowGroupLimitThreshold Spark plans no group limit below the exchange.
-_GROUP_LIMIT = 1000
+# A hot agent's rows are first cut in so many parts, so that no task sorts them all.
+_PARTS = 64
+
+
+def _newest(store: DataFrame, most: Column) -> DataFrame:
+    """Newest rows per agent with their rank ``rn``, up to ``most``: parts of an agent's rows first, then what is left."""
+    part = Window.partitionBy("agent_id", F.pmod(F.xxhash64("row_key"), F.lit(_PARTS))).orderBy(F.desc("unix_ms"))
+    rows = store.withColumn("_part_rn", F.row_number().over(part)).filter(F.col("_part_rn") <= most).drop("_part_rn")
+    whole = Window.partitionBy("agent_id").orderBy(F.desc("unix_ms"))
+    return rows.withColumn("rn", F.row_number().over(whole)).filter(F.col("rn") <= most)
 
 
 def recent_n(store: DataFrame, n: int = DEFAULT_LAST_N) -> DataFrame:
-    """Newest ``n`` rows per agent with their rank ``rn``; the store has one row per key.
+    """Newest ``n`` rows per agent with their rank ``rn``; the store has one row per key."""
+    return _newest(store, F.lit(n))
 
-    Up to 1,000 the rank filter becomes a group limit on the map side. Above it, agents are first cut into
-    salted parts that each keep their newest ``n``, so a hot agent is never sorted in one task.
-    """
-    rows = store
-    newest = Window.partitionBy("agent_id").orderBy(F.desc("unix_ms"))
-    if n > _GROUP_LIMIT:
-        part = Window.partitionBy("agent_id", "_salt").orderBy(F.desc("unix_ms"))
-        rows = (
-            rows.withColumn("_salt", F.pmod(F.xxhash64("row_key"), F.lit(64)))
-            .withColumn("_part_rn", F.row_number().over(part))
-            .filter(F.col("_part_rn") <= n)
-            .drop("_salt", "_part_rn")
-        )
-    return rows.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= n)
-
-
-def _summary_input(store: DataFrame) -> DataFrame:
+
+def _summary_input(store: DataFrame, *more: str) -> DataFrame:
     """CPU is null without system metrics; the time is 0 when the key cannot be parsed back."""
     return store.select(
         "agent_id",
@@ -41,6 +35,7 @@ def _summary_input(store: DataFrame) -> DataFrame:
         "row_key",
         F.when(F.col("system").isNotNull(), F.coalesce("system.cpu_utilization_pct", F.lit(0.0))).alias("cpu"),
         F.coalesce(row_key_ms(F.col("row_key")), F.lit(0)).alias("seen_ms"),
+        *more,
     )
 
 
@@ -53,11 +48,13 @@ def agent_recent_summary(store: DataFrame, n: int = DEFAULT_LAST_N) -> DataFrame
     )
 
 
-def _prefix_summaries(store: DataFrame, max_n: int) -> DataFrame:
-    """Summary of the newest k rows for every k up to ``max_n``, and the row count of the agent."""
+def _prefix_summaries(store: DataFrame, needs: DataFrame) -> DataFrame:
+    """Summary of the newest k rows of the agents in ``needs`` (agent_id, most), for every k up to ``most`` or the agent's
+    row count, which ``available`` tells up to there."""
+    rows = _summary_input(store.join(needs, "agent_id"), "most")
     whole = Window.partitionBy("agent_id")
     upto = whole.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    return recent_n(_summary_input(store), max_n).select(
+    return _newest(rows, F.col("most")).select(
         "agent_id",
         F.col("rn").alias("k"),
         F.count(F.lit(1)).over(whole).alias("available"),
@@ -78,21 +75,18 @@ def fleet_status_agents(
     state: DataFrame,
     store: DataFrame,
     requests: DataFrame,
-    max_n: int | None = None,
     placeholder_as_of: datetime | None = None,
 ) -> DataFrame:
     """Status rows for a table of requests (fleet_id, last_n_rows), each with its own row count.
 
-    One pass over the store for all agents. The recent summary replaces both mean and time when it knows a
-    time; otherwise both come from the state table. ``max_n`` is the largest row count requested; it is
-    looked up (one number) unless given. With ``placeholder_as_of`` an unknown fleet yields the stand-in
-    agent seen at that time, otherwise nothing.
+    Members first: only rows of agents in a requested fleet are read from the store, each agent's up to the largest count
+    asked for it. The recent summary replaces both mean and time when it knows a time; otherwise both come from the state
+    table. With ``placeholder_as_of`` an unknown fleet yields the stand-in agent seen at that time, otherwise nothing.
     """
     asked = clean_requests(requests)
-    if max_n is None:
-        max_n = asked.agg(F.max("last_n_rows")).first()[0] or DEFAULT_LAST_N
-    recent = _prefix_summaries(store, max_n)
     members = asked.join(state, "fleet_id")
+    needs = members.groupBy("agent_id").agg(F.max("last_n_rows").alias("most"))
+    recent = _prefix_summaries(store, needs)
     replaced = F.coalesce(F.col("recent_ms"), F.lit(0)) > 0
     agents = members.join(
         recent,
@@ -133,28 +127,18 @@ def fleet_status_summary(state: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def fleet_status(
-    agents: DataFrame, state: DataFrame, requests: DataFrame, as_of: datetime, agents_per_page: int = 10_000
-) -> DataFrame:
-    """Nested response per request: ``fleet_id, last_n_rows, page, pages, active_agent_count, agents, as_of``.
+def fleet_status(agents: DataFrame, requests: DataFrame, as_of: datetime) -> DataFrame:
+    """Nested response per request: ``fleet_id, last_n_rows, active_agent_count, agents, as_of``.
 
-    ``agents`` are the rows of :func:`fleet_status_agents`, sorted by id inside a page. A response with more
-    than ``agents_per_page`` agents is spread over pages of about that size by a hash of the agent id, so no
-    task ever builds the array of a whole fleet; the pages together hold every agent, each with the full count.
+    ``agents`` are the rows of :func:`fleet_status_agents`, a stand-in included; they are sorted by id and counted. A
+    response holds all agents of its fleet, as the interface asks; :func:`fleet_status_agents` is the form without nesting.
     """
-    pages = F.greatest(F.lit(1), F.ceil(F.col("active_agent_count") / F.lit(agents_per_page))).cast("bigint")
-    summary = fleet_status_summary(state, requests).withColumn("pages", pages)
     member = F.struct("agent_id", "avg_cpu_utilization_pct", "last_seen_unix_ms", "status")
-    # Agents on the streamed side: a hot fleet can be split, and the few summary rows can be broadcast.
-    paged = agents.join(summary, ["fleet_id", "last_n_rows"]).withColumn(
-        "page", F.pmod(F.xxhash64("agent_id"), F.col("pages"))
-    )
-    empty = summary.filter("active_agent_count = 0").withColumn("page", F.lit(0).cast("bigint"))
-    return (
-        paged.unionByName(empty, allowMissingColumns=True)
-        .groupBy("fleet_id", "last_n_rows", "page", "pages", "active_agent_count")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("agent_id").isNotNull(), member))).alias("agents"))
-        .withColumn("as_of", F.lit(as_of))
+    nested = agents.groupBy("fleet_id", "last_n_rows").agg(F.array_sort(F.collect_list(member)).alias("agents"))
+    none = F.expr("cast(array() as array<struct<agent_id: string, avg_cpu_utilization_pct: double, last_seen_unix_ms: bigint, status: int>>)")
+    found = clean_requests(requests).join(nested, ["fleet_id", "last_n_rows"], "left").withColumn("agents", F.coalesce("agents", none))
+    return found.select(
+        "fleet_id", "last_n_rows", F.size("agents").cast("bigint").alias("active_agent_count"), "agents", F.lit(as_of).alias("as_of")
     )
 
 
@@ -173,6 +157,6 @@ def fleet_status_json(status: DataFrame) -> DataFrame:
         F.col("fleet_id").alias("fleetId"),
         F.col("active_agent_count").alias("activeAgentCount"),
         agents.alias("agents"),
-        F.date_format("as_of", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("asOf"),
+        rfc3339_micros(F.col("as_of")).alias("asOf"),
     )
-    return status.select("fleet_id", "last_n_rows", "page", F.to_json(document).alias("document"))
+    return status.select("fleet_id", "last_n_rows", F.to_json(document).alias("document"))

@@ -61,8 +61,12 @@ def upsert_frames(frames: DataFrame) -> DataFrame:
 
 
 def scan_agent(store: DataFrame, agent_id: str, n: int) -> DataFrame:
-    """Newest ``n`` rows whose key starts with ``agent#``: pushed prefix filter, top-n without a full sort."""
-    return store.filter(F.col("row_key").startswith(f"{agent_id}#")).orderBy("row_key").limit(n)
+    """Newest ``n`` rows whose key starts with ``agent#``: top-n without a full sort.
+
+    The agent is filtered too, as only that reaches the files below a merge of several writes.
+    """
+    agent = (F.col("agent_id") == agent_id) | F.col("agent_id").startswith(f"{agent_id}#")
+    return store.filter(agent & F.col("row_key").startswith(f"{agent_id}#")).orderBy("row_key").limit(n)
 
 
 def apply_retention(
@@ -71,18 +75,21 @@ def apply_retention(
     system_ttl_days: int = SYSTEM_TTL_DAYS,
     meta_ttl_days: int = META_TTL_DAYS,
     versions: int = META_VERSIONS,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Rows left after garbage collection, one per kept version of a key (``version`` 1 is the newest).
 
     Ids and labels live ``meta_ttl_days`` in up to ``versions`` versions; system and network groups have a
-    single version, shown on version 1, and live ``system_ttl_days``.
+    single version, shown on version 1, and live ``system_ttl_days``. ``order`` names the columns that tell later writes.
     """
+    later = [F.col(c) for c in (order or ["arrival_seq"])]
+    last = later[0] if len(later) == 1 else F.struct(*later)
     now = unix_ms(F.lit(as_of))
     live = rows.filter(F.col("unix_ms") >= now - F.lit(meta_ttl_days * DAY_MS))
-    newest = Window.partitionBy(*KEY).orderBy(F.desc("arrival_seq"))
+    newest = Window.partitionBy(*KEY).orderBy(*[c.desc() for c in later])
     kept = live.withColumn("version", F.row_number().over(newest)).filter(F.col("version") <= versions)
     cells = live.groupBy(*KEY).agg(
-        _latest("system", F.col("arrival_seq")), _latest("network", F.col("arrival_seq"))
+        _latest("system", last), _latest("network", last)
     )
     fresh = (F.col("version") == 1) & (F.col("unix_ms") >= now - F.lit(system_ttl_days * DAY_MS))
     return (

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from metricloom.functions.keys import rfc3339
+from metricloom.functions.keys import rfc3339, utc_date
 from metricloom.functions.metrics import cpu_or_zero
 from metricloom.functions.text import label
 from metricloom.schemas import WINDOW
 
 
 def extract(anomalies: DataFrame, time_col: str) -> DataFrame:
-    """Fleet, agent and CPU per anomaly; anomalies without a fleet are dropped."""
+    """Fleet, agent and CPU per anomaly; anomalies without a fleet are dropped.
+
+    One without the time asked for counts at its arrival (at the epoch if that is not known either).
+    """
+    times = [F.col(c) for c in dict.fromkeys((time_col, "received_at")) if c in anomalies.columns]
     return anomalies.filter(F.col("fleet_id") != "").select(
-        F.col(time_col).alias("event_time"), "fleet_id", "agent_id", cpu_or_zero().alias("cpu")
+        F.coalesce(*times, F.timestamp_micros(F.lit(0))).alias("event_time"), "fleet_id", "agent_id", cpu_or_zero().alias("cpu")
     )
 
 
@@ -64,7 +68,7 @@ def fleet_region_day(anomalies: DataFrame, time_col: str = "collected_at") -> Da
     return (
         anomalies.filter(F.col("fleet_id") != "")
         .select(
-            F.to_date(time_col).alias("window_date"),
+            utc_date(F.col(time_col)).alias("window_date"),
             label(F.col("labels"), "region").alias("region"),
             "fleet_id",
             cpu_or_zero().alias("cpu"),

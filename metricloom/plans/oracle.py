@@ -94,7 +94,7 @@ CTES: dict[str, str] = {
         JOIN store t ON t.agent_id = s.agent_id AND t.rn <= r.last_n_rows
         GROUP BY ALL""",
     "documents_json": """
-        SELECT r.fleet_id, r.last_n_rows, 0::BIGINT AS page,
+        SELECT r.fleet_id, r.last_n_rows,
                '{"fleetId":"' || r.fleet_id || '","activeAgentCount":' || count(a.agent_id) || ',"agents":['
                || coalesce(string_agg('{"agentId":"' || a.agent_id || '","avgCpuUtilizationPct":'
                       || round(a.avg_cpu_utilization_pct, 9) || ',"lastSeenUnixMs":"' || a.last_seen_unix_ms
@@ -137,11 +137,11 @@ VIOLATIONS = f"""
 ALERT = "alert_id, agent_id, fleet_id, severity, severity_name, message, triggered_at"
 
 
-def _windows(rows: str, width: str, extra: str = "") -> str:
+def _windows(rows: str, width: str, extra: str = "", at: str = "collected_at") -> str:
     start = "time_bucket(INTERVAL '1 minute', {0})" if width == "1 minute" else "date_trunc('day', {0})"
     return f"""
-        SELECT fleet_id, {start.format("collected_at")} AS window_start,
-               {start.format("collected_at")} + INTERVAL {width} AS window_end, count(*) AS anomaly_count,
+        SELECT fleet_id, {start.format(at)} AS window_start,
+               {start.format(at)} + INTERVAL {width} AS window_end, count(*) AS anomaly_count,
                round(avg(cpu0), 9) AS avg_cpu_during_anomalies{extra}
         FROM {rows} WHERE is_anomaly GROUP BY ALL"""
 
@@ -160,11 +160,11 @@ def _p99(unit: str) -> str:
 
 
 BODIES: dict[str, str] = {
-    "frames_normalized": f"SELECT {FLAT} FROM frames WHERE arrival_seq % 97 <> 0 AND arrival_seq % 89 <> 0",
+    "frames_normalized": f"SELECT {FLAT} FROM frames WHERE arrival_seq % 97 <> 0 AND arrival_seq % 89 <> 0 AND arrival_seq % 83 <> 0",
     "frames_undecodable": """
         SELECT arrival_seq, CASE WHEN arrival_seq % 97 = 0 THEN '' ELSE 'collected_at' END AS field,
                CASE WHEN arrival_seq % 97 = 0 THEN 'not a JSON frame' ELSE 'not an RFC 3339 time' END AS description
-        FROM frames WHERE arrival_seq % 97 = 0 OR arrival_seq % 89 = 0""",
+        FROM frames WHERE arrival_seq % 97 = 0 OR arrival_seq % 89 = 0 OR arrival_seq % 83 = 0""",
     "frames_valid": f"""
         SELECT idempotency_key, agent_id, fleet_id,
                CASE WHEN collected_at IS NULL THEN 0 ELSE unix_ms END AS collected_ms, has_system,
@@ -212,17 +212,25 @@ BODIES: dict[str, str] = {
                      min(received_at) AS first_logged_at, max(received_at) AS last_logged_at,
                      count(*) FILTER (WHERE event_type = 'error') AS error_count
               FROM frames GROUP BY ALL) USING (trace_id)""",
+    "trace_records": """
+        SELECT f.idempotency_key, split_part(f.traceparent, '-', 2) AS trace_id, split_part(f.traceparent, '-', 3) AS span_id,
+               l.received_at AS logged_at, CASE WHEN l.event_type = 'error' THEN 'INTERNAL' ELSE 'OK' END AS code
+        FROM fresh f JOIN frames l USING (traceparent) WHERE f.is_anomaly""",
     "alerts": f"SELECT {ALERT} FROM alert_rows",
     "alert_feed_decoded": f"SELECT {ALERT} FROM alert_rows",
     "alerts_routed": "SELECT alert_id, agent_id, triggered_at, subscribed_at FROM routed",
+    "alert_dead_letter": "SELECT alert_id, unnest([1, 2])::INT AS attempt FROM alert_rows WHERE alert_id < '2'",
     "alerts_undelivered": """
         SELECT alert_id, agent_id, triggered_at FROM alert_rows
         WHERE alert_id NOT IN (SELECT alert_id FROM routed)""",
     "alerts_delivered": """
         SELECT alert_id, agent_id, triggered_at FROM routed
-        QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY triggered_at, alert_id) <= 10""",
+        QUALIFY row_number() OVER (PARTITION BY agent_id, date_trunc('minute', triggered_at)
+                                   ORDER BY triggered_at, alert_id) <= 10""",
     "alerts_overflow": """
-        SELECT agent_id, count(*) - 3 AS overflow FROM routed GROUP BY ALL HAVING count(*) > 3""",
+        SELECT alert_id, agent_id, triggered_at FROM routed
+        QUALIFY row_number() OVER (PARTITION BY agent_id, date_trunc('day', triggered_at)
+                                   ORDER BY triggered_at, alert_id) > 1""",
     "alert_history": f"""
         SELECT {ALERT} FROM alert_rows WHERE fleet_id = 'fleet-3' ORDER BY triggered_at DESC, alert_id LIMIT 25""",
     "agent_alerts": f"SELECT {ALERT} FROM alert_rows WHERE agent_id = 'agent-8'",
@@ -285,7 +293,19 @@ BODIES: dict[str, str] = {
     "fleet_status_summary": """
         SELECT r.fleet_id, r.last_n_rows, count(a.agent_id) AS active_agent_count
         FROM requests r LEFT JOIN agents a ON a.fleet_id = r.fleet_id GROUP BY ALL""",
-    "fleet_status_json": "SELECT fleet_id, last_n_rows, page, document FROM documents_json",
+    "fleet_status_json": "SELECT fleet_id, last_n_rows, document FROM documents_json",
+    "fleet_status_placeholder_json": """
+        SELECT fleet_id, last_n_rows, '{"fleetId":"' || fleet_id || '","activeAgentCount":1,"agents":[{"agentId":'
+               || '"no-active-agents","avgCpuUtilizationPct":0.0,"lastSeenUnixMs":"' || epoch_ms(TIMESTAMP '2024-01-30 20:00:00')
+               || '","status":"SEVERITY_INFO"}],"asOf":"2024-01-30T20:00:00.000000Z"}' AS document
+        FROM requests WHERE fleet_id NOT IN (SELECT fleet_id FROM state)""",
+    "fleet_status_large_n": """
+        SELECT s.fleet_id, n AS last_n_rows, s.agent_id, round(coalesce(avg(t.cpu), 0.0), 9) AS avg_cpu_utilization_pct,
+               max(t.unix_ms) AS last_seen_unix_ms, s.status
+        FROM state s CROSS JOIN (SELECT unnest([3, 30, 5000])::INT AS n) JOIN store t ON t.agent_id = s.agent_id AND t.rn <= n
+        GROUP BY ALL""",
+    "fleet_windows_no_time": f"""
+        {_windows("(SELECT * REPLACE (CASE WHEN arrival_seq % 41 <> 0 THEN collected_at ELSE received_at END AS collected_at) FROM flagged)", "1 minute")}""",
     "fleet_windows_60s": f"""
         SELECT * REPLACE (strftime(window_start, '%Y-%m-%dT%H:%M:%SZ') AS window_start,
                           strftime(window_end, '%Y-%m-%dT%H:%M:%SZ') AS window_end)
@@ -357,10 +377,18 @@ BODIES: dict[str, str] = {
         SELECT fleet_id, agent_id, arg_max(cpu0, arrival_seq) AS cpu, arg_max(unix_ms, arrival_seq) AS last_seen_ms,
                arg_max(CASE WHEN is_anomaly THEN 3 ELSE 1 END, arrival_seq) AS status
         FROM fresh GROUP BY ALL
-        HAVING (SELECT max(epoch_us(received_at)) // 1000 FROM deliveries) - arg_max(unix_ms, arrival_seq) <= 86400000""",
+        HAVING (SELECT quantile_disc(epoch_us(received_at), 0.5) // 1000 FROM deliveries) - arg_max(unix_ms, arrival_seq) <= 86400000""",
+    "stream_quarantine": """
+        SELECT arrival_seq, CASE WHEN arrival_seq % 97 = 0 THEN '' ELSE 'collected_at' END AS field,
+               CASE WHEN arrival_seq % 97 = 0 THEN 'not a JSON frame' ELSE 'not an RFC 3339 time' END AS description
+        FROM frames WHERE arrival_seq % 97 = 0 OR arrival_seq % 89 = 0 OR arrival_seq % 83 = 0""",
+    "stream_delivered": """
+        SELECT alert_id, agent_id, triggered_at FROM routed
+        QUALIFY row_number() OVER (PARTITION BY agent_id, date_trunc('minute', triggered_at)
+                                   ORDER BY triggered_at, alert_id) <= 10""",
     "stream_fleet_windows": f"""
-        SELECT * FROM ({_windows("fresh", "1 minute")})
-        WHERE window_end <= (SELECT max(collected_at) - INTERVAL 10 MINUTE FROM fresh WHERE is_anomaly)""",
+        SELECT * FROM ({_windows("fresh", "1 minute", at="received_at")})
+        WHERE window_end <= (SELECT max(received_at) - INTERVAL 10 MINUTE FROM fresh WHERE is_anomaly)""",
     "stream_dedup": """
         SELECT idempotency_key, agent_id, collected_at FROM deliveries
         QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY arrival_seq) = 1""",

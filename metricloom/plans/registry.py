@@ -60,7 +60,7 @@ def _store(spark, folder) -> DataFrame:
     return store.upsert_frames(dedup.dedup_batch_ttl(t.deliveries(spark, folder)))
 
 
-def _flat(frames: DataFrame) -> DataFrame:
+def _flat(frames: DataFrame, *more: str) -> DataFrame:
     return frames.select(
         "idempotency_key",
         "agent_id",
@@ -76,23 +76,29 @@ def _flat(frames: DataFrame) -> DataFrame:
         F.col("network.tcp_retransmit_count").cast("double").alias("tcp_retransmit_count"),
         F.col("network.connection_count").cast("double").alias("connection_count"),
         text.labels_json(F.col("labels")).alias("labels"),
+        *more,
     )
 
 
 # --- decoding and validation -----------------------------------------------------------------------
 
 
-def _json_lines(spark, folder) -> DataFrame:
-    """Frames as JSON text in both spellings; every 97th is cut off and every 89th has a bad time."""
+def _broken_lines(frames: DataFrame, *kept: str) -> DataFrame:
+    """Frames as JSON text in both spellings; every 97th is cut off, every 89th has a bad time, every 83rd an impossible one."""
     seq = F.col("arrival_seq")
     line = F.when(seq % 2 == 0, frames_json.frame_json("snake")).otherwise(frames_json.frame_json("camel"))
-    lines = t.frames(spark, folder, labelled=True).select("arrival_seq", line.alias("_l"))
+    lines = frames.select("arrival_seq", *kept, line.alias("_l"))
     broken = (
         F.when(seq % 97 == 0, F.expr("substring(_l, 1, length(_l) - 5)"))
         .when(seq % 89 == 0, F.regexp_replace("_l", '"(collected_at|collectedAt)":"', '"$1":"at '))
+        .when(seq % 83 == 0, F.regexp_replace("_l", '"(collected_at|collectedAt)":"....-..', '"$1":"2024-13'))
         .otherwise(F.col("_l"))
     )
-    return lines.select("arrival_seq", broken.alias("value"))
+    return lines.select("arrival_seq", *kept, broken.alias("value"))
+
+
+def _json_lines(spark, folder) -> DataFrame:
+    return _broken_lines(t.frames(spark, folder, labelled=True))
 
 
 @query
@@ -240,6 +246,15 @@ def trace_join(spark, folder):
     )
 
 
+@query
+def trace_records(spark, folder):
+    """Anomaly messages with the log records of their own span."""
+    messages = de.anomaly_messages(_accepted(spark, folder))
+    return de.trace_records(messages, t.frame_log(spark, folder)).select(
+        F.get_json_object("payload", "$.idempotency_key").alias("idempotency_key"), "trace_id", "span_id", "logged_at", "code"
+    )
+
+
 # --- alerts ----------------------------------------------------------------------------------------
 
 
@@ -255,6 +270,19 @@ def alert_feed_decoded(spark, folder):
     return decoded
 
 
+@query
+def alert_dead_letter(spark, folder):
+    """Some alerts arrive cut off; they are set aside, delivered again, and set aside again."""
+    line = alert_feed.alert_json()
+    cut = F.col("alert_id") < "2"
+    cut_off = F.when(cut, F.expr("substring(_l, 1, length(_l) - 2)")).otherwise(F.col("_l"))
+    sent = _alerts(spark, folder).withColumn("_l", line).select(cut_off.alias("value"))
+    _, first = alert_feed.decode_alerts(sent)
+    _, second = alert_feed.decode_alerts(first)
+    alert = F.regexp_extract("value", '"alertId":"([^"]*)"', 1).alias("alert_id")
+    return first.unionByName(second).select(alert, "attempt")
+
+
 @query
 def alerts_routed(spark, folder):
     return al.route_alerts(_alerts(spark, folder), t.subscriptions(spark, folder)).select(
@@ -271,7 +299,7 @@ def alerts_undelivered(spark, folder):
 
 @query
 def alerts_delivered(spark, folder):
-    """The whole table as one micro-batch: at most 10 alerts per subscriber fit its buffer."""
+    """At most 10 alerts per subscriber and minute fit its buffer."""
     routed = al.route_alerts(_alerts(spark, folder), t.subscriptions(spark, folder))
     return al.deliver(routed)[0].select("alert_id", "agent_id", "triggered_at")
 
@@ -279,7 +307,7 @@ def alerts_delivered(spark, folder):
 @query
 def alerts_overflow(spark, folder):
     routed = al.route_alerts(_alerts(spark, folder), t.subscriptions(spark, folder))
-    return al.deliver(routed, cap=3)[1]
+    return al.deliver(routed, cap=1, slot="1 day")[1].select("alert_id", "agent_id", "triggered_at")
 
 
 @query
@@ -340,7 +368,7 @@ def frames_upsert(spark, folder):
         .withColumn("arrival_seq", F.col("arrival_seq") * 2 + F.col("_p"))
     )
     merged = store.upsert_frames(partial).withColumn("collected_at", F.timestamp_millis("unix_ms"))
-    return _flat(merged).join(merged.select("idempotency_key", "row_key"), "idempotency_key")
+    return _flat(merged, "row_key")
 
 
 @query
@@ -389,22 +417,26 @@ def agent_state_active(spark, folder):
     return st.active(_state(spark, folder), AS_OF)
 
 
-# Largest row count in the request table.
-_MAX_N = 10
-
-
 @query
 def fleet_status_agents(spark, folder):
     agents = status.fleet_status_agents(
         _state(spark, folder),
         _store(spark, folder),
         t.requests(spark, folder),
-        max_n=_MAX_N,
         placeholder_as_of=AS_OF,
     )
     return agents.withColumn("avg_cpu_utilization_pct", nine("avg_cpu_utilization_pct"))
 
 
+@query
+def fleet_status_large_n(spark, folder):
+    """Three row counts per fleet, one beyond what any agent has."""
+    fleets = t.requests(spark, folder).select("fleet_id")
+    asked = fleets.withColumn("last_n_rows", F.explode(F.array(*[F.lit(n) for n in (3, 30, 5000)])))
+    agents = status.fleet_status_agents(_state(spark, folder), _store(spark, folder), asked)
+    return agents.withColumn("avg_cpu_utilization_pct", nine("avg_cpu_utilization_pct"))
+
+
 @query
 def fleet_lookup(spark, folder):
     return status.fleet_agents(_state(spark, folder), "fleet-5")
@@ -418,9 +450,18 @@ def fleet_status_summary(spark, folder):
 @query
 def fleet_status_json(spark, folder):
     state, requests = _state(spark, folder), t.requests(spark, folder)
-    agents = status.fleet_status_agents(state, _store(spark, folder), requests, max_n=_MAX_N)
+    agents = status.fleet_status_agents(state, _store(spark, folder), requests)
     rounded = agents.withColumn("avg_cpu_utilization_pct", nine("avg_cpu_utilization_pct"))
-    return status.fleet_status_json(status.fleet_status(rounded, state, requests, AS_OF))
+    return status.fleet_status_json(status.fleet_status(rounded, requests, AS_OF))
+
+
+@query
+def fleet_status_placeholder_json(spark, folder):
+    """Documents of fleets without agents: the stand-in is listed and counted."""
+    state, requests = _state(spark, folder), t.requests(spark, folder)
+    agents = status.fleet_status_agents(state, _store(spark, folder), requests, placeholder_as_of=AS_OF)
+    documents = status.fleet_status_json(status.fleet_status(agents, requests, AS_OF))
+    return documents.join(state.select("fleet_id").distinct(), "fleet_id", "left_anti")
 
 
 # --- windows ---------------------------------------------------------------------------------------
@@ -445,6 +486,14 @@ def fleet_windows_1d(spark, folder):
     return _windows(found)
 
 
+@query
+def fleet_windows_no_time(spark, folder):
+    """Every 41st frame has no clock: its anomaly counts at its arrival."""
+    clock = F.when(F.col("arrival_seq") % 41 != 0, F.col("collected_at"))
+    found = de.anomalies(de.detect(t.frames(spark, folder).withColumn("collected_at", clock)))
+    return _windows(wi.fleet_windows(found))
+
+
 @query
 def fleet_region_day(spark, folder):
     found = wi.fleet_region_day(de.anomalies(de.detect(t.frames(spark, folder, labelled=True))))
@@ -551,6 +600,26 @@ def stream_state(spark, folder):
     return ingest.read_state(spark, _ingest(spark, folder))
 
 
+@query
+def stream_quarantine(spark, folder):
+    """JSON payloads through the ingest job: what it cannot decode is set aside with the reasons."""
+    out = fresh_dir(prepare(spark), "ingest")
+    lines = _broken_lines(t.as_frames(t.stream_events(spark, folder)), "received_at")
+    ingest.run_ingest(lines, f"{out}/tables", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{out}/tables/quarantine")
+    return rows.select("arrival_seq", F.explode("reasons").alias("r")).select("arrival_seq", "r.*")
+
+
+@query
+def stream_delivered(spark, folder):
+    """Alerts that subscribers got, the events arriving in four micro-batches."""
+    out = fresh_dir(prepare(spark), "ingest")
+    options = ingest.IngestOptions(subscriptions=t.subscriptions(spark, folder))
+    stream = t.staged_deliveries(spark, folder, f"{out}/events")
+    ingest.run_ingest(stream, f"{out}/tables", f"{out}/checkpoint", options).awaitTermination()
+    return ingest.read_delivered(spark, f"{out}/tables")[0].select("alert_id", "agent_id", "triggered_at")
+
+
 @query
 def stream_fleet_windows(spark, folder):
     """Ingest job, then the window job over its anomaly table."""

@@ -96,12 +96,28 @@ def deliveries(spark: SparkSession, folder: str, labelled: bool = False) -> Data
     return redelivered(frames(spark, folder, labelled))
 
 
-def stream_deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    """The same as a stream over the event file(s)."""
+def stream_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event file(s) as a stream."""
     schema = _read(spark, folder, "events").schema
     # As a glob: a plain path of a streaming source must be a folder, and this table may be a single file.
-    events = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
-    return redelivered(as_frames(events))
+    return spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
+
+
+def stream_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything that arrives, as a stream over the event file(s)."""
+    return redelivered(as_frames(stream_events(spark, folder)))
+
+
+def staged_deliveries(spark: SparkSession, folder: str, path: str, parts: int = 4) -> DataFrame:
+    """The same in ``parts`` micro-batches: the whole event table, written to ``path`` in ranges of time, one after another."""
+    events = _read(spark, folder, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - first) * parts / max(1, last - first)), F.lit(parts - 1)) if last is not None else F.lit(0)
+    for number in range(parts):
+        events.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return redelivered(as_frames(stream))
 
 
 def rpc_log(spark: SparkSession, folder: str) -> DataFrame:

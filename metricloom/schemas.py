@@ -66,12 +66,13 @@ def frame_schema(uint64: str = "decimal(20,0)") -> T.StructType:
     )
 
 
+# Field names of the messages and tables.
 REASONS = "array<struct<field: string, description: string>>"
 ALERTS = (
     "alert_id string, agent_id string, fleet_id string, severity int, severity_name string, "
     "message string, triggered_at timestamp"
 )
-ANOMALY_MESSAGES = "payload string, attributes map<string,string>"
+ANOMALY_MESSAGES = "payload string, attributes map<string,string>, published_at timestamp"
 AGENT_STATE = "fleet_id string, agent_id string, cpu double, last_seen_ms bigint, status int"
 SEEN_KEYS = "idempotency_key string, bucket bigint"
 FLEET_WINDOWS = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from metricloom.functions.keys import rfc3339_micros
 from metricloom.functions.metrics import severity_from_name, severity_name
 from metricloom.sources.frames_json import camel
 
@@ -30,7 +31,9 @@ def decode_alerts(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
         return F.coalesce(*[F.col(f"_raw.{s}") for s in dict.fromkeys((name, camel(name)))])
 
     code = F.coalesce(severity_from_name(text("severity")), text("severity").try_cast("int"))
-    at = text("triggered_at").try_cast("timestamp")
+    stamp = F.upper(text("triggered_at"))
+    zoned = stamp.rlike(r"(Z|[+-]\d{2}:\d{2})$")
+    at = F.when(zoned, stamp).otherwise(F.concat(stamp, F.lit("Z"))).try_cast("timestamp")  # UTC unless it says otherwise
     bad = (
         F.col("_raw").isNull()
         | F.col("_raw._corrupt").isNotNull()
@@ -63,6 +66,6 @@ def alert_json() -> Column:
             F.col("fleet_id").alias("fleetId"),
             F.col("severity_name").alias("severity"),
             F.col("message"),
-            F.date_format("triggered_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("triggeredAt"),
+            rfc3339_micros(F.col("triggered_at")).alias("triggeredAt"),
         )
     )

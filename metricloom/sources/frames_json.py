@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from metricloom.functions.keys import rfc3339_micros
 from metricloom.schemas import NETWORK_FIELDS, REASONS, SYSTEM_FIELDS
 
 MAX_UINT64 = "18446744073709551615"
@@ -74,11 +75,12 @@ def decode_frames(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
     payload = F.col(value_col).cast("string").alias("_payload")
     parsed = raw.select(*kept, payload, F.explode(F.array(document)).alias("_raw"))
     stamp = _value("_raw", "collected_at")
+    at = F.upper(stamp).try_cast("timestamp")
     undecodable = F.col("_raw").isNull() | F.col("_raw._corrupt").isNotNull()
     reasons = F.when(undecodable, F.array(violation("", "not a JSON frame"))).otherwise(
         F.array_compact(
             F.array(
-                F.when(~stamp.rlike(RFC3339), violation("collected_at", "not an RFC 3339 time")),
+                F.when(~stamp.rlike(RFC3339) | (stamp.isNotNull() & at.isNull()), violation("collected_at", "not an RFC 3339 time")),
                 *_violations("system", SYSTEM_FIELDS),
                 *_violations("network", NETWORK_FIELDS),
             )
@@ -89,7 +91,7 @@ def decode_frames(raw: DataFrame, value_col: str = "value") -> tuple[DataFrame,
         *kept,
         F.coalesce(_value("_raw", "agent_id"), F.lit("")).alias("agent_id"),
         F.coalesce(_value("_raw", "fleet_id"), F.lit("")).alias("fleet_id"),
-        F.upper(stamp).try_cast("timestamp").alias("collected_at"),
+        at.alias("collected_at"),
         F.coalesce(_value("_raw", "idempotency_key"), F.lit("")).alias("idempotency_key"),
         _group("system", SYSTEM_FIELDS),
         _group("network", NETWORK_FIELDS),
@@ -127,7 +129,7 @@ def frame_json(names: str = "snake") -> Column:
         F.struct(
             F.col("agent_id").alias(spell("agent_id")),
             F.col("fleet_id").alias(spell("fleet_id")),
-            F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(spell("collected_at")),
+            rfc3339_micros(F.col("collected_at")).alias(spell("collected_at")),
             F.col("idempotency_key").alias(spell("idempotency_key")),
             group("system", SYSTEM_FIELDS),
             group("network", NETWORK_FIELDS),

@@ -6,12 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from metricloom.functions.keys import utc_date
 from metricloom.operators.store import apply_retention, merge_rows, store_rows, upsert_frames
 from metricloom.schemas import FLEET_WINDOWS
 
 
 def _dated(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("event_date", F.to_date(F.timestamp_millis("unix_ms")))
+    return rows.withColumn("event_date", utc_date(F.timestamp_millis("unix_ms")))
 
 
 def batch_rows(frames: DataFrame) -> DataFrame:
@@ -38,8 +39,12 @@ def _write_clustered(rows: DataFrame, path: str) -> None:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The store, one row per key: rows of several writes are merged in write order."""
     rows = spark.read.parquet(path)
-    order = ["batch_id", "arrival_seq"] if "batch_id" in rows.columns else ["arrival_seq"]
-    return merge_rows(rows, order)
+    return merge_rows(rows, write_order(rows))
+
+
+def write_order(rows: DataFrame) -> list[str]:
+    """What tells later writes: arrival numbers begin anew in every batch of the ingest job."""
+    return ["batch_id", "arrival_seq"] if "batch_id" in rows.columns else ["arrival_seq"]
 
 
 def compact_store(spark: SparkSession, path: str, out: str) -> None:
@@ -50,7 +55,7 @@ def compact_store(spark: SparkSession, path: str, out: str) -> None:
 def collect_garbage(spark: SparkSession, path: str, out: str, as_of: datetime, **limits: int) -> None:
     """Write what retention leaves of the store to a new folder (see ``apply_retention`` for the limits)."""
     rows = spark.read.parquet(path)
-    _write_clustered(apply_retention(rows, as_of, **limits).drop("version"), out)
+    _write_clustered(apply_retention(rows, as_of, order=write_order(rows), **limits).drop("version"), out)
 
 
 def write_windows(windows: DataFrame, path: str) -> None:
@@ -58,5 +63,5 @@ def write_windows(windows: DataFrame, path: str) -> None:
 
     The rows must fit the table's column types; text bounds (``format_windows``) do not.
     """
-    rows = windows.to(T.StructType.fromDDL(FLEET_WINDOWS)).withColumn("window_date", F.to_date("window_start"))
+    rows = windows.to(T.StructType.fromDDL(FLEET_WINDOWS)).withColumn("window_date", utc_date(F.col("window_start")))
     rows.write.mode("append").partitionBy("window_date").parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from metricloom.functions.keys import utc_date
 from metricloom.operators.windows import fleet_windows
 from metricloom.schemas import ANOMALY_MESSAGES, FLEET_WINDOWS, WINDOW
 from metricloom.sources.frames_json import decode_frames
@@ -15,7 +16,7 @@ def stream_messages(spark: SparkSession, path: str, max_files: int | None = None
     reader = spark.readStream.schema(f"{ANOMALY_MESSAGES}, batch_id bigint")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    frames, _ = decode_frames(reader.parquet(path), "payload")
+    frames, _ = decode_frames(reader.parquet(path).withColumnRenamed("published_at", "received_at"), "payload")
     return frames
 
 
@@ -25,15 +26,16 @@ def run_windows(
     checkpoint: str,
     window: str = WINDOW,
     delay: str = "10 minutes",
-    time_col: str = "collected_at",
+    time_col: str = "received_at",
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start the window job over a stream of anomalous frames.
 
-    Append mode: a window is written once, after the watermark passed its end; rows later than ``delay`` are
+    Windows go by arrival unless ``time_col`` says otherwise: an agent's clock that is ahead would move the watermark
+    past everyone else's windows, and frames without a clock would be in none. Append mode: a window is written once, after the watermark passed its end; rows later than ``delay`` are
     dropped and counted in the query progress (``numRowsDroppedByWatermark``).
     """
-    rows = fleet_windows(anomalies, window, time_col, delay).withColumn("window_date", F.to_date("window_start"))
+    rows = fleet_windows(anomalies, window, time_col, delay).withColumn("window_date", utc_date(F.col("window_start")))
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")

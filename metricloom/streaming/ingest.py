@@ -14,18 +14,21 @@ from pyspark.sql.streaming import StreamingQuery
 from metricloom.functions.keys import interval_micros, time_bucket
 from metricloom.functions.metrics import Detector
 from metricloom.operators import alerts as alert_ops
-from metricloom.operators.dedup import KEY, accepted, dead_after
+from metricloom.operators.dedup import KEY, accepted, dead_after, mark
 from metricloom.operators.detect import anomaly_messages, detect
-from metricloom.operators.state import advance_state, expired
+from metricloom.operators.state import expired, last_arrival, state_rows
 from metricloom.operators.validate import violations
 from metricloom.schemas import AGENT_STATE, ALERT_BUFFER, DEDUP_SWEEP, DEDUP_TTL, SEEN_KEYS, STATE_TTL_MS
+from metricloom.sources.frames_json import decode_frames, frame_json
 from metricloom.sources.store import batch_rows
-from metricloom.streaming.tables import drop_snapshot, read_snapshot, write_batch
+from metricloom.streaming.tables import batch_path, committed, drop_snapshot, latest_batch, write_batch
+
+STATE_PARTS = f"{AGENT_STATE}, clock_ms bigint, ttl_ms bigint"
 
 
 @dataclass(frozen=True)
 class IngestOptions:
-    """Limits of the ingest job; ``subscriptions`` (a table) turns on alert delivery."""
+    """Limits of the ingest job; ``subscriptions`` (a table) turns on alert routing."""
 
     detector: Detector | None = None
     ttl: str = DEDUP_TTL
@@ -33,7 +36,6 @@ class IngestOptions:
     state_ttl_ms: int = STATE_TTL_MS
     strict: bool = False
     subscriptions: DataFrame | None = None
-    alert_buffer: int = ALERT_BUFFER
 
 
 def with_arrival_time(frames: DataFrame) -> DataFrame:
@@ -54,12 +56,37 @@ def _write_all(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
             done.result()
 
 
+#: Every so many batches the remembered keys and the agent state are written whole; in between, only what is new.
+WHOLE_EVERY = 50
+
+
+def base_batch(batch_id: int) -> int:
+    """The last batch before ``batch_id`` that holds a whole copy (0 is the first)."""
+    return max(0, (batch_id - 1) // WHOLE_EVERY * WHOLE_EVERY)
+
+
+def read_parts(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """What a table held before ``batch_id``: the last whole copy and the parts since; with the column batch_id."""
+    parts = [n for n in range(base_batch(batch_id), batch_id) if committed(spark, batch_path(path, n))]
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, batch_id int")
+    reader = spark.read.schema(f"{schema}, batch_id int").option("basePath", path)
+    return reader.parquet(*[batch_path(path, n) for n in parts])
+
+
+def decoded(batch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Frames of a batch, and the payloads that are none; a batch of frames has no payloads."""
+    if "value" not in batch.columns:
+        return batch, None
+    return decode_frames(batch)
+
+
 def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptions) -> None:
-    """Write everything one micro-batch of frames leads to; the acks last.
+    """Write everything one micro-batch of frames, or of JSON payloads (``value``), leads to; the acks last.
 
-    Tables below ``out``: ``quarantine``, ``frames``, ``agent_state`` and ``seen`` (full copies), ``alerts``,
-    ``anomalies``, ``delivered`` and ``overflow`` (with subscriptions), ``acks``. Each part is written once per
-    batch, from the input and the copies of the previous batch, so a replay gives the same tables.
+    Tables below ``out``: ``quarantine`` (payload and reasons, can be decoded again), ``frames``, ``agent_state`` and
+    ``seen`` (what is new, now and then whole), ``alerts``, ``anomalies``, ``routed`` (with subscriptions), ``acks``. Each
+    part is written once per batch, from the input and earlier parts, so a replay gives the same tables.
     """
     spark = batch.sparkSession
     cached: list[DataFrame] = []
@@ -74,42 +101,52 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
     # Used twice below: once for the keys, once for the whole rows. A micro-batch is not pruned to the columns
     # of each use, so without the cache its source would be read and decoded twice.
     source = keep(batch)
-    arrived = source.withColumn("reasons", violations(options.strict))
+    frames, payloads = decoded(source)
+    frames = keep(with_arrival_time(frames)) if payloads is not None else frames
+    arrived = frames.withColumn("reasons", violations(options.strict))
     valid = arrived.filter(F.size("reasons") == 0)
-    seen = read_snapshot(spark, f"{out}/seen", SEEN_KEYS, batch_id - 1)
     try:
-        winners = keep(accepted(valid, options.ttl, options.sweep, seen))
-        first = winners.select("arrival_seq", F.lit(True).alias("_first"))
-        joined = arrived.join(first, "arrival_seq", "left").withColumn("is_duplicate", F.col("_first").isNull())
-        checked = keep(detect(joined.drop("_first"), options.detector))
+        slot = time_bucket(F.col("received_at"), interval_micros(options.sweep))
+        middle = F.percentile_approx(F.unix_micros("received_at"), 0.5, 1_000_000)
+        # The sweeps' clock is the middle arrival: single rows stamped far ahead must not make everyone be forgotten.
+        now, lowest = valid.agg(middle, F.min(slot)).first()
+        lifetime = dead_after(options.ttl, options.sweep)
+        seen = read_parts(spark, f"{out}/seen", SEEN_KEYS, batch_id)
+        live = seen if lowest is None else seen.filter(F.col("bucket") >= lowest - lifetime)
+        winners = keep(accepted(valid, options.ttl, options.sweep, live))
+        checked = keep(detect(_marked(arrived, winners), options.detector))
         marked = checked.filter(F.size("reasons") == 0).drop("reasons")
         fresh = marked.filter("not is_duplicate")
-        # Two numbers: the latest arrival and its slot are the clock of the sweeps.
-        slot = time_bucket(F.col("received_at"), interval_micros(options.sweep))
-        now, last_slot = marked.agg(F.unix_micros(F.max("received_at")), F.max(slot)).first()
-        source.unpersist()
 
-        remembered = seen.unionByName(winners.select(KEY, "bucket")).groupBy(KEY).agg(F.max("bucket").alias("bucket"))
-        if last_slot is not None:
+        whole = batch_id % WHOLE_EVERY == 0 and batch_id > 0
+        keys = winners.select(KEY, "bucket")
+        clock = None if now is None else now // 1000
+        limits = {"clock_ms": F.lit(clock).cast("bigint"), "ttl_ms": F.lit(options.state_ttl_ms).cast("bigint")}
+        states = last_arrival(state_rows(fresh)).withColumns(limits)
+        if whole:
             # Twice the lifetime, so that slightly late arrivals still find their key.
-            oldest = last_slot - 2 * dead_after(options.ttl, options.sweep) - 1
-            remembered = remembered.filter(F.col("bucket") >= oldest)
-        state = advance_state(read_snapshot(spark, f"{out}/agent_state", AGENT_STATE, batch_id - 1), fresh)
-        if now is not None:
-            state = state.filter(~expired(F.timestamp_micros(F.lit(now)), options.state_ttl_ms))
-        rejected = checked.filter(F.size("reasons") > 0)
+            oldest = -(2**62) if now is None else now // interval_micros(options.sweep) - 2 * lifetime - 1
+            keys = keys.unionByName(seen.filter(F.col("bucket") >= oldest).select(KEY, "bucket"))
+            keys = keys.groupBy(KEY).agg(F.max("bucket").alias("bucket"))
+            before = read_parts(spark, f"{out}/agent_state", STATE_PARTS, batch_id)
+            later = states.withColumn("batch_id", F.lit(batch_id))
+            states = _newest_state(before.unionByName(later))
+        rejected = checked.filter(F.size("reasons") > 0).select(
+            frame_json().alias("value"), "received_at", "arrival_seq", "traceparent", "reasons"
+        )
+        if payloads is not None:
+            rejected = rejected.unionByName(with_arrival_time(payloads).select(*rejected.columns))
         alerts = alert_ops.build_alerts(fresh)
         tables = {
             "frames": batch_rows(fresh),
-            "seen": remembered,
-            "agent_state": state,
-            "quarantine": rejected.select("agent_id", "fleet_id", KEY, "collected_at", "reasons"),
+            "seen": keys,
+            "agent_state": states,
+            "quarantine": rejected,
             "anomalies": anomaly_messages(fresh),
             "alerts": alerts,
         }
         if options.subscriptions is not None:
-            routed = alert_ops.route_alerts(alerts, options.subscriptions)
-            tables["delivered"], tables["overflow"] = alert_ops.deliver(routed, options.alert_buffer)
+            tables["routed"] = alert_ops.route_alerts(alerts, options.subscriptions)
         dated = {"frames": ("event_date",)}
         _write_all(
             spark,
@@ -119,22 +156,57 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
             ],
         )
         write_batch(alert_ops.acks(marked), f"{out}/acks", batch_id)
-        # A replay of this batch needs the copies of the one before it; those before that are done.
-        drop_snapshot(spark, f"{out}/seen", batch_id - 2)
-        drop_snapshot(spark, f"{out}/agent_state", batch_id - 2)
+        # Parts before a whole copy are done once the batch after it no longer needs them for a replay.
+        if batch_id > WHOLE_EVERY and batch_id % WHOLE_EVERY == 1:
+            for gone in range(base_batch(batch_id - 1), batch_id - 1):
+                drop_snapshot(spark, f"{out}/seen", gone)
+                drop_snapshot(spark, f"{out}/agent_state", gone)
     finally:
         for df in cached:
             df.unpersist()
 
 
+def _marked(arrived: DataFrame, winners: DataFrame) -> DataFrame:
+    """All rows with ``is_duplicate``; rows with reasons can be no winner."""
+    valid, bad = arrived.filter(F.size("reasons") == 0), arrived.filter(F.size("reasons") > 0)
+    return mark(valid, winners).unionByName(bad.withColumn("is_duplicate", F.lit(True)))
+
+
+def _newest_state(parts: DataFrame) -> DataFrame:
+    """Last row per agent over the parts, without agents that have expired by the newest clock; with clock and limit."""
+    clock, ttl_ms = parts.agg(F.max("clock_ms"), F.max_by("ttl_ms", "batch_id")).first()
+    rows = last_arrival(parts.withColumn("arrival_seq", F.col("batch_id").cast("bigint")))
+    if clock is not None:
+        rows = rows.filter(~expired(F.timestamp_millis(F.lit(clock)), ttl_ms))
+    return rows.withColumns({"clock_ms": F.lit(clock).cast("bigint"), "ttl_ms": F.lit(ttl_ms).cast("bigint")})
+
+
+def _own(spark: SparkSession, out: str, checkpoint: str) -> None:
+    """Tie an output to its checkpoint: another one would number its batches anew and find them all written."""
+    mine = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+    if not committed(spark, f"{out}/owner"):
+        spark.createDataFrame([(mine,)], "id string").write.mode("overwrite").parquet(f"{out}/owner")
+    owner = spark.read.parquet(f"{out}/owner").first()["id"]
+    if owner != mine:
+        raise ValueError(f"{out} belongs to another checkpoint; a new one needs a new output")
+
+
 def run_ingest(
     frames: DataFrame, out: str, checkpoint: str, options: IngestOptions | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Start the ingest job over a stream of frames; by default it ends when the input is used up."""
-    chosen = options or IngestOptions()
+    """Start the ingest job over a stream of frames or of JSON payloads (a column ``value``); by default it ends when the
+    input is used up."""
+    chosen, owned = options or IngestOptions(), []
+
+    def batch_done(batch: DataFrame, batch_id: int) -> None:
+        if not owned:
+            _own(batch.sparkSession, out, checkpoint)
+            owned.append(True)
+        ingest_batch(batch, batch_id, out, chosen)
+
     return (
         with_arrival_time(frames)
-        .writeStream.foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, out, chosen))
+        .writeStream.foreachBatch(batch_done)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -142,7 +214,11 @@ def run_ingest(
 
 
 def read_state(spark: SparkSession, out: str) -> DataFrame:
-    """The newest state table of an ingest job."""
-    from metricloom.streaming.tables import latest_batch
+    """The state table of an ingest job: the last row per agent that has not expired."""
+    parts = read_parts(spark, f"{out}/agent_state", STATE_PARTS, latest_batch(spark, f"{out}/agent_state") + 1)
+    return _newest_state(parts).drop("clock_ms", "ttl_ms")
+
 
-    return read_snapshot(spark, f"{out}/agent_state", AGENT_STATE, latest_batch(spark, f"{out}/agent_state"))
+def read_delivered(spark: SparkSession, out: str, cap: int = ALERT_BUFFER) -> tuple[DataFrame, DataFrame]:
+    """``(delivered, overflow)`` of all routed alerts; the same however they came in batches."""
+    return alert_ops.deliver(spark.read.parquet(f"{out}/routed").drop("batch_id"), cap)

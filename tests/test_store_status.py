@@ -146,7 +146,7 @@ def test_status_documents(spark, frames):
     state, store = status_fixture(spark, frames)
     asked = requests(spark, ("f1", 10), ("nobody", 5))
     agents = st.fleet_status_agents(state, store, asked)
-    nested = st.fleet_status(agents, state, asked, at(7))
+    nested = st.fleet_status(agents, asked, at(7))
     docs = {r.fleet_id: json.loads(r.document) for r in st.fleet_status_json(nested).collect()}
     assert docs["nobody"] == {"fleetId": "nobody", "activeAgentCount": 0, "agents": [], "asOf": "2024-03-01T10:00:07.000000Z"}
     assert [a["agentId"] for a in docs["f1"]["agents"]] == ["a#b", "a1", "both", "clockless", "late"]
@@ -155,7 +155,7 @@ def test_status_documents(spark, frames):
     }
 
 
-def test_large_fleets_are_paged(spark):
+def test_a_response_holds_its_whole_fleet(spark):
     n = 500
     state = spark.createDataFrame([("f", f"a{i}", 1.0, 5, 1) for i in range(n)], AGENT_STATE)
     store = upsert_frames(spark.createDataFrame([], "agent_id string, fleet_id string, collected_at timestamp, "
@@ -163,7 +163,23 @@ def test_large_fleets_are_paged(spark):
         "labels map<string,string>, arrival_seq bigint"))
     asked = requests(spark, ("f", 3))
     agents = st.fleet_status_agents(state, store, asked)
-    pages = st.fleet_status(agents, state, asked, at(0), agents_per_page=50).collect()
-    assert {p.pages for p in pages} == {10} and {p.active_agent_count for p in pages} == {n}
-    assert sorted(a.agent_id for p in pages for a in p.agents) == sorted(f"a{i}" for i in range(n))
-    assert max(len(p.agents) for p in pages) < 100
+    (document,) = st.fleet_status(agents, asked, at(0)).collect()
+    assert document.active_agent_count == n
+    assert [a.agent_id for a in document.agents] == sorted(f"a{i}" for i in range(n))
+
+
+def test_stand_in_is_counted(spark, frames):
+    state, store = status_fixture(spark, frames)
+    asked = requests(spark, ("nobody", 5))
+    agents = st.fleet_status_agents(state, store, asked, placeholder_as_of=at(7))
+    (row,) = st.fleet_status_json(st.fleet_status(agents, asked, at(7))).collect()
+    document = json.loads(row.document)
+    assert document["activeAgentCount"] == 1 and document["agents"][0]["agentId"] == "no-active-agents"
+
+
+def test_every_request_gets_its_own_count(spark, frames):
+    store = upsert_frames(frames(*[frame(when=float(i), cpu=float(i)) for i in range(50)]))
+    state = spark.createDataFrame([("f1", "a1", 0.0, 1, 1)], AGENT_STATE)
+    asked = requests(spark, ("f1", 3), ("f1", 30), ("f1", 5000))
+    got = {r.last_n_rows: r.avg_cpu_utilization_pct for r in st.fleet_status_agents(state, store, asked).collect()}
+    assert got == {3: 48.0, 30: 34.5, 5000: 24.5}

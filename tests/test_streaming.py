@@ -1,13 +1,14 @@
 import json
 import random
 
+import pytest
 from conftest import at, frame, ms
 
 from metricloom.operators.dedup import dedup_stream, mark_duplicates_ttl
 from metricloom.operators.detect import anomaly_messages, detect
 from metricloom.operators.state import state_stream
 from metricloom.schemas import frame_schema
-from metricloom.sources.frames_json import stream_frames_json
+from metricloom.sources.frames_json import decode_frames
 from metricloom.sources.store import read_store
 from metricloom.streaming import fleet_windows as sw
 from metricloom.streaming import ingest as ing
@@ -108,7 +109,8 @@ def test_keys_are_forgotten_across_batches(spark, frames, tmp_path):
     acks = spark.read.parquet(f"{tmp_path}/out/acks").collect()
     got = sorted((r.idempotency_key, r.server_received_at) for r in acks if r.server_received_at)
     assert got == [("k", at(0)), ("k", at(1000)), ("m", at(301))]
-    assert not (tmp_path / "out" / "seen" / "batch_id=0").exists()
+    seen = [spark.read.parquet(f"{tmp_path}/out/seen/batch_id={n}").count() for n in range(3)]
+    assert seen == [1, 1, 1]  # each batch adds what it accepted
 
 
 def test_state_eviction_in_the_job(spark, frames, tmp_path):
@@ -121,8 +123,13 @@ def test_delivery_in_the_job(spark, frames, tmp_path):
     subs = spark.createDataFrame([("a1", "f1", at(-5))], "agent_id string, fleet_id string, subscribed_at timestamp")
     rows = [frame(when=float(i), cpu=99.0) for i in range(12)] + [frame(agent="a2", when=1.0, cpu=99.0)]
     run(spark, frames, str(tmp_path), [rows], ing.IngestOptions(subscriptions=subs))
-    assert spark.read.parquet(f"{tmp_path}/out/delivered").count() == 10
-    assert [r.overflow for r in spark.read.parquet(f"{tmp_path}/out/overflow").collect()] == [2]
+    delivered, overflow = ing.read_delivered(spark, f"{tmp_path}/out")
+    assert (delivered.count(), overflow.count()) == (10, 2)
+    # the same alerts, one batch each
+    run(spark, frames, f"{tmp_path}/many", [[r] for r in rows], ing.IngestOptions(subscriptions=subs))
+    assert sorted(r.alert_id for r in ing.read_delivered(spark, f"{tmp_path}/many/out")[0].collect()) == sorted(
+        r.alert_id for r in delivered.collect()
+    )
     assert spark.read.parquet(f"{tmp_path}/out/alerts").count() == 13
 
 
@@ -130,10 +137,55 @@ def test_json_lines_without_arrival_columns(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = [{"agent_id": "a", "fleetId": "f", "idempotency_key": k, "collected_at": "2024-03-01T10:00:00Z"} for k in "xyx"]
     (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, lines)) + "\nbroken\n")
-    frames, _ = stream_frames_json(spark, f"{tmp_path}/in")
-    ing.run_ingest(frames, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
+    raw = spark.readStream.text(f"{tmp_path}/in")
+    ing.run_ingest(raw, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
     acks = spark.read.parquet(f"{tmp_path}/out/acks")
     assert ack_rows(acks) == [("x", False), ("x", True), ("y", False)]
+    (bad,) = spark.read.parquet(f"{tmp_path}/out/quarantine").collect()
+    assert bad.value == "broken" and bad.reasons[0].description == "not a JSON frame" and bad.received_at
+
+
+def test_quarantine_can_be_decoded_again(spark, frames, tmp_path):
+    run(spark, frames, str(tmp_path), [[frame(agent="", key="q", cpu=7.0, rx=1.5, labels={"a": "b"})]])
+    quarantine = spark.read.parquet(f"{tmp_path}/out/quarantine")
+    again, _ = decode_frames(quarantine.select("value", "received_at"))
+    (row,) = again.collect()
+    assert (row.idempotency_key, row.system.cpu_utilization_pct, row.network.rx_mbps, row.labels) == ("q", 7.0, 1.5, {"a": "b"})
+
+
+def test_another_checkpoint_is_refused(spark, frames, tmp_path):
+    run(spark, frames, str(tmp_path), [[frame(key="a")]])
+    stream = source(spark, frames, f"{tmp_path}/more", [[frame(key="b")]])
+    with pytest.raises(Exception, match="belongs to another checkpoint"):
+        ing.run_ingest(stream, f"{tmp_path}/out", f"{tmp_path}/other").awaitTermination()
+
+
+def test_odd_keys_numbers_and_clocks(spark, frames, tmp_path):
+    null_key = [list(frame(when=float(i), received=float(i))) for i in range(3)]
+    for row in null_key:
+        row[3] = None
+    year = 365 * 86_400.0
+    parts = [
+        [tuple(null_key[0]), frame(key="k", received=1, when=1, seq=900), frame(key="k", received=1, when=1, seq=900)],
+        [tuple(null_key[1]), frame(key="far", received=year, when=2.0), frame(key="x", received=2, when=2.0), frame(key="y", received=2, when=2.0)],
+        [tuple(null_key[2]), frame(key="k", received=3, when=3.0)],
+    ]
+    run(spark, frames, str(tmp_path), parts)
+    acks = spark.read.parquet(f"{tmp_path}/out/acks").collect()
+    got = sorted((r.idempotency_key or "", r.server_received_at is not None) for r in acks)
+    assert got == [("", False), ("", False), ("", True), ("far", True), ("k", False), ("k", False), ("k", True), ("x", True), ("y", True)]
+    assert {r.agent_id for r in ing.read_state(spark, f"{tmp_path}/out").collect()} == {"a1"}
+
+
+def test_whole_copies_now_and_then(spark, frames, tmp_path, monkeypatch):
+    monkeypatch.setattr(ing, "WHOLE_EVERY", 2)
+    parts = [[frame(agent=f"a{i}", key=f"k{i}", when=float(i), received=float(i))] for i in range(6)]
+    parts.append([frame(agent="a0", key="k0", when=7.0, received=7.0), frame(agent="a9", key="k9", when=7.0, received=7.0)])
+    run(spark, frames, str(tmp_path), parts)
+    acks = spark.read.parquet(f"{tmp_path}/out/acks").collect()
+    assert sorted(r.idempotency_key for r in acks if r.server_received_at) == [f"k{i}" for i in range(6)] + ["k9"]
+    assert {r.agent_id for r in ing.read_state(spark, f"{tmp_path}/out").collect()} == {f"a{i}" for i in range(6)} | {"a9"}
+    assert not (tmp_path / "out" / "seen" / "batch_id=1").exists() and (tmp_path / "out" / "seen" / "batch_id=6").exists()
 
 
 def test_late_rows_are_dropped_and_counted(spark, frames, tmp_path):
