@@ -149,6 +149,32 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+ORACLE["op1_line_dedup"] = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x
+  FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM docs)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM lines WHERE x <> ''),
+runs AS (
+  SELECT doc_id, p, 3 AS size, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS run
+  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+  UNION ALL
+  SELECT doc_id, p, 1, x FROM numbered WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50),
+placed AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(p) OVER w AS first_p FROM runs WHERE run IS NOT NULL
+  WINDOW w AS (PARTITION BY size, run ORDER BY doc_id, p)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + size - 1)) AS p FROM placed
+  WHERE first_doc <> doc_id OR first_p + size <= p),
+dropped AS (SELECT doc_id, i FROM numbered JOIN gone USING (doc_id, p)),
+texts AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM lines ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id),
+losses AS (SELECT doc_id, count(*) AS n FROM dropped GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_lines, coalesce(l.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS text_sha256
+FROM docs d LEFT JOIN texts t USING (doc_id) LEFT JOIN counts c USING (doc_id) LEFT JOIN losses l USING (doc_id)
+"""
+
+
 @query
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as WARC files and read back."""
@@ -157,6 +183,18 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+ORACLE["op7_warc"] = r"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (SELECT *, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS last FROM payloads)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM digests
+"""
+
+
 @query
 def op9_sketches(spark: SparkSession, folder: str) -> DataFrame:
     """Bottom-k sketches of every text and its edited text, and their likeness."""
