@@ -55,12 +55,13 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 def merge_rows(rows: DataFrame, by: list[str], column: str, k: int = K) -> DataFrame:
     """One sketch per group of rows that have one: a hash is kept if it is among the group's k smallest.
 
-    Single hashes are ranked after repeats within a group are removed; per group and hash range a task keeps k at most.
+    Hashes are ranked in 64 parts of a group first, each of which keeps k, then what is left of the group.
     """
     hashes = rows.select(*by, F.explode(column).alias("h")).distinct()
-    cell = F.pmod(F.xxhash64("h"), F.lit(64))
-    parts = hashes.groupBy(*by, cell.alias("cell")).agg(F.slice(F.sort_array(F.collect_list("h")), 1, k).alias("part"))
-    return parts.groupBy(*by).agg(smallest(F.flatten(F.collect_list("part")), k).alias(column))
+    part = Window.partitionBy(*by, F.pmod(F.xxhash64("h"), F.lit(64))).orderBy("h")
+    for ranked in (part, Window.partitionBy(*by).orderBy("h")):
+        hashes = hashes.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k).drop("_rank")
+    return hashes.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:

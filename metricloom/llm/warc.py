@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.llm.ranks import running_sum
 from metricloom.llm.tables import settle
@@ -143,13 +143,27 @@ def _revisits(narrow: DataFrame, least: int) -> DataFrame:
 
 
 def _shard_starts(narrow: DataFrame, shard_bytes: int) -> list[int]:
-    """The smallest id of every shard but the first: one number for each ``shard_bytes`` of pages."""
+    """The smallest id of every shard but the first: one number for each ``shard_bytes`` of pages, ascending."""
     sizes = narrow.filter("page_id is not null").groupBy("page_id").agg(F.sum(F.col("size") + HEADER_BYTES).alias("size"))
     placed = running_sum(sizes, [], ["page_id"], F.col("size"), "before")
     shards = placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min("page_id").alias("start"))
     return sorted(r["start"] for r in shards.collect())[1:]
 
 
+def _shard(page_id: Column, starts: list[int]) -> Column:
+    """How many of the ascending ``starts`` are not above the id, by halving: one step per power of two."""
+    if not starts:
+        return F.lit(0)
+    bounds = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(len(starts).bit_length()))])
+
+    def halve(found: Column, step: Column) -> Column:
+        fits = F.coalesce(F.get(bounds, found + step - 1) <= page_id, F.lit(False))
+        return found + F.when(fits, step).otherwise(F.lit(0))
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
 def write(
     pages: DataFrame,
     path: str,
@@ -167,8 +181,6 @@ def write(
     narrow = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"))
     narrow = settle(narrow, "page-digests")
     starts = _shard_starts(narrow, shard_bytes)
-    bounds = F.array(*[F.lit(s) for s in starts]).cast("array<bigint>")
-    shard = F.coalesce(F.size(F.filter(bounds, lambda s: s <= F.col("page_id"))), F.lit(0))
     # what is known about a revisit travels before its page, so the pages move only once
     nothing = F.lit(None)
     about = _revisits(narrow, least).select(
@@ -179,7 +191,7 @@ def write(
         "page_id", "digest", F.lit(1).alias("order"), "url", "payload",
         nothing.cast("bigint").alias("ref"), nothing.cast("string").alias("ref_url"),
     )
-    both = about.union(body).withColumn("shard", shard if starts else F.lit(0))
+    both = about.union(body).withColumn("shard", _shard(F.col("page_id"), starts))
     both = both.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "order", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
