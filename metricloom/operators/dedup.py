@@ -12,8 +12,8 @@ from metricloom.functions.keys import interval_micros, time_bucket
 from metricloom.schemas import DEDUP_SWEEP, DEDUP_TTL
 
 KEY = "idempotency_key"
-#: Accepted slots are gathered in pieces of this length, so that adding one never copies the whole list.
-_PIECE = 256
+#: Slots of a block: long lists of accepted slots are never copied when one is added.
+_BLOCK = 256
 
 
 def dedup_batch(frames: DataFrame) -> DataFrame:
@@ -65,40 +65,44 @@ def accepted(
     """``(idempotency_key, bucket, arrival_seq)`` of the accepted rows.
 
     ``seen`` (key, bucket) holds remembered acceptances from earlier input; the latest of a key counts. A null key is
-    the unset key. Walking the slots of a key in order needs one small array per key: its length is bounded by the time
-    span over ``sweep`` (8,640 for 30 days), whatever the number of rows, and the walk is linear in it.
+    the unset key. A key's slots are walked in blocks, and every block for each state it can begin with: free, or 1 to
+    ``m`` slots after the last acceptance. A walk over the blocks then picks the state that holds. So the work is linear in
+    the slots of a key, whose number is bounded by the time span over ``sweep``, whatever the number of rows.
     """
-    frames = frames.withColumn(KEY, F.coalesce(KEY, F.lit("")))
     m = dead_after(ttl, sweep)
-    slots = first_in_slots(frames, sweep).groupBy(KEY).agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "arrival_seq"))).alias("_slots")
-    )
-    if seen is None:
-        slots = slots.withColumn("_last", F.lit(None).cast("bigint"))
-    else:
+    firsts = first_in_slots(frames.withColumn(KEY, F.coalesce(KEY, F.lit(""))), sweep)
+    if seen is not None:
         known = seen.groupBy(F.coalesce(KEY, F.lit("")).alias(KEY)).agg(F.max("bucket").alias("_last"))
-        slots = slots.join(known, KEY, "left")
-    slot_type = "array<struct<bucket: bigint, arrival_seq: bigint>>"
-    empty, none = F.expr(f"cast(array() as {slot_type})"), F.expr(f"cast(array() as array<{slot_type}>)")
-
-    def step(state, slot):
-        free = state["last"].isNull() | (slot["bucket"] > state["last"] + m)
-        full = F.size(state["piece"]) >= _PIECE
-        piece = F.when(full, F.array(slot)).otherwise(F.concat(state["piece"], F.array(slot)))
-        done = F.when(full, F.concat(state["done"], F.array(state["piece"]))).otherwise(state["done"])
-        return F.when(
-            free, F.struct(slot["bucket"].alias("last"), piece.alias("piece"), done.alias("done"))
-        ).otherwise(state)
-
-    start = F.struct(F.col("_last").alias("last"), empty.alias("piece"), none.alias("done"))
-    kept = F.aggregate(
-        "_slots", start, step, lambda state: F.flatten(F.concat(state["done"], F.array(state["piece"])))
-    )
-    # nearly every key has one slot and needs no walk
-    one = F.size("_slots") == 1
-    single = F.when(F.col("_last").isNull() | (F.get("_slots", F.lit(0))["bucket"] > F.col("_last") + m), F.col("_slots")).otherwise(empty)
-    chosen = F.explode(F.when(one, single).otherwise(kept))
-    return slots.select(KEY, chosen.alias("_k")).select(KEY, "_k.bucket", "_k.arrival_seq")
+        free = F.col("_last").isNull() | (F.col("bucket") > F.col("_last") + m)
+        firsts = firsts.join(known, KEY, "left").filter(free).drop("_last")
+    width = F.lit(_BLOCK).cast("bigint")
+    block = F.call_function("div", F.col("bucket") - F.pmod("bucket", width), width).alias("block")
+    slots = F.sort_array(F.collect_list(F.struct("bucket", "arrival_seq"))).alias("_slots")
+    blocks = firsts.groupBy(KEY, block).agg(slots)
+    empty = F.expr("cast(array() as array<struct<bucket: bigint, arrival_seq: bigint>>)")
+
+    def walked(last):
+        def step(state, slot):
+            free = state["last"].isNull() | (slot["bucket"] > state["last"] + m)
+            kept = F.concat(state["kept"], F.array(slot))
+            return F.when(free, F.struct(slot["bucket"].alias("last"), kept.alias("kept"))).otherwise(state)
+
+        return F.aggregate("_slots", F.struct(last.alias("last"), empty.alias("kept")), step)
+
+    states = [F.lit(None).cast("bigint"), *[F.col("block") * _BLOCK - j for j in range(1, m + 1)]]
+    walks = F.struct("block", F.array(*[walked(last) for last in states]).alias("walks"))
+    keys = blocks.select(KEY, walks.alias("_b")).groupBy(KEY).agg(F.collect_list("_b").alias("_blocks"))
+    keys = keys.withColumn("_blocks", F.array_sort("_blocks", lambda a, b: (a["block"] - b["block"]).cast("int")))
+
+    def follow(state, b):
+        after = b["block"] * _BLOCK - state["last"]
+        at = F.when(state["last"].isNull() | (after > m), F.lit(0)).otherwise(after.cast("int"))
+        return F.struct(F.get(b["walks"], at)["last"].alias("last"), F.concat(state["at"], F.array(at)).alias("at"))
+
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.expr("cast(array() as array<int>)").alias("at"))
+    at = F.aggregate("_blocks", start, follow, lambda state: state["at"])
+    kept = F.flatten(F.zip_with("_blocks", at, lambda b, i: F.get(b["walks"], i)["kept"]))
+    return keys.select(KEY, F.explode(kept).alias("_k")).select(KEY, "_k.bucket", "_k.arrival_seq")
 
 
 def mark_duplicates_ttl(

@@ -103,6 +103,18 @@ CTES: dict[str, str] = {
                || '],"asOf":"2024-01-30T20:00:00.000000Z"}' AS document
         FROM requests r LEFT JOIN agents a ON a.fleet_id = r.fleet_id AND a.last_n_rows = r.last_n_rows
         GROUP BY r.fleet_id, r.last_n_rows""",
+    "late": """
+        SELECT *, CASE WHEN arrival_seq % 50 = 0 THEN 3
+                  ELSE least(floor((epoch_us(collected_at) - lo) * 4 / greatest(1, hi - lo)), 3) END AS part
+        FROM flagged, (SELECT min(epoch_us(collected_at)) AS lo, max(epoch_us(collected_at)) AS hi FROM frames)
+        WHERE is_anomaly""",
+    # Rows are measured against the watermark that stood when the batch before began.
+    "late_mark": """
+        SELECT max(collected_at) FILTER (WHERE part < 2) - INTERVAL 10 MINUTE AS low,
+               max(collected_at) - INTERVAL 10 MINUTE AS high FROM late""",
+    "kept_late": """
+        SELECT late.* FROM late, late_mark
+        WHERE part < 3 OR time_bucket(INTERVAL '1 minute', collected_at) + INTERVAL 1 MINUTE > low""",
     "rpc": """
         SELECT event_type AS method, ts AS started_at,
                ts + to_microseconds(round(value * 1000)::BIGINT) AS ended_at, value / 1000 AS duration_s,
@@ -378,6 +390,12 @@ BODIES: dict[str, str] = {
                arg_max(CASE WHEN is_anomaly THEN 3 ELSE 1 END, arrival_seq) AS status
         FROM fresh GROUP BY ALL
         HAVING (SELECT quantile_disc(epoch_us(received_at), 0.5) // 1000 FROM deliveries) - arg_max(unix_ms, arrival_seq) <= 86400000""",
+    "region_day_table": """
+        SELECT collected_at::DATE::VARCHAR AS window_date, region, fleet_id, count(*) AS anomaly_count,
+               round(avg(cpu0), 9) AS avg_cpu_during_anomalies
+        FROM flagged WHERE is_anomaly GROUP BY ALL""",
+    "stream_late_rows": f"""
+        SELECT * FROM ({_windows("kept_late", "1 minute")}) WHERE window_end <= (SELECT high FROM late_mark)""",
     "stream_quarantine": """
         SELECT arrival_seq, CASE WHEN arrival_seq % 97 = 0 THEN '' ELSE 'collected_at' END AS field,
                CASE WHEN arrival_seq % 97 = 0 THEN 'not a JSON frame' ELSE 'not an RFC 3339 time' END AS description

@@ -15,6 +15,7 @@ from metricloom.plans import tables as t
 from metricloom.schemas import SINK_BUCKETS
 from metricloom.session import fresh_dir, prepare
 from metricloom.sources import alert_feed, frames_json
+from metricloom.sources.store import write_region_days
 from metricloom.streaming import fleet_windows as sw, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -615,7 +616,7 @@ def stream_delivered(spark, folder):
     """Alerts that subscribers got, the events arriving in four micro-batches."""
     out = fresh_dir(prepare(spark), "ingest")
     options = ingest.IngestOptions(subscriptions=t.subscriptions(spark, folder))
-    stream = t.staged_deliveries(spark, folder, f"{out}/events")
+    stream = t.redelivered(t.as_frames(t.staged_events(spark, folder, f"{out}/events")))
     ingest.run_ingest(stream, f"{out}/tables", f"{out}/checkpoint", options).awaitTermination()
     return ingest.read_delivered(spark, f"{out}/tables")[0].select("alert_id", "agent_id", "triggered_at")
 
@@ -630,6 +631,23 @@ def stream_fleet_windows(spark, folder):
     return _windows(sw.read_windows(spark, f"{out}/table").drop("window_date"))
 
 
+@query
+def stream_late_rows(spark, folder):
+    """The window job by the agents' clocks over four micro-batches; every 50th event comes in the last, most of them late."""
+    out = fresh_dir(prepare(spark), "windows")
+    found = de.anomalies(de.detect(t.as_frames(t.staged_events(spark, folder, f"{out}/events", late=50))))
+    sw.run_windows(found, f"{out}/table", f"{out}/checkpoint", time_col="collected_at").awaitTermination()
+    return _windows(sw.read_windows(spark, f"{out}/table").drop("window_date"))
+
+
+@query
+def region_day_table(spark, folder):
+    """Aggregates by date and region, written to the table partitioned by both, and read again."""
+    path = fresh_dir(prepare(spark), "region-days")
+    write_region_days(wi.fleet_region_day(de.anomalies(de.detect(t.frames(spark, folder, labelled=True)))), path)
+    return _windows(spark.read.parquet(path)).withColumn("window_date", F.col("window_date").cast("string"))
+
+
 @query
 def stream_dedup(spark, folder):
     """Spark's own streaming de-duplication; one micro-batch, so keys are not forgotten within it."""

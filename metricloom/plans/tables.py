@@ -108,16 +108,20 @@ def stream_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     return redelivered(as_frames(stream_events(spark, folder)))
 
 
-def staged_deliveries(spark: SparkSession, folder: str, path: str, parts: int = 4) -> DataFrame:
-    """The same in ``parts`` micro-batches: the whole event table, written to ``path`` in ranges of time, one after another."""
+def staged_events(spark: SparkSession, folder: str, path: str, parts: int = 4, late: int = 0) -> DataFrame:
+    """The event table as a stream of ``parts`` micro-batches: written to ``path`` in ranges of time, one after another.
+
+    With ``late``, every so many-th event comes in the last batch, whatever its time.
+    """
     events = _read(spark, folder, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(at), F.max(at)).first()
     part = F.least(F.floor((at - first) * parts / max(1, last - first)), F.lit(parts - 1)) if last is not None else F.lit(0)
+    if late:
+        part = F.when(F.col("event_id") % late == 0, F.lit(parts - 1)).otherwise(part)
     for number in range(parts):
         events.filter(part == number).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return redelivered(as_frames(stream))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def rpc_log(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,3 +65,13 @@ def write_windows(windows: DataFrame, path: str) -> None:
     """
     rows = windows.to(T.StructType.fromDDL(FLEET_WINDOWS)).withColumn("window_date", utc_date(F.col("window_start")))
     rows.write.mode("append").partitionBy("window_date").parquet(path)
+
+
+def write_region_days(rows: DataFrame, path: str) -> None:
+    """Append aggregates by date and region to a table partitioned by both, each file in the order of fleets.
+
+    The rebalance is adaptive: a large partition is split over tasks, small ones share a task.
+    """
+    keys = ["window_date", "region"]
+    rows = rows.hint("rebalance", *keys).sortWithinPartitions(*keys, "fleet_id")
+    rows.write.mode("append").partitionBy(*keys).parquet(path)

@@ -98,3 +98,29 @@ def test_severity_names(spark):
         "SEVERITY_WARNING",
         "SEVERITY_UNSPECIFIED",
     ]
+
+
+def test_utc_text_whatever_the_session(spark):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from metricloom.functions.keys import rfc3339, rfc3339_micros, utc_date
+    from metricloom.sources.frames_json import decode_frames
+
+    micros = [0, 1_709_287_200_123_456, 1_711_846_800_000_000, 1_729_990_800_000_001, -1, -86_400_000_001]
+    frame = spark.createDataFrame([(m,) for m in micros], "m bigint")
+    at = F.timestamp_micros("m")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/St_Johns"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = frame.select("m", rfc3339(at).alias("s"), rfc3339_micros(at).alias("u"), utc_date(at).cast("string").alias("d")).collect()
+            for r in rows:
+                want = datetime.fromtimestamp(r.m // 10**6, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+                assert (r.s, r.u, r.d) == (want + "Z", f"{want}.{r.m % 10**6:06}Z", want[:10])
+            text = spark.createDataFrame([('{"agent_id":"a","collected_at":"2024-03-31T01:30:00Z"}',)], "value string")
+            decoded = decode_frames(text)[0].select(F.unix_micros("collected_at").alias("m")).first()
+            assert decoded.m == 1_711_848_600_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

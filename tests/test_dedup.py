@@ -84,3 +84,14 @@ def test_remembered_keys_from_earlier_input(spark, frames):
     base = 1709287200 // 300  # slot of T0
     seen = spark.createDataFrame([("k", base - 1), ("m", base - 3)], "idempotency_key string, bucket bigint")
     assert {r.arrival_seq for r in accepted(df, seen=seen).collect()} == {2, 3}
+
+
+def test_a_busy_year_of_one_key_is_walked_in_one_go(spark):
+    """Every sweep slot of a year: a key is accepted once in three slots."""
+    n = 105_120
+    rows = spark.range(n).selectExpr(
+        "'' AS idempotency_key", "timestamp_micros(id * 300000000L) AS received_at", "id AS arrival_seq"
+    )
+    from metricloom.operators.dedup import accepted
+
+    assert accepted(rows).count() == n // 3

@@ -183,3 +183,14 @@ def test_every_request_gets_its_own_count(spark, frames):
     asked = requests(spark, ("f1", 3), ("f1", 30), ("f1", 5000))
     got = {r.last_n_rows: r.avg_cpu_utilization_pct for r in st.fleet_status_agents(state, store, asked).collect()}
     assert got == {3: 48.0, 30: 34.5, 5000: 24.5}
+
+
+def test_garbage_collection_keeps_the_later_batch(spark, frames, tmp_path):
+    from metricloom.sources.store import batch_rows, collect_garbage, read_store
+    from metricloom.streaming.tables import write_batch
+
+    for batch, (cpu, seq) in enumerate([(11.0, 9), (22.0, 1)]):  # numbers begin anew in every batch
+        write_batch(batch_rows(frames(frame(key=f"k{batch}", cpu=cpu, seq=seq))), f"{tmp_path}/s", batch, ("event_date",))
+    collect_garbage(spark, f"{tmp_path}/s", f"{tmp_path}/kept", at(60))
+    for path in ("s", "kept"):
+        assert [r.system.cpu_utilization_pct for r in read_store(spark, f"{tmp_path}/{path}").collect()] == [22.0]
