@@ -87,7 +87,8 @@ def proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     if not DIGIT.search(text):
         return
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        # leading zeros go first: a part may have more digits than int() takes
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
             yield "ip", *m.span(), False
     for m in CARD.finditer(text):
         if 12 <= len(digits := digits_of(m[0])) <= 19 and luhn(digits):

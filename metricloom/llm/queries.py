@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.llm import decontaminate, line_dedup, mixing, pii, pu, quality, shard_tree, simhash, sketches, toxicity, warc
-from metricloom.llm.tables import table
-from metricloom.session import fresh_dir
+from metricloom.llm.tables import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,7 +177,7 @@ FROM docs d LEFT JOIN texts t USING (doc_id) LEFT JOIN counts c USING (doc_id) L
 @query
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as WARC files and read back."""
-    path = fresh_dir(spark, "warc")
+    path = scratch(spark, "warc")
     warc.write(table(spark, folder, "pages"), path)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

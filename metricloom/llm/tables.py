@@ -11,14 +11,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``; what is written there goes when the session ends."""
+    path = fresh_dir(spark, name)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def settle(rows: DataFrame, name: str) -> DataFrame:
     """Write ``rows`` below ``spark.checkpoint.dir`` and read them back.
 
     The files outlive any executor, so nothing before them is computed again. They go when the session ends.
     """
     spark = rows.sparkSession
-    path = fresh_dir(spark, name)
+    path = scratch(spark, name)
     rows.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(rows.schema).parquet(path)

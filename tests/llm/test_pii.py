@@ -57,6 +57,12 @@ def test_long_texts_are_linear():
         pii.spans(text)
 
 
+def test_very_long_parts():
+    zeros = "0" * 10_000
+    assert base(f"{zeros}7.1.2.3") == [(0, "ip", 10_007)] and base(f"{zeros}.{zeros}.1.255")[0][1] == "ip"
+    assert base(f"{zeros}256.1.2.3") == [] and base(f"9{zeros}.1.2.3") == []
+
+
 def test_rows(spark):
     rows = [(1, "ü mail a@b.co", "x"), (2, None, "y"), (None, "", "z"), (1, "ü mail a@b.co", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
