@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable
+from math import log1p
 from operator import eq, ne
 
 from pyspark.sql import DataFrame, functions as F
@@ -51,7 +52,7 @@ def measures(text: bytes) -> tuple[float, ...]:
     bare = sum(map(ne, map(bytes.isalpha, words), map(bytes.isascii, words)))
     return (
         len(words),
-        len(set(words)) / n if len(words) < 100 else 1.0,
+        log1p(len(set(words))) / log1p(n),
         again / n,
         min(1.0, signs / n),
         min(1.0, chars(POINTS) / n),
