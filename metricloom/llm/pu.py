@@ -151,16 +151,19 @@ def gather(docs: DataFrame, labels: DataFrame, features: Featurizer, positives:
     return settle(rows.groupBy("doc_id", "positive").agg(F.min("places").alias("places")), "sample")
 
 
-def telling(sample: DataFrame, n_p: int, n_u: int, fewest: int, least_share: float, lift: float) -> np.ndarray:
+def telling(sample: DataFrame, n_p: int, n_u: int, fewest: int, least_share: float, lift: float, prior: float) -> np.ndarray:
     """Places of the features to learn from, ascending.
 
     Left out are features of fewer than ``fewest`` positives, or than ``least_share`` of them, and those whose share of
-    the positives is below ``lift`` times their share of the unlabelled rows: what sets positives apart is evidence.
+    the positives is below ``lift`` times their share of the negatives: what sets positives apart is evidence. The
+    unlabelled rows hold ``prior`` of positives; without these, (u - prior * p) / (1 - prior) is the share of the negatives.
     """
     counts = sample.select("positive", F.explode("places").alias("place")).groupBy("place")
     counts = counts.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
     often = F.col("p") >= max(fewest, least_share * n_p)
-    apart = F.col("p") / F.lit(max(1, n_p)) >= F.lit(float(lift)) * F.col("u") / F.lit(max(1, n_u))
+    prior = float(np.clip(prior, 0.0, 1 - 1e-3))
+    of_p, of_u = F.col("p") / F.lit(max(1, n_p)), F.col("u") / F.lit(max(1, n_u))
+    apart = of_p * F.lit(1 - prior) >= F.lit(float(lift)) * (of_u - F.lit(prior) * of_p)
     return np.sort(counts.filter(often & apart).select("place").toArrow().column(0).to_numpy())
 
 
@@ -202,10 +205,11 @@ def train(
     Features are chosen where the sample is; the driver gets the numbers of chosen ones only.
     """
     prior = labels.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    prior = 0.5 if prior is None else prior
     sample = gather(docs, labels, features, positives, unlabelled)
     n_p, n_u = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
-    known = telling(sample, n_p, n_u, fewest, least_share, lift)
-    return fit(*numbered(sample, known), known, 0.5 if prior is None else prior, **options)
+    known = telling(sample, n_p, n_u, fewest, least_share, lift, prior)
+    return fit(*numbered(sample, known), known, prior, **options)
 
 
 def score(docs: DataFrame, model: Model, outputs: Callable[[Model], Callable[[bytes], float]]) -> DataFrame:

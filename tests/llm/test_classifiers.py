@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from metricloom.llm import pu, quality, toxicity
 
@@ -84,3 +85,21 @@ def test_sample_is_bounded_and_stable(spark):
     assert one == {r.doc_id for r in pu.sample_ids(ids.repartition(3), 1000, "x").collect()}
     assert 850 < len(one) < 1150
     assert pd.Series(sorted(one)).diff().max() < 400
+
+
+@pytest.mark.parametrize("share", [0.05, 0.25, 0.5])
+def test_toxic_share_does_not_matter(spark, share):
+    rng = random.Random(3)
+    docs, marks = [], []
+    for i in range(2000):
+        words, toxic = [f"word{rng.randrange(400)}" for _ in range(rng.randrange(8, 80))], rng.random() < share
+        for _ in range(1 + len(words) // 20 if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["nastyone", "vileish", "Grossly"]))
+        docs.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(frame, labels.filter(pu.remainder("doc_id", 4) != 2))
+    test = labels.filter(pu.remainder("doc_id", 4) == 2).toPandas()
+    result = pu.accuracy(toxicity.score(frame, model).toPandas().merge(test, on="doc_id"), "toxic")
+    assert result["precision"] > 0.9 and result["recall"] > 0.9, result
