@@ -66,11 +66,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """The stored index: row, doc_id, term (place in ``terms``), positions; term -1 has the number of words instead."""
-    spark = docs.sparkSession
+def build_index(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """The stored index of numbered rows: row, doc_id, term (place in ``terms``), positions; term -1 has the number of words instead."""
+    spark = rows.sparkSession
     known = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(terms)})
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = known.value.get
@@ -101,7 +101,7 @@ def build_index(docs: DataFrame, terms: list[str]) -> DataFrame:
                 ["row", "doc_id", "term", "positions"],
             )
 
-    index = numbered(docs).mapInArrow(run, f"row bigint, doc_id {kind}, term int, positions array<int>")
+    index = rows.mapInArrow(run, f"row bigint, doc_id {kind}, term int, positions array<int>")
     return settle(index, "postings")
 
 
@@ -176,10 +176,13 @@ def contamination(
     come near."""
     items, blocks = items_of(benchmark, block_words)
     base, found, near = None, [], []
+    rows = numbered(docs)
+    if blocks > 1:  # another scan may number the rows differently, so all blocks read the same stored numbers
+        rows = settle(rows, "numbered")
     for block in range(blocks):
         mine = items.filter(F.col("block") == block)
         vocabulary = sorted(r[0] for r in mine.select(F.explode("words")).distinct().toLocalIterator())
-        index = build_index(docs, vocabulary)
+        index = build_index(rows, vocabulary)
         if base is None:
             base = index.filter("term = -1").select("row", "doc_id", F.element_at("positions", 1).cast("long").alias("n_words"))
         numbers = docs.sparkSession.createDataFrame(list(enumerate(vocabulary)), "term int, word string")
@@ -193,9 +196,9 @@ def contamination(
     named = matches.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     only = reduce(DataFrame.union, near).join(matches, ["row", "item"], "left_anti")
     only = only.groupBy("row").agg(F.count("*").alias("n_near"))
-    rows = base.join(hit, "row", "left").join(named, "row", "left").join(only, "row", "left")
+    every = base.join(hit, "row", "left").join(named, "row", "left").join(only, "row", "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return rows.select(
+    return every.select(
         "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),

@@ -76,3 +76,20 @@ def test_empty_tables(spark):
     assert de.contamination(spark.createDataFrame([], docs), spark.createDataFrame([(1, "a b")], items)).collect() == []
     row = de.contamination(spark.createDataFrame([(1, "a b")], docs), spark.createDataFrame([], items)).first()
     assert (row.doc_id, row.n_words, row.n_hit, row.n_items) == (1, 2, 0, 0)
+
+
+def test_blocks_agree_on_rows_without_a_fixed_order(spark):
+    """Every scan of the documents gives another order, as after a shuffle; blocks must still speak of the same rows."""
+    docs, items = corpus(4)
+
+    def mix(batches):
+        for batch in batches:
+            yield batch.take(random.SystemRandom().sample(range(batch.num_rows), batch.num_rows))
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    frame = frame.mapInArrow(mix, frame.schema)
+    got = de.contamination(frame, spark.createDataFrame(items, "item_id long, text string"), block_words=100).collect()
+    want = [(str(i), *brute(t, items)) for i, t in docs]
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.item_ids) for r in got) == sorted(
+        (i, n, h, len(ids), ids) for i, n, h, ids in want
+    )
