@@ -8,6 +8,9 @@ ways: each window around the fingerprint is hashed, and windows with equal hashe
 document and place stays, others are deleted; a window that overlaps the first within its document stays. As all windows
 around a fingerprint are looked at, longer runs go as a whole, with nothing joined pairwise.
 
+With ``run_words`` every run of fewer than ``window`` lines that has so many words together is a window of its own, too.
+Without it repeats of one or two lines stay unless a line is long: that is the rule of the registered query's SQL.
+
 Documents are ordered by id, then by a hash of the text; null ids come first. Rows that are equal in id and text count as
 one document and get the same result. A null text stays null, an empty one empty. Columns other than the id and text are
 passed through; only n_lines and n_removed are replaced.
@@ -24,14 +27,15 @@ LONG_WORDS = 50
 BLANKS = " \t\n\x0b\f\r"
 
 
-def numbered(text: Column, long_words: int) -> Column:
-    """Lines that count, as struct(h, long)."""
+def numbered(text: Column, long_words: int, run_words: int | None = None) -> Column:
+    """Lines that count, as struct(h, long); with ``run_words`` also n, their words."""
 
     def one(line: Column) -> Column:
         # so many words take so many characters at least; only such lines are split
         least = F.char_length(line) >= 2 * long_words - 1
         many = F.when(least, F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= long_words).otherwise(F.lit(False))
-        return F.struct(F.xxhash64(line).alias("h"), many.alias("long"))
+        counted = [] if run_words is None else [F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")]
+        return F.struct(F.xxhash64(line).alias("h"), many.alias("long"), *counted)
 
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)))
     return F.transform(F.filter(lines, lambda x: x != ""), one)
@@ -56,10 +60,25 @@ def fingerprint_places(lines: Column, window: int) -> Column:
     return F.when(F.size(lines) >= window, chosen).otherwise(F.array().cast("array<int>"))
 
 
-def seeds(docs: DataFrame, window: int, long_words: int) -> DataFrame:
+def short_runs(lines: Column, size: int, run_words: int) -> Column:
+    """The runs of ``size`` lines that have ``run_words`` words or more together, as windows of their own."""
+    starts = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size)).otherwise(F.array().cast("array<int>"))
+    enough = F.filter(starts, lambda i: sum(F.get(lines, i + j)["n"] for j in range(size)) >= run_words)
+
+    def run(start: Column) -> Column:
+        hash = F.xxhash64(*[F.get(lines, start + j)["h"] for j in range(size)], F.lit("long"))
+        return F.struct(
+            start.alias("start"), F.lit(size).alias("size"), F.xxhash64(hash, F.lit(size)).alias("mark"),
+            hash.alias("hash"), F.lit(True).alias("new"),
+        )
+
+    return F.transform(enough, run)
+
+
+def seeds(docs: DataFrame, window: int, long_words: int, run_words: int | None = None) -> DataFrame:
     """A row per window of every document: doc_id, h (text), start, size, mark (hash of the fingerprint), hash, and whether
     it is the first window of its fingerprint."""
-    rows = docs.select("doc_id", "h", numbered(F.col("text"), long_words).alias("lines"))
+    rows = docs.select("doc_id", "h", numbered(F.col("text"), long_words, run_words).alias("lines"))
     rows = rows.withColumns({
         "hashes": window_hashes(F.col("lines"), window),
         "places": fingerprint_places(F.col("lines"), window),
@@ -84,16 +103,17 @@ def seeds(docs: DataFrame, window: int, long_words: int) -> DataFrame:
             F.lit(True).alias("new"),
         ),
     )
-    return rows.select("doc_id", "h", F.inline(F.concat(runs, singles)))
+    short = [] if run_words is None else [short_runs(F.col("lines"), size, run_words) for size in range(1, window)]
+    return rows.select("doc_id", "h", F.inline(F.concat(runs, singles, *short)))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, run_words: int | None = None) -> DataFrame:
     """Windows that repeat an earlier one: doc_id, h, start, size.
 
     A window's first place is a minimum, summed up before the shuffle; joined back, a frequent window's rows are split by
     the adaptive skew join, as the other side has one row per window.
     """
-    every = settle(seeds(docs, window, long_words), "line-windows")
+    every = settle(seeds(docs, window, long_words, run_words), "line-windows")
     # a fingerprint that occurs once cannot be part of a repeated run
     marks = every.filter("new").groupBy("mark").agg(F.count("*").alias("times")).filter("times > 1").select("mark")
     place = F.struct("doc_id", "h", "start")
@@ -106,11 +126,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS)
     return later.filter(~same | apart).select("doc_id", "h", "start", "size")
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, run_words: int | None = None
+) -> DataFrame:
     """``docs`` with later copies of runs deleted from ``text``, n_lines (that count) and n_removed."""
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     rows = keyed.select("doc_id", F.col("__h").alias("h"), F.col("text")).filter("text is not null")
-    found = repeats(rows, window, long_words)
+    found = repeats(rows, window, long_words, run_words)
     gone = found.select("doc_id", "h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("i"))
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__hash")).agg(F.collect_set("i").alias("__gone"))
     same = keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__h"] == gone["__hash"])

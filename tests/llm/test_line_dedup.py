@@ -71,3 +71,40 @@ def test_repeated_runs_share_a_fingerprint(spark):
         by_window.setdefault(r.hash, set()).add(r.mark)
     assert all(len(marks) == 1 for marks in by_window.values())
     assert sum(r.new for r in rows) < len(rows)
+
+
+def brute_words(rows, run_words, window=3):
+    """As ``brute``, where runs of fewer lines count from ``run_words`` words on."""
+    out, first = {}, {}
+    for key, text in rows:
+        body, gone = text.split("\n"), set()
+        runs = [(s, size) for size in range(1, window + 1) for s in range(len(body) - size + 1)]
+        for start, size in runs:
+            run = tuple(body[start : start + size])
+            if size == window or sum(len(x.split()) for x in run) >= run_words:
+                at = first.setdefault(run, (key, start))
+                if at[0] != key or at[1] + size <= start:
+                    gone |= set(range(start, start + size))
+        out[key] = (len(body), len(gone), "\n".join(x for i, x in enumerate(body) if i not in gone))
+    return out
+
+
+def test_short_runs_count_by_words(spark):
+    """Passages of one and two lines: 30 + 30 words, a copied two-line document, a line before a long one, boilerplate."""
+    rng = random.Random(5)
+
+    def line(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    a, b, boiler, long = line("a", 30), line("b", 30), line("boiler", 12), line("long", 60)
+    rows = [(i, f"{line(f'x{i}_', 9)}\n{a}\n{b}\n{line(f'y{i}_', 9)}") for i in range(4)]
+    rows += [(10 + i, f"{line('c', 26)}\n{line('d', 25)}") for i in range(5)]
+    rows += [(20 + i, f"{line('e', 3)}\n{long}\n{boiler}") for i in range(3)] + [(30, boiler), (31, f"{boiler}\n{line('z', 8)}")]
+    pool = [line(f"p{i}_", rng.randrange(1, 40)) for i in range(12)]
+    rows += [(40 + i, "\n".join(rng.choices(pool, k=rng.randrange(1, 9)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for run_words in (50, 5):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in ld.drop_repeats(docs, run_words=run_words).collect()}
+        assert got == brute_words(rows, run_words)
+        assert [got[i][1] for i in (0, 1, 2, 3)] == [0, 2, 2, 2] and [got[i][1] for i in (10, 11, 14)] == [0, 2, 2]
+    assert got[30][2] == "" and got[31][2] == line("z", 8)
