@@ -80,6 +80,20 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """What follows an account number may look like a part of it, so shorter ends at blanks are tried, the longest first."""
+    at = 0
+    while m := IBAN.search(text, at):
+        start, end = m.span()
+        while end > start and not mod_97(text[start:end].replace(" ", "")):
+            end = text.rfind(" ", start, end)
+            if len(text[start : max(start, end)].replace(" ", "")) < 15:
+                end = start
+        if end > start:
+            yield start, end
+        at = max(start + 1, end)
+
+
 def proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """Spans that pass the rules of their kind, and whether a checksum has confirmed them."""
     if "@" in text:
@@ -97,9 +111,7 @@ def proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in PHONE.finditer(text):
             if 9 <= len(digits_of(m[0])) <= 15:
                 yield "phone", *m.span(), False
-    for m in IBAN.finditer(text):
-        if mod_97(m[0].replace(" ", "")):
-            yield "iban", *m.span(), True
+    yield from (("iban", a, b, True) for a, b in ibans(text))
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span(), False

@@ -72,3 +72,18 @@ def test_rows(spark):
     ]
     assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "ü mail [EMAIL]", "x"), (2, None, "y"), (None, "", "z"), (1, "ü mail [EMAIL]", "x")]
     assert pii.find_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_account_numbers_end_before_what_follows():
+    codes = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    tails = ["", " BIC COBADEFFXXX", " OR", " 2024-01-02", " and so on", " " + "A" * 40, " 12 34 56", ". Next"]
+    for code in codes:
+        for tail in tails:
+            found = [s[:3] for s in pii.spans(f"to {code}{tail}") if s[2] == "iban"]
+            assert found == [(3, 3 + len(code), "iban")], (code, tail)
+    text = " ".join(codes)
+    assert [text[s[0] : s[1]] for s in pii.spans(text) if s[2] == "iban"] == codes
+    text = "AB12 CDEF GHIJ KLMN " + codes[0]
+    assert [text[s[0] : s[1]] for s in pii.spans(text) if s[2] == "iban"] == codes[:1]
+    assert not [s for s in pii.spans("DE88 3704 0044 0532 0130 00 BIC") if s[2] == "iban"]
+    assert not [s for s in pii.spans("AB12 " * 20_000) if s[2] == "iban" and s[1] - s[0] < 15]
