@@ -1,12 +1,12 @@
-"""Line dedup: later copies of runs of lines are deleted, found by winnowing over line hashes.
+"""Line dedup: later copies of runs of lines are deleted, found by hashes of windows; winnowing is a prefilter.
 
 A line is what stands between line feeds, without blanks around it; lines without anything else are passed over and kept.
 Of every ``window`` consecutive lines the one with the smallest hash (the last of equals) is a fingerprint; a line of
 ``long_words`` words or more is a window of its own. So every repeated run of ``window`` lines, and every repeated long line, has a
-fingerprint that is repeated, too. Positions of fingerprints that occur once are dropped. The others are extended both
-ways: each window around the fingerprint is hashed, and windows with equal hashes are copies. The first in order of
-document and place stays, others are deleted; a window that overlaps the first within its document stays. As all windows
-around a fingerprint are looked at, longer runs go as a whole, with nothing joined pairwise.
+fingerprint that is repeated, too. All windows are stored; those whose fingerprint occurs once cannot repeat and are left
+out, which saves work and does not change the result. Of the others, windows with equal hashes are copies. The first in
+order of document and place stays, others are deleted; a window that overlaps the first within its document stays. As every
+window is looked at, longer runs go as a whole, with nothing joined pairwise.
 
 With ``run_words`` every run of fewer than ``window`` lines that has so many words together is a window of its own, too.
 Without it repeats of one or two lines stay unless a line is long: that is the rule of the registered query's SQL.
