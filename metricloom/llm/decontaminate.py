@@ -206,6 +206,12 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; rows without an id are kept."""
-    bad = contamination(docs, benchmark, window).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    """``docs`` without the documents that hold a benchmark window; of rows that share an id only those with such a text go.
+
+    Rows without an id are kept.
+    """
+    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    name = F.struct("doc_id", F.col("__h").alias("h")).alias("doc_id")
+    bad = contamination(keyed.select(name, "text"), benchmark, window).filter("n_hit > 0")
+    bad = bad.select(F.col("doc_id.doc_id").alias("__bad"), F.col("doc_id.h").alias("__bad_h")).distinct()
+    return keyed.join(bad, (keyed["doc_id"] == bad["__bad"]) & (keyed["__h"] == bad["__bad_h"]), "left_anti").drop("__h")

@@ -220,11 +220,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bands:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row of each component: the one with the smallest id; of repeated ids, one of them.
+    """One row of each component: the one with the smallest id; of repeated ids within it, one of the smallest text hash.
 
-    Rows without an id are kept, since nothing names them.
+    Rows that share an id but not the text are told apart by the text's hash. Rows without an id are kept, since nothing
+    names them.
     """
-    found = near_duplicates(docs, shingle, max_bits)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    name = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.col("__h").alias("h")))
+    found = near_duplicates(keyed.select(name.alias("doc_id"), "text"), shingle, max_bits)
+    keep = found.filter(F.col("doc_id") == F.col("component_id"))
+    keep = keep.select(F.col("doc_id.doc_id").alias("__keep"), F.col("doc_id.h").alias("__keep_h")).distinct()
+    same = (keyed["doc_id"] == keep["__keep"]) & (keyed["__h"] == keep["__keep_h"])
+    kept = keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

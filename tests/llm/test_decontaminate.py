@@ -93,3 +93,9 @@ def test_blocks_agree_on_rows_without_a_fixed_order(spark):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.item_ids) for r in got) == sorted(
         (i, n, h, len(ids), ids) for i, n, h, ids in want
     )
+
+
+def test_only_the_contaminated_text_of_an_id_goes(spark):
+    docs = spark.createDataFrame([(1, "x a b c"), (1, "other words"), (1, "x a b c"), (2, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert sorted(de.drop_contaminated(docs, items).collect()) == [(1, "other words"), (2, "a b")]

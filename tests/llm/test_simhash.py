@@ -117,3 +117,11 @@ def test_drop_keeps_one_of_each_group(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_id_with_different_texts(spark):
+    """The near copy of 3 goes, the other text of 7 stays; both texts of 9 stand alone."""
+    near, clean, other = "a b c d e", "quite another text of words", "something else that nobody else has"
+    rows = [(3, near), (7, near.upper()), (7, clean), (9, other), (9, "x y z w v u"), (9, other)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(kept.collect()) == sorted([(3, near), (7, clean), (9, other), (9, "x y z w v u")])
