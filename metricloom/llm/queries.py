@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from metricloom.llm import decontaminate, line_dedup, mixing, pii, pu, quality, shard_tree, simhash, sketches, toxicity, warc
+from metricloom.llm import (
+    decontaminate, line_dedup, mixing, periodic, pii, pu, quality, shard_tree, simhash, sketches, toxicity, warc,
+)
 from metricloom.llm.tables import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,3 +217,38 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = [count(kind) for kind in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of every tenth document, told by a hash of its id, the words from some place on repeat."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce((hashed % 10 == 0) & F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    parts = docs.select("doc_id", "text", F.floor(hashed / 10).alias("g"), F.when(chosen, words).alias("words"))
+    a = F.col("g") % F.size("words")
+    parts = parts.withColumn("a", F.when(F.col("words").isNotNull(), a))
+    period = F.expr("1 + (size(words) - a) div (3 + g % 8)")
+    parts = parts.withColumn("p", F.when(F.col("words").isNotNull(), period))
+    moved = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.expr("a") + (i - F.col("a")) % F.col("p"))))
+    return parts.select("doc_id", F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(moved, " ")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words: how many, the longest, digests of all and of the text without repetitions."""
+    found = periodic.find_runs(_made_periodic(table(spark, folder, "documents")))
+    # longest first, then the smallest start, then the smallest period
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))
+    found = found.withColumn("best", F.array_min(order))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    length, period = -F.col("best.shorter"), F.col("best.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
