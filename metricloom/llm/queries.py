@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.llm import (
-    decontaminate, line_dedup, mixing, periodic, pii, pu, quality, shard_tree, simhash, sketches, toxicity, warc,
+    decontaminate, line_dedup, mixing, periodic, pii, pu, quality, ranked, shard_tree, simhash, sketches, toxicity, warc,
 )
 from metricloom.llm.tables import scratch, table
 
@@ -252,3 +252,36 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT item, item_id, unnest(w) AS term FROM i),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words FROM d WHERE len(w) > 0),
+tallies AS (
+  SELECT row, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT row, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+held AS (SELECT * FROM tallies WHERE term IN (SELECT term FROM asked)),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM held, totals GROUP BY term, n_docs),
+scores AS (
+  SELECT item, item_id, row, doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item, item_id, row, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
