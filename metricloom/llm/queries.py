@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.llm import (
-    decontaminate, line_dedup, mixing, periodic, pii, pu, quality, ranked, shard_tree, simhash, sketches, toxicity, warc,
+    decontaminate, line_dedup, mixing, partenum, periodic, pii, pu, quality, ranked, shard_tree, simhash, sketches, toxicity, warc,
 )
 from metricloom.llm.tables import scratch, table
 
@@ -285,3 +285,9 @@ scores AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op12_partenum(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return partenum.near_sets(table(spark, folder, "documents"), words=5, percent=80)

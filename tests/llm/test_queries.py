@@ -1,4 +1,4 @@
-"""The eleven registered queries: their columns, and those that SQL can express against their SQL twins."""
+"""The registered queries: their columns, and those that SQL can express against their SQL twins."""
 
 import os
 
@@ -22,6 +22,10 @@ COLUMNS = {
     "op9_sketches": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double",
     "op10_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op11_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op12_partenum": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op13_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
+    "runs_sha256 string, collapsed_sha256 string",
     "pipeline": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
 
