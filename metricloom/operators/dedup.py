@@ -33,11 +33,10 @@ def mark_duplicates(frames: DataFrame) -> DataFrame:
 
 
 def mark(frames: DataFrame, winners: DataFrame) -> DataFrame:
-    """Rows that are no winner (key, arrival_seq) are duplicates; of rows that share both, one is the winner."""
+    """Rows that are no winner (key, arrival_seq; each once) are duplicates. Only this narrow table meets the whole rows."""
     first = winners.select(F.col(KEY).alias("_key"), "arrival_seq", F.lit(True).alias("_first"))
     rows = frames.withColumn("_key", F.coalesce(KEY, F.lit(""))).join(first, ["arrival_seq", "_key"], "left")
-    again = F.row_number().over(Window.partitionBy("arrival_seq", "_key").orderBy("arrival_seq")) > 1
-    return rows.withColumn("is_duplicate", F.col("_first").isNull() | again).drop("_first", "_key")
+    return rows.withColumn("is_duplicate", F.col("_first").isNull()).drop("_first", "_key")
 
 
 def dead_after(ttl: str = DEDUP_TTL, sweep: str = DEDUP_SWEEP) -> int:
@@ -65,9 +64,8 @@ def accepted(
     """``(idempotency_key, bucket, arrival_seq)`` of the accepted rows.
 
     ``seen`` (key, bucket) holds remembered acceptances from earlier input; the latest of a key counts. A null key is
-    the unset key. A key's slots are walked in blocks, and every block for each state it can begin with: free, or 1 to
-    ``m`` slots after the last acceptance. A walk over the blocks then picks the state that holds. So the work is linear in
-    the slots of a key, whose number is bounded by the time span over ``sweep``, whatever the number of rows.
+    the unset key. A slot more than ``m`` slots after the one before it in its key is accepted whatever came before, so it begins a
+    run of its own. Runs of one slot, which most are, need nothing else; the others are walked.
     """
     m = dead_after(ttl, sweep)
     firsts = first_in_slots(frames.withColumn(KEY, F.coalesce(KEY, F.lit(""))), sweep)
@@ -75,11 +73,31 @@ def accepted(
         known = seen.groupBy(F.coalesce(KEY, F.lit("")).alias(KEY)).agg(F.max("bucket").alias("_last"))
         free = F.col("_last").isNull() | (F.col("bucket") > F.col("_last") + m)
         firsts = firsts.join(known, KEY, "left").filter(free).drop("_last")
-    width = F.lit(_BLOCK).cast("bigint")
-    block = F.call_function("div", F.col("bucket") - F.pmod("bucket", width), width).alias("block")
-    slots = F.sort_array(F.collect_list(F.struct("bucket", "arrival_seq"))).alias("_slots")
-    blocks = firsts.groupBy(KEY, block).agg(slots)
+    of_key = Window.partitionBy(KEY).orderBy("bucket")
+    before, after = F.lag("bucket").over(of_key), F.lead("bucket").over(of_key)
+    slots = firsts.withColumns({
+        "_head": F.coalesce(F.col("bucket") > before + m, F.lit(True)),
+        "_tail": F.coalesce(after > F.col("bucket") + m, F.lit(True)),
+    })
+    alone = slots.filter("_head and _tail").select(KEY, "bucket", "arrival_seq")
+    run = F.sum(F.col("_head").cast("bigint")).over(of_key).alias("run")
+    close = slots.select(KEY, "bucket", "arrival_seq", "_head", "_tail", run).filter("not (_head and _tail)")
+    return alone.unionByName(_walked(close.drop("_head", "_tail"), m))
+
+
+def _walked(slots: DataFrame, m: int) -> DataFrame:
+    """Accepted slots of runs (key, run) of two slots or more, the first of which is accepted.
+
+    A run is walked in blocks. Its first block is walked once; a later one, of which only very long runs have any, for
+    each state it can begin with: free, or 1 to ``m`` slots after the last acceptance. A walk over the blocks then picks the
+    state that holds. So the work is linear in the slots, whose number is bounded by the time span over the sweep.
+    """
+    of_run = Window.partitionBy(KEY, "run").orderBy("bucket")
+    block = F.floor((F.row_number().over(of_run) - 1) / _BLOCK).alias("block")
+    slot_list = F.sort_array(F.collect_list(F.struct("bucket", "arrival_seq"))).alias("_slots")
+    blocks = slots.select("*", block).groupBy(KEY, "run", "block").agg(slot_list)
     empty = F.expr("cast(array() as array<struct<bucket: bigint, arrival_seq: bigint>>)")
+    begin = F.get("_slots", F.lit(0))["bucket"]
 
     def walked(last):
         def step(state, slot):
@@ -89,20 +107,21 @@ def accepted(
 
         return F.aggregate("_slots", F.struct(last.alias("last"), empty.alias("kept")), step)
 
-    states = [F.lit(None).cast("bigint"), *[F.col("block") * _BLOCK - j for j in range(1, m + 1)]]
-    walks = F.struct("block", F.array(*[walked(last) for last in states]).alias("walks"))
-    keys = blocks.select(KEY, walks.alias("_b")).groupBy(KEY).agg(F.collect_list("_b").alias("_blocks"))
-    keys = keys.withColumn("_blocks", F.array_sort("_blocks", lambda a, b: (a["block"] - b["block"]).cast("int")))
+    anew = walked(F.lit(None).cast("bigint"))
+    walks = F.when(F.col("block") == 0, F.array(anew)).otherwise(F.array(anew, *[walked(begin - j) for j in range(1, m + 1)]))
+    runs = blocks.select(KEY, "run", F.struct("block", begin.alias("begin"), walks.alias("walks")).alias("_b"))
+    runs = runs.groupBy(KEY, "run").agg(F.collect_list("_b").alias("_blocks"))
+    runs = runs.withColumn("_blocks", F.array_sort("_blocks", lambda a, b: (a["block"] - b["block"]).cast("int")))
 
     def follow(state, b):
-        after = b["block"] * _BLOCK - state["last"]
-        at = F.when(state["last"].isNull() | (after > m), F.lit(0)).otherwise(after.cast("int"))
+        past = b["begin"] - state["last"]
+        at = F.when(state["last"].isNull() | (past > m), F.lit(0)).otherwise(past.cast("int"))
         return F.struct(F.get(b["walks"], at)["last"].alias("last"), F.concat(state["at"], F.array(at)).alias("at"))
 
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.expr("cast(array() as array<int>)").alias("at"))
     at = F.aggregate("_blocks", start, follow, lambda state: state["at"])
     kept = F.flatten(F.zip_with("_blocks", at, lambda b, i: F.get(b["walks"], i)["kept"]))
-    return keys.select(KEY, F.explode(kept).alias("_k")).select(KEY, "_k.bucket", "_k.arrival_seq")
+    return runs.select(KEY, F.explode(kept).alias("_k")).select(KEY, "_k.bucket", "_k.arrival_seq")
 
 
 def mark_duplicates_ttl(
@@ -114,7 +133,9 @@ def mark_duplicates_ttl(
 
 def dedup_batch_ttl(frames: DataFrame, ttl: str = DEDUP_TTL, sweep: str = DEDUP_SWEEP) -> DataFrame:
     """Keep the accepted rows only."""
-    return mark_duplicates_ttl(frames, ttl, sweep).filter("not is_duplicate").drop("is_duplicate")
+    winners = accepted(frames, ttl, sweep).select(F.col(KEY).alias("_key"), F.col("arrival_seq").alias("_seq"))
+    same = (frames["arrival_seq"] == winners["_seq"]) & (F.coalesce(frames[KEY], F.lit("")) == winners["_key"])
+    return frames.join(winners, same, "left_semi")
 
 
 def dedup_stream(frames: DataFrame, ttl: str = DEDUP_TTL, time_col: str = "received_at") -> DataFrame:

@@ -30,6 +30,8 @@ def connection():
 
 
 def plan(df) -> str:
+    """The physical plan as text, long filters in full."""
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "10000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
