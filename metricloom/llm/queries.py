@@ -93,15 +93,16 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_shard_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight shards by the weighted hash tree, and the shard of each row if a ninth were added."""
+    """Eight shards by descending the weighted hash tree, and the shard of each row if a ninth were added."""
+    tree = shard_tree.even_tree(8)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        shard_tree.pick(["doc_id"], shard_tree.even_tree(9))["shard"].alias("grown_shard"),
     )
-    rows = shard_tree.assign_shards(rows, ["doc_id"], shard_tree.even_tree(8))
+    rows = shard_tree.descend(rows, ["doc_id"], shard_tree.grow(tree, 8)).withColumnRenamed("shard", "grown_shard")
+    rows = shard_tree.descend(rows, ["doc_id"], tree)
     rows = shard_tree.add_slots(rows, ["doc_id", "text_crc32", "size"])
     law = F.lit("key").alias("law")
     return rows.select("doc_id", "size", "text_crc32", law, "shard", "slot", "grown_shard", "region", "rack")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from metricloom.llm.tables import settle
+from metricloom.llm.tables import settle, unused
 
 
 def running_sum(rows: DataFrame, groups: list[str], order: list[str], amount: Column, name: str) -> DataFrame:
@@ -15,23 +15,23 @@ def running_sum(rows: DataFrame, groups: list[str], order: list[str], amount: Co
     the order alone, not from where the ranges were cut, if ``order`` is total. Null groups and null order
     values count as values (nulls come first). Rows that tie in ``order`` get the places in any order.
     """
-    parts = rows.withColumn("_amount", amount).repartitionByRange(*groups, *order)
-    parts = settle(parts.withColumn("_part", F.spark_partition_id()), "ranges")
+    mark = unused(rows, name)
+    amount_, part, sum_, before, inside, own = (mark + n for n in ("amount", "part", "sum", "before", "inside", "own_part"))
+    parts = rows.withColumn(amount_, amount).repartitionByRange(*groups, *order)
+    parts = settle(parts.withColumn(part, F.spark_partition_id()), "ranges")
     earlier = Window.unboundedPreceding, -1
-    sums = parts.groupBy(*groups, "_part").agg(F.sum("_amount").alias("_sum"))
-    across = Window.partitionBy(*groups).orderBy("_part").rowsBetween(*earlier)
-    names = {g: f"_g{i}" for i, g in enumerate(groups)}
+    sums = parts.groupBy(*groups, part).agg(F.sum(amount_).alias(sum_))
+    across = Window.partitionBy(*groups).orderBy(part).rowsBetween(*earlier)
+    names = {g: f"{mark}g{i}" for i, g in enumerate(groups)}
     sums = sums.select(
-        F.col("_part").alias("_p"),
+        F.col(part).alias(own),
         *[F.col(g).alias(new) for g, new in names.items()],
-        F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum(sum_).over(across), F.lit(0)).alias(before),
     )
-    same = parts["_part"] == sums["_p"]
+    same = parts[part] == sums[own]
     for g, new in names.items():
         same = same & parts[g].eqNullSafe(sums[new])
-    inside = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(*earlier)
-    inside = parts.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
-    joined = inside.join(sums, same)
-    return joined.withColumn(name, F.col("_inside") + F.col("_before")).drop(
-        "_amount", "_part", "_p", "_before", "_inside", *names.values()
-    )
+    within = Window.partitionBy(*groups, part).orderBy(*order).rowsBetween(*earlier)
+    summed = parts.withColumn(inside, F.coalesce(F.sum(amount_).over(within), F.lit(0)))
+    joined = summed.join(sums, same).withColumn(name, F.col(inside) + F.col(before))
+    return joined.drop(amount_, part, own, before, inside, *names.values())

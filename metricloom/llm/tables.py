@@ -28,3 +28,11 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def unused(rows: DataFrame, *more: str) -> str:
+    """Beginning for names of helper columns: no column of ``rows`` (nor ``more``) starts with it, in any case."""
+    names, mark = [n.lower() for n in [*rows.columns, *more]], "_"
+    while any(n.startswith(mark) for n in names):
+        mark += "_"
+    return mark

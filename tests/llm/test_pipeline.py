@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from metricloom.llm import mixing, pu, quality, shard_tree
 from metricloom.llm.tables import table
-from tests.llm import test_decontaminate, test_simhash
+from tests.llm import test_decontaminate, test_descent, test_simhash
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
@@ -38,8 +38,9 @@ def test_stages_equal_brute_force(spark):
     counts = {r.doc_id: r["count"] for r in tables[3].groupBy("doc_id").count().collect()}
     assert counts == {r.doc_id: r.copies for r in taken} and mix.keys() == counts.keys()
 
-    shards = tables[4].select("doc_id", "shard", shard_tree.pick(["doc_id"], shard_tree.even_tree(8))["shard"].alias("want"))
-    assert shards.filter("shard != want").count() == 0 and shards.count() == tables[3].count()
+    placed, tree = tables[4].select("doc_id", "region", "rack", "shard").collect(), shard_tree.even_tree(8)
+    assert all((r.region, r.rack, r.shard) == test_descent.slow_descent(r.doc_id, tree) for r in placed)
+    assert len(placed) == tables[3].count()
 
 
 def test_odd_rows_go_through(spark):
