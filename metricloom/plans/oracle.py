@@ -410,6 +410,18 @@ BODIES: dict[str, str] = {
     "stream_dedup": """
         SELECT idempotency_key, agent_id, collected_at FROM deliveries
         QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY arrival_seq) = 1""",
+    "stream_swept_keys": "SELECT idempotency_key, bucket, arrival_seq FROM slots JOIN chain USING (idempotency_key, bucket)",
+    "stream_agent_evictions": """
+        SELECT fleet_id, agent_id, round(cpu, 9) AS cpu, last_seen_ms, status, due * 600000 AS evicted_ms
+        FROM (SELECT *, greatest(slot + 1, (last_seen_ms + 3600000) // 600000 + 1) AS due,
+                     lead(slot) OVER (PARTITION BY fleet_id, agent_id ORDER BY slot) AS following
+              FROM (SELECT fleet_id, agent_id, epoch_ms(received_at) // 600000 AS slot, arg_max(cpu0, arrival_seq) AS cpu,
+                           arg_max(unix_ms, arrival_seq) AS last_seen_ms,
+                           arg_max(CASE WHEN is_anomaly THEN 3 ELSE 1 END, arrival_seq)::INT AS status
+                    FROM (SELECT *, arg_max(arrival_seq, (received_at, arrival_seq))
+                              OVER (PARTITION BY fleet_id, agent_id, epoch_ms(received_at) // 600000) AS latest FROM flagged)
+                    WHERE arrival_seq = latest GROUP BY ALL))
+        WHERE following >= due OR (following IS NULL AND due * 600000 < (SELECT epoch_ms(max(received_at)) FROM flagged))""",
 }
 
 

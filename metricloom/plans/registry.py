@@ -16,7 +16,7 @@ from metricloom.schemas import SINK_BUCKETS
 from metricloom.session import fresh_dir, prepare
 from metricloom.sources import alert_feed, frames_json
 from metricloom.sources.store import write_region_days
-from metricloom.streaming import fleet_windows as sw, ingest
+from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -662,3 +662,29 @@ def stream_dedup(spark, folder):
         .awaitTermination()
     )
     return spark.read.parquet(f"{out}/table")
+
+
+def _run_to(rows: DataFrame, out: str) -> DataFrame:
+    """Run a stream until its input is used up, and read what it wrote."""
+    writer = rows.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{out}/table")
+
+
+@query
+def stream_swept_keys(spark, folder):
+    """Accepted arrivals by keyed state with timers, the deliveries coming in four micro-batches."""
+    out = fresh_dir(prepare(spark), "swept")
+    narrow = t.deliveries(spark, folder).select("idempotency_key", "received_at", "arrival_seq")
+    with ks.rocksdb(spark):
+        return _run_to(ks.accepted_stream(t.staged(narrow, f"{out}/in", "received_at")), out)
+
+
+@query
+def stream_agent_evictions(spark, folder):
+    """Agent states given up at the sweep that finds them too old, the frames coming in four micro-batches."""
+    out = fresh_dir(prepare(spark), "evictions")
+    with ks.rocksdb(spark):
+        stream = de.detect(t.staged(t.frames(spark, folder), f"{out}/in", "received_at"))
+        rows = _run_to(ks.evictions_stream(stream), out)
+    return rows.withColumn("cpu", nine("cpu"))

@@ -124,6 +124,16 @@ def staged_events(spark: SparkSession, folder: str, path: str, parts: int = 4, l
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def staged(rows: DataFrame, path: str, time_col: str, parts: int = 4) -> DataFrame:
+    """``rows`` as a stream of ``parts`` micro-batches: written to ``path`` in ranges of time, one after another."""
+    spark, at = rows.sparkSession, F.unix_micros(time_col)
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - first) * parts / max(1, last - first)), F.lit(parts - 1)) if last is not None else F.lit(0)
+    for number in range(parts):
+        rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def rpc_log(spark: SparkSession, folder: str) -> DataFrame:
     """One request per event; the value is its duration in milliseconds."""
     at, seconds = F.col("ts").cast("timestamp"), F.col("value") / 1000

@@ -45,6 +45,7 @@ DEFAULT_LAST_N = 10
 DEDUP_TTL = "10 minutes"
 DEDUP_SWEEP = "5 minutes"
 STATE_TTL_MS = 3_600_000
+STATE_SWEEP = "10 minutes"
 WINDOW = "60 seconds"
 ALERT_BUFFER = 10
 SYSTEM_TTL_DAYS = 30

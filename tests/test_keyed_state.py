@@ -1,0 +1,115 @@
+"""Keyed state with timers against simulations in arrival order: several micro-batches, a replay, state to begin with."""
+
+import glob
+import os
+import random
+
+from conftest import T0, at, frame, ms
+from test_dedup import simulate
+
+from metricloom.operators.detect import detect
+from metricloom.schemas import frame_schema
+from metricloom.streaming import keyed_state as ks
+
+SWEEP_MS = 600_000
+
+
+def write_batches(spark, frames, path, batches):
+    for rows in batches:
+        frames(*rows).coalesce(1).write.mode("append").parquet(path)
+
+
+def run(spark, make, path, out):
+    """Run to the end of the input, ``make`` building the stream; the rows written so far."""
+    stream = spark.readStream.schema(frame_schema("bigint")).option("maxFilesPerTrigger", 1).parquet(path)
+    with ks.rocksdb(spark):
+        writer = make(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+        query = writer.trigger(availableNow=True).start(f"{out}/table")
+        query.awaitTermination()
+    return spark.read.parquet(f"{out}/table").collect()
+
+
+def traffic(seed, n=240, hours=3):
+    rng, rows = random.Random(seed), []
+    for seq, when in enumerate(sorted(rng.uniform(0, hours * 3600) for _ in range(n))):
+        key = "" if rng.random() < 0.33 else f"k{rng.randrange(25)}"
+        rows.append((round(when, 3), seq, key))
+    return rows
+
+
+def batches_of(rows, build, parts=4):
+    size = -(-len(rows) // parts)
+    return [[build(r) for r in rows[i : i + size]] for i in range(0, len(rows), size)]
+
+
+def test_swept_keys_over_batches_and_a_replay(spark, frames, tmp_path):
+    rows = traffic(5)
+    expected = {s for s, dup in simulate(rows).items() if not dup}
+    batches = batches_of(rows, lambda r: frame(key=r[2], received=r[0], when=0.0, seq=r[1]))
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_batches(spark, frames, path, batches[:2])
+    first = run(spark, ks.accepted_stream, path, out)
+    assert {r.arrival_seq for r in first} <= expected
+    write_batches(spark, frames, path, batches[2:])
+    assert {r.arrival_seq for r in run(spark, ks.accepted_stream, path, out)} == expected
+    again = run(spark, ks.accepted_stream, path, out)  # a restart with nothing new
+    assert sorted(r.arrival_seq for r in again) == sorted(expected)
+    # the last batch once more, as after a crash before its commit
+    last = max(int(os.path.basename(f)) for f in glob.glob(f"{out}/checkpoint/commits/[0-9]*"))
+    for name in (f"{last}", f".{last}.crc"):
+        if os.path.exists(f"{out}/checkpoint/commits/{name}"):
+            os.rename(f"{out}/checkpoint/commits/{name}", f"{out}/gone-{name}")
+    assert sorted(r.arrival_seq for r in run(spark, ks.accepted_stream, path, out)) == sorted(expected)
+
+
+def test_swept_keys_begin_with_a_table(spark, frames, tmp_path):
+    rows = [frame(key="k", received=0, seq=1), frame(key="m", received=0, seq=2), frame(key="k", received=900, seq=3)]
+    write_batches(spark, frames, str(tmp_path / "in"), [[r] for r in rows])
+    base = ms(T0) // 300_000
+    seen = spark.createDataFrame([("k", base - 1), ("k", base - 9), ("m", base - 3)], "idempotency_key string, bucket bigint")
+    found = run(spark, lambda s: ks.accepted_stream(s, seen=seen), str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {r.arrival_seq for r in found} == {2, 3}
+
+
+def slow_evictions(arrivals, until_ms, state=()):
+    """A map of agents, looked through at every multiple of ten minutes up to ``until_ms``."""
+    known = {agent: seen for agent, seen in state}
+    gone, tick = [], None
+    for received, agent, seen in [*sorted(arrivals), (until_ms, None, None)]:
+        tick = received // SWEEP_MS * SWEEP_MS if tick is None else tick
+        while tick + SWEEP_MS <= received:
+            tick += SWEEP_MS
+            for agent_, seen_ in list(known.items()):
+                if tick - seen_ > 3_600_000:
+                    gone.append((agent_, seen_, tick))
+                    del known[agent_]
+        if agent is not None:
+            known[agent] = seen
+    return sorted(gone)
+
+
+def test_evictions_over_batches(spark, frames, tmp_path):
+    """Agents with right, slow and fast clocks; one agent sends a third of everything."""
+    rng, rows = random.Random(11), []
+    for when in sorted(rng.uniform(0, 20 * 3600) for _ in range(200)):
+        agent = "hot" if rng.random() < 0.3 else f"a{rng.randrange(12)}"
+        rows.append((round(when, 3), agent, round(when + rng.choice([0, 0, 0, -1800, -4000, 900]), 3)))
+    build = lambda r: frame(agent=r[1], fleet="f", received=r[0], when=r[2], cpu=50.0)
+    write_batches(spark, frames, str(tmp_path / "in"), batches_of(rows, build, 5))
+    found = run(spark, lambda s: ks.evictions_stream(detect(s)), str(tmp_path / "in"), str(tmp_path / "out"))
+    arrivals = [(ms(at(r)), a, ms(at(seen))) for r, a, seen in rows]
+    expected = slow_evictions(arrivals, max(a[0] for a in arrivals))
+    assert sorted((r.agent_id, r.last_seen_ms, r.evicted_ms) for r in found) == expected and len(expected) > 30
+
+
+def test_evictions_begin_with_a_state_table(spark, frames, tmp_path):
+    begin = ms(at(0))
+    state = spark.createDataFrame(
+        [("f", "old", 1.0, begin - 3_000_000, 1), ("f", "back", 2.0, begin - 3_000_000, 3)],
+        "fleet_id string, agent_id string, cpu double, last_seen_ms bigint, status int",
+    )
+    rows = [frame(agent="back", fleet="f", received=60, when=60.0), frame(agent="other", fleet="f", received=3000, when=None),
+            frame(agent="late", fleet="f", received=4000, when=4000.0)]
+    write_batches(spark, frames, str(tmp_path / "in"), [[r] for r in rows])
+    found = run(spark, lambda s: ks.evictions_stream(detect(s), state=state), str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [(r.agent_id, r.evicted_ms - begin) for r in sorted(found)] == [("old", 1_200_000)]
