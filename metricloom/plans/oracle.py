@@ -411,6 +411,9 @@ BODIES: dict[str, str] = {
         SELECT idempotency_key, agent_id, collected_at FROM deliveries
         QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY arrival_seq) = 1""",
     "stream_swept_keys": "SELECT idempotency_key, bucket, arrival_seq FROM slots JOIN chain USING (idempotency_key, bucket)",
+    "stream_live_routing": """
+        SELECT alert_id, agent_id, triggered_at, subscribed_at FROM routed
+        WHERE epoch_us(triggered_at) < (SELECT epoch_ms(max(triggered_at)) * 1000 FROM alert_rows)""",
     "stream_agent_evictions": """
         SELECT fleet_id, agent_id, round(cpu, 9) AS cpu, last_seen_ms, status, due * 600000 AS evicted_ms
         FROM (SELECT *, greatest(slot + 1, (last_seen_ms + 3600000) // 600000 + 1) AS due,

@@ -16,7 +16,7 @@ from metricloom.schemas import SINK_BUCKETS
 from metricloom.session import fresh_dir, prepare
 from metricloom.sources import alert_feed, frames_json
 from metricloom.sources.store import write_region_days
-from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks
+from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, live_routing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -688,3 +688,17 @@ def stream_agent_evictions(spark, folder):
         stream = de.detect(t.staged(t.frames(spark, folder), f"{out}/in", "received_at"))
         rows = _run_to(ks.evictions_stream(stream), out)
     return rows.withColumn("cpu", nine("cpu"))
+
+
+@query
+def stream_live_routing(spark, folder):
+    """Alerts routed while subscriptions come in between: alerts and subscriptions in four micro-batches each, by time."""
+    out = fresh_dir(prepare(spark), "live")
+    _alerts(spark, folder).write.parquet(f"{out}/all")
+    alerts, events = spark.read.parquet(f"{out}/all"), live_routing.subscription_events(t.subscriptions(spark, folder))
+    span = t.time_span(alerts, "triggered_at")
+    alerts = t.staged(alerts, f"{out}/alerts", "triggered_at", span=span)
+    events = t.staged(events, f"{out}/events", "at", span=span)
+    with ks.rocksdb(spark):
+        rows = _run_to(live_routing.route_live(alerts, events), out)
+    return rows.select("alert_id", "agent_id", "triggered_at", "subscribed_at")

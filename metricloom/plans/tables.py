@@ -124,11 +124,21 @@ def staged_events(spark: SparkSession, folder: str, path: str, parts: int = 4, l
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def staged(rows: DataFrame, path: str, time_col: str, parts: int = 4) -> DataFrame:
-    """``rows`` as a stream of ``parts`` micro-batches: written to ``path`` in ranges of time, one after another."""
+def time_span(rows: DataFrame, time_col: str) -> tuple[int | None, int | None]:
+    """First and last time in microseconds."""
+    return tuple(rows.agg(F.min(F.unix_micros(time_col)), F.max(F.unix_micros(time_col))).first())
+
+
+def staged(rows: DataFrame, path: str, time_col: str, parts: int = 4, span: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """``rows`` as a stream of ``parts`` micro-batches: written to ``path`` in ranges of time, one after another.
+
+    The ranges cut ``span``, by default that of the rows; streams staged over one span go together.
+    """
     spark, at = rows.sparkSession, F.unix_micros(time_col)
-    first, last = rows.agg(F.min(at), F.max(at)).first()
-    part = F.least(F.floor((at - first) * parts / max(1, last - first)), F.lit(parts - 1)) if last is not None else F.lit(0)
+    first, last = span or time_span(rows, time_col)
+    part = F.lit(0)
+    if last is not None:
+        part = F.greatest(F.least(F.floor((at - first) * parts / max(1, last - first)), F.lit(parts - 1)), F.lit(0))
     for number in range(parts):
         rows.filter(part == number).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -28,14 +28,15 @@ STATE_PARTS = f"{AGENT_STATE}, clock_ms bigint, ttl_ms bigint"
 
 @dataclass(frozen=True)
 class IngestOptions:
-    """Limits of the ingest job; ``subscriptions`` (a table) turns on alert routing."""
+    """Limits of the ingest job. ``subscriptions`` turns on alert routing: a table, or the path of one, which is read anew for
+    every micro-batch, so who subscribes later is seen without a restart."""
 
     detector: Detector | None = None
     ttl: str = DEDUP_TTL
     sweep: str = DEDUP_SWEEP
     state_ttl_ms: int = STATE_TTL_MS
     strict: bool = False
-    subscriptions: DataFrame | None = None
+    subscriptions: DataFrame | str | None = None
 
 
 def with_arrival_time(frames: DataFrame) -> DataFrame:
@@ -146,7 +147,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
             "alerts": alerts,
         }
         if options.subscriptions is not None:
-            tables["routed"] = alert_ops.route_alerts(alerts, options.subscriptions)
+            now_known = options.subscriptions
+            now_known = spark.read.parquet(now_known) if isinstance(now_known, str) else now_known
+            tables["routed"] = alert_ops.route_alerts(alerts, now_known)
         dated = {"frames": ("event_date",)}
         _write_all(
             spark,
