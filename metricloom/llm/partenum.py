@@ -7,11 +7,12 @@ its shingles in every such pair (hashed); sets that link share at least one.
 
 Some parts more than needed are made, so that linked sets agree in several; in return a set gives no signature without shingles,
 unless more of its parts are that thin. (If either set of a link is not thin, one of the parts they agree in has shingles
-in all its pairs; if both are, they give all signatures.) Equal texts are one node; only nodes are signed.
+in all its pairs; if both are, they give all signatures.) Equal texts are one node, named by a 64-bit hash; texts whose hashes happen to
+be equal are found and named by another one. A task signs a text once.
 
 Buckets of equal signatures give candidates. A bucket's nodes are first held against its first node, and what is linked is
 brought together; afterwards only nodes of different components meet, and every such pair of a bucket is looked at. A sketch (parities
-of 512 classes of shingles, which cannot differ in more places than the sets) discards most pairs; the others are verified on
+of classes of shingles, which cannot differ in more places than the sets) discards most pairs; the others are verified on
 whole texts. So no link between components is lost, and a large group of copies never makes all its pairs.
 
 Words are what stands between ASCII blanks, lower-cased in A-Z. Sets are held as 64-bit hashes of shingles.
@@ -34,7 +35,7 @@ from metricloom.llm.components import stars
 from metricloom.llm.tables import settle
 
 WORDS, PERCENT = 5, 80
-#: Hashes of words that a task remembers.
+#: Hashes of words, or of texts, that a task remembers.
 HELD = 200_000
 #: Rows of a bucket, or partners of a node, that meet in one task.
 CHUNK = 2048
@@ -92,7 +93,7 @@ def band_signatures(shingles: np.ndarray, band: int, differences: int) -> np.nda
     if not differences:
         return mixed(shingles.sum(keepdims=True) + salt)
     parts = differences // 2 + 1
-    spare = 0 if parts < 6 else parts // 12 + 1
+    spare = 0 if parts < 6 else parts // 16 + 1
     cells = 3 * (parts + spare)
     cell = (((shingles >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)  # rises with the hash
     counts = np.bincount(cell, minlength=cells)
@@ -115,19 +116,33 @@ def signatures(shingles: np.ndarray, ends: list[int], percent: int) -> np.ndarra
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Size of a set and the parities of 512 classes of its shingles."""
-    odd = np.bincount((shingles & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return len(shingles).to_bytes(4, "big") + np.packbits(odd.astype(np.uint8)).tobytes()
+    """Size of a set, the parities of 512 classes of its shingles, and for larger sets those of twice as many classes as shingles."""
+    classes = 512
+    while classes < 2 * len(shingles):
+        classes *= 2
+    odd = np.packbits((np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).astype(np.uint8))
+    fine = odd.tobytes() if classes > 512 else b""
+    return len(shingles).to_bytes(4, "big") + np.bitwise_xor.reduce(odd.reshape(-1, 64), axis=0).tobytes() + fine
 
 
 def unpacked(stats: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes and parities (eight longs) of sketches."""
-    raw = np.frombuffer(b"".join(stats.to_pylist()), np.uint8).reshape(-1, 68)
+    """Sizes and the 512 parities (eight longs) of sketches."""
+    raw = np.frombuffer(b"".join([s[:68] for s in stats.to_pylist()]), np.uint8).reshape(-1, 68)
     return np.ascontiguousarray(raw[:, :4]).view(">i4")[:, 0].astype(np.int64), np.ascontiguousarray(raw[:, 4:]).view(np.uint64)
 
 
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """In how many shingles two sets differ at least, by their finer parities."""
+    one, two = (np.frombuffer(s, np.uint64, offset=68) if len(s) > 68 else np.frombuffer(s, np.uint64, offset=4) for s in (a, b))
+    if len(one) > len(two):
+        one, two = two, one
+    while len(two) > len(one):  # half as many classes: classes i and i + half become one
+        two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 def possible(sizes: tuple[np.ndarray, np.ndarray], parities: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs can link by their sizes and parities."""
+    """Which pairs can link by their sizes and 512 parities."""
     a, b = sizes
     fits = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     apart = np.bitwise_count(parities[0] ^ parities[1]).sum(axis=1, dtype=np.int64)
@@ -147,7 +162,7 @@ def signed(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """A row (sig, node) per signature of each text, and one row per node, under a hash of it, with its sketch in ``stats``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, ends = Shingles(words), band_ends(1, percent)
+        shingles, ends, done = Shingles(words), band_ends(1, percent), set()
 
         def rows(sigs: list[np.ndarray], nodes: list[int], stats: list[bytes]) -> Iterator[pa.RecordBatch]:
             sizes = [len(s) for s in sigs]
@@ -162,6 +177,11 @@ def signed(texts: DataFrame, words: int, percent: int) -> DataFrame:
             held: tuple[list, list, list] = ([], [], [])
             waiting = 0
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                if node in done:
+                    continue
+                if len(done) > HELD:
+                    done.clear()
+                done.add(node)
                 mine = shingles.of(text.as_py())
                 if len(mine) > ends[-1]:
                     ends = band_ends(2 * len(mine), percent)
@@ -223,7 +243,11 @@ def likely(pairs: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 sizes, parities = zip(unpacked(batch.column(2)), unpacked(batch.column(3)))
-                kept = batch.filter(pa.array(possible(sizes, parities, percent)))
+                fits = possible(sizes, parities, percent)
+                for i in np.flatnonzero(fits).tolist():
+                    apart = apart_at_least(batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                    fits[i] = (100 + percent) * apart <= (100 - percent) * (sizes[0][i] + sizes[1][i])
+                kept = batch.filter(pa.array(fits))
                 yield pa.RecordBatch.from_arrays(kept.columns[:2], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -235,16 +259,21 @@ def crossing(rows: DataFrame, percent: int) -> DataFrame:
     def pairs(group: np.ndarray, node: np.ndarray, root: np.ndarray, stats: pa.Array) -> Iterator[pa.RecordBatch]:
         sizes, parities = unpacked(stats)
         ends = np.searchsorted(group, group, "right")
-        at, step = np.arange(len(group)), 1
+        at, step, seen = np.arange(len(group)), 1, np.zeros((0, 2), np.int64)
         while len(at := at[at + step < ends[at]]):
             other = at + step
             apart = root[at] != root[other]
             one, two = at[apart], other[apart]
             fits = possible((sizes[one], sizes[two]), (parities[one], parities[two]), percent)
             one, two = node[one[fits]], node[two[fits]]
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+            if len(one):  # a pair meets in many buckets
+                seen = np.unique(np.concatenate([seen, np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)]), axis=0)
+            if len(seen) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
+                seen = seen[:0]
             step += 1
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -264,11 +293,16 @@ def crossing(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("sig", "part", "node", "root", "stats").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a > b, as ``stars`` takes them) among pairs (a < b), on whole texts.
 
-    A node's partners come to its text; many partners are dealt to several tasks, each of which gets the text.
+    The text of a node is that of one document (``least``: node and smallest id). A node's partners come to its text; many
+    partners are dealt to several tasks, each of which gets the text.
     """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(least, "node")
+    asked = settle(asked.select(F.col("node").alias("own"), "least"), "set-asked")
+    texts = docs.join(asked, (docs["node"] == asked["own"]) & docs["doc_id"].eqNullSafe(asked["least"]))
+    texts = settle(texts.select("node", "text").dropDuplicates(["node"]), "set-texts")
     loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     dealt = pairs.join(loads, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     owners = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -296,7 +330,7 @@ def open_buckets(shared: DataFrame, roots: DataFrame, stats: DataFrame) -> DataF
     rows = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     mixed_up = rows.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
     mixed_up = mixed_up.filter("least < most").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    rows = rows.join(mixed_up.select("sig", "chunks"), "sig").join(stats, "node")
+    rows = rows.join(mixed_up.select("sig", "chunks"), "sig").join(stats.select("node", F.substring("stats", 1, 68).alias("stats")), "node")
     chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("chunk"))
     met = F.transform(others, lambda i: F.least(i, F.col("chunk")).cast("long") * F.col("chunks") + F.greatest(i, F.col("chunk")))
@@ -308,33 +342,31 @@ def open_buckets(shared: DataFrame, roots: DataFrame, stats: DataFrame) -> DataF
 def near_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (size of the set) and component_id, the smallest id that links reach."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")
-    )
-    rows = settle(keyed.select("doc_id", "h1", "h2"), "set-rows")
-    nodes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
-    named = nodes.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "least", "node")
-    same = (keyed["h1"] == named["n1"]) & (keyed["h2"] == named["n2"]) & keyed["doc_id"].eqNullSafe(named["least"])
-    texts = keyed.join(named, same).select("node", "text")
-
-    found = settle(buckets(signed(texts, words, percent)), "set-buckets")
+    keyed = docs.select("doc_id", text.alias("text"))
+    first, second = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+    twice = keyed.groupBy(first.alias("h")).agg(F.min(second).alias("least"), F.max(second).alias("most")).filter("least < most")
+    twice = [r.h for r in twice.select("h").toLocalIterator()]  # different texts of one hash: none, but for chance
+    keyed = keyed.withColumn("node", F.when(first.isin(twice), second).otherwise(first) if twice else first)
+    rows = settle(keyed.select("doc_id", "node"), "set-rows")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+
+    found = settle(buckets(signed(keyed, words, percent)), "set-buckets")
     stats = found.filter("stats is not null").groupBy("node").agg(F.first("stats").alias("stats"))
     stats = settle(stats, "set-sketches")
     shared = found.filter("first is not null").select("sig", "node", "first")
     pairs = shared.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     pairs = settle(likely(pairs, stats, percent), "set-pairs")
-    links = settle(verified(pairs, texts, words, percent).distinct(), "set-links")
-    crossed = crossing(open_buckets(shared, stars(links), stats), percent).distinct()
-    crossed = settle(crossed.join(pairs, ["a", "b"], "left_anti"), "set-crossing")
-    links = links.unionByName(verified(crossed, texts, words, percent).distinct())
+    links = settle(verified(pairs, keyed, nodes, words, percent).distinct(), "set-links")
+    crossed = settle(crossing(open_buckets(shared, stars(links), stats), percent).distinct(), "set-crossed")
+    crossed = settle(likely(crossed.join(pairs, ["a", "b"], "left_anti"), stats, percent), "set-crossing")
+    links = links.unionByName(verified(crossed, keyed, nodes, words, percent).distinct())
 
     roots = stars(links).select("node", "root")
     size = F.conv(F.hex(F.substring("stats", 1, 4)), 16, 10).cast("bigint")
     known = nodes.join(stats.select("node", size.alias("n_shingles")), "node").join(roots, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("least").alias("component"))
-    known = known.join(least, "root").select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "n_shingles", "component")
-    whole = rows.join(known, (rows["h1"] == known["n1"]) & (rows["h2"] == known["n2"]))
+    component = known.groupBy("root").agg(F.min("least").alias("component"))
+    known = known.join(component, "root").select(F.col("node").alias("own"), "n_shingles", "component")
+    whole = rows.join(known, rows["node"] == known["own"])
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return whole.select("doc_id", "n_shingles", component.alias("component_id"))
