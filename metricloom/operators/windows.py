@@ -10,14 +10,14 @@ from metricloom.functions.text import label
 from metricloom.schemas import WINDOW
 
 
-def extract(anomalies: DataFrame, time_col: str) -> DataFrame:
-    """Fleet, agent and CPU per anomaly; anomalies without a fleet are dropped.
+def extract(anomalies: DataFrame, time_col: str, more: list[str] | None = None) -> DataFrame:
+    """Fleet, agent and CPU per anomaly, and ``more`` columns; anomalies without a fleet are dropped.
 
     One without the time asked for counts at its arrival (at the epoch if that is not known either).
     """
     times = [F.col(c) for c in dict.fromkeys((time_col, "received_at")) if c in anomalies.columns]
     return anomalies.filter(F.col("fleet_id") != "").select(
-        F.coalesce(*times, F.timestamp_micros(F.lit(0))).alias("event_time"), "fleet_id", "agent_id", cpu_or_zero().alias("cpu")
+        F.coalesce(*times, F.timestamp_micros(F.lit(0))).alias("event_time"), "fleet_id", "agent_id", cpu_or_zero().alias("cpu"), *(more or [])
     )
 
 

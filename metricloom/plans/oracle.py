@@ -411,6 +411,19 @@ BODIES: dict[str, str] = {
         SELECT idempotency_key, agent_id, collected_at FROM deliveries
         QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY arrival_seq) = 1""",
     "stream_swept_keys": "SELECT idempotency_key, bucket, arrival_seq FROM slots JOIN chain USING (idempotency_key, bucket)",
+    "fleet_windows_top_label": """
+        SELECT fleet_id, window_start, arg_min(event_type, (-used, event_type)) AS top_label,
+               round(max(used)::DOUBLE / sum(used)::DOUBLE, 9) AS cpu_share, count(*) AS labels
+        FROM (SELECT fleet_id, date_trunc('day', collected_at) AS window_start, event_type,
+                     sum(round_even(cpu0 * 1e6, 0)::BIGINT)::BIGINT AS used
+              FROM flagged WHERE is_anomaly GROUP BY ALL) GROUP BY ALL""",
+    "latency_sketches": """
+        SELECT method, window_start, unnest([0.5, 0.95, 0.99])::DOUBLE AS probability, n, true AS within
+        FROM (SELECT method, date_trunc('day', ended_at) AS window_start, count(duration_s) AS n FROM rpc GROUP BY ALL)""",
+    "stream_region_day_rollup": """
+        SELECT collected_at::DATE::VARCHAR AS window_date, region, fleet_id, count(*) AS anomaly_count,
+               round(avg(cpu0), 9) AS avg_cpu_during_anomalies
+        FROM flagged WHERE is_anomaly GROUP BY ALL""",
     "stream_live_routing": """
         SELECT alert_id, agent_id, triggered_at, subscribed_at FROM routed
         WHERE epoch_us(triggered_at) < (SELECT epoch_ms(max(triggered_at)) * 1000 FROM alert_rows)""",

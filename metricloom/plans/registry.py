@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from metricloom.functions import keys, metrics, text
 from metricloom.operators import alerts as al
-from metricloom.operators import dedup, detect as de, latency, logs, state as st, status, store, windows as wi
+from metricloom.operators import combine, dedup, detect as de, latency, logs, sketches, state as st, status, store, windows as wi
 from metricloom.operators.validate import validate, violations
 from metricloom.plans import tables as t
 from metricloom.schemas import SINK_BUCKETS
 from metricloom.session import fresh_dir, prepare
 from metricloom.sources import alert_feed, frames_json
 from metricloom.sources.store import write_region_days
-from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, live_routing
+from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, live_routing, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -702,3 +702,39 @@ def stream_live_routing(spark, folder):
     with ks.rocksdb(spark):
         rows = _run_to(live_routing.route_live(alerts, events), out)
     return rows.select("alert_id", "agent_id", "triggered_at", "subscribed_at")
+
+
+@query
+def fleet_windows_top_label(spark, folder):
+    """A combiner of the user's own per fleet and day: the event type that used the most CPU."""
+    found = de.anomalies(de.detect(t.frames(spark, folder))).withColumn("kind", F.col("labels")["event_type"])
+    rows = combine.combine_windows(found, combine.TopLabel("kind"), ["kind", "cpu"], "1 day")
+    return rows.withColumn("cpu_share", nine("cpu_share"))
+
+
+@query
+def latency_sketches(spark, folder):
+    """Quantiles per method and day out of stored sketches per minute, and whether they keep the stated rank error."""
+    out = fresh_dir(prepare(spark), "sketches")
+    log = t.rpc_log(spark, folder)
+    sketches.write_sketches(sketches.sketch_log(log), out)
+    days = sketches.merge_sketches(sketches.merge_sketches(sketches.read_sketches(spark, out), "1 hour"), "1 day")
+    found = sketches.sketch_quantiles(days, [0.5, 0.95, 0.99])
+    checked = sketches.rank_errors(found, log, "1 day")
+    within = (F.col("rank_error") <= sketches.RANK_ERROR).alias("within")
+    return checked.select("method", "window_start", "probability", "n", within)
+
+
+@query
+def stream_region_day_rollup(spark, folder):
+    """The rollup by date and region, kept up batch by batch, the last of which comes twice."""
+    out = fresh_dir(prepare(spark), "rollup")
+    found = de.anomalies(de.detect(t.frames(spark, folder, labelled=True)))
+    found = found.select("collected_at", "fleet_id", "labels", "system")
+    stream = t.staged(found, f"{out}/in", "collected_at")
+    rollup.run_rollup(stream, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    first, last = t.time_span(found, "collected_at")
+    again = found.filter((F.unix_micros("collected_at") - first) * 4 >= 3 * (last - first))
+    rollup.merge_batch(again, 3, f"{out}/table")
+    rows = rollup.read_rollup(spark, f"{out}/table").withColumn("window_date", F.col("window_date").cast("string"))
+    return rows.withColumn("avg_cpu_during_anomalies", nine("avg_cpu_during_anomalies"))

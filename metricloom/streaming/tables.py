@@ -57,3 +57,14 @@ def drop_snapshot(spark: SparkSession, path: str, batch_id: int) -> None:
     if batch_id >= 0:
         fs, target = _fs(spark, batch_path(path, batch_id))
         fs.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, path)
+    return fs.exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of the caller's own."""
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
