@@ -1,27 +1,29 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
 Positions are code points, ends exclusive. Spans of the kinds email, ip, card and phone follow fixed rules and are always
-returned (``base``); ``iban`` (mod 97) and ``ssn`` (needs a word nearby that speaks of it) are added when their score
-reaches the threshold. Inputs: null and empty texts have no spans; repeated rows keep a row each; only the id and the text
-are read. The search is linear in the length of a text.
+returned (``base``); ``iban`` (mod 97), ``ssn`` and ``secret`` (a long random string, confirmed by its shape and entropy) are added
+when their score reaches the threshold. For the last two this takes a word nearby that speaks of them. Inputs: null and empty texts have no spans; repeated rows keep a row each; only the id and the text
+are read, so other columns may have any names; very long texts are searched whole. An empty table gives no rows. The search is linear in the length of a text.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 THRESHOLD = 0.5
 #: Characters before a span whose words count as nearby.
 NEAR = 48
 
 # Scores: a match of the pattern alone, what a passed checksum adds, what a fitting or unfitting word nearby adds.
-PATTERN = {"email": 0.8, "ip": 0.5, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.3}
+PATTERN = {"email": 0.8, "ip": 0.5, "card": 0.5, "phone": 0.6, "iban": 0.4, "ssn": 0.3, "secret": 0.0}
 CHECKSUM, FITTING, UNFITTING = 0.4, 0.3, -0.3
 FITTING_WORDS = {
     "email": {"email", "mail", "contact", "write", "address"},
@@ -30,12 +32,14 @@ FITTING_WORDS = {
     "phone": {"phone", "call", "tel", "telephone", "mobile", "fax"},
     "iban": {"iban", "account", "bank", "transfer", "konto"},
     "ssn": {"ssn", "social", "security"},
+    "secret": {"token", "secret", "password", "passwd", "key", "apikey", "credential", "credentials", "auth", "bearer"},
 }
 UNFITTING_WORDS = {
     "ip": {"version", "release", "build"},
     "card": {"order", "invoice", "tracking", "isbn"},
     "phone": {"order", "invoice"},
     "ssn": {"part", "order", "serial"},
+    "secret": {"commit", "checksum", "digest", "sha", "md", "revision"},
 }
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,7 +51,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/=-])")
 WORDS = re.compile(r"[a-z]+")
+#: Bits per character from which a string counts as random; 32 hex digits have about 3.6, words about 3.
+ENTROPY = 3.2
 
 Span = tuple[int, int, str, float]
 
@@ -63,6 +70,16 @@ def mod_97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def random_looking(text: str) -> bool:
+    """Whether a string has the shape of a key: 32 or more hex digits of one case, or digits and letters of both cases; and entropy."""
+    code = text.rstrip("=")
+    lower, upper = any("a" <= c <= "z" for c in code), any("A" <= c <= "Z" for c in code)
+    hexadecimal = len(code) >= 32 and not (lower and upper) and all(c in "0123456789abcdefABCDEF" for c in code)
+    if not DIGIT.search(code) or not (hexadecimal or lower and upper):
+        return False
+    return -sum(n / len(code) * math.log2(n / len(code)) for n in Counter(code).values()) >= ENTROPY
+
+
 def digits_of(text: str) -> str:
     return "".join(DIGIT.findall(text))
 
@@ -115,6 +132,9 @@ def proposed(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span(), False
+    for m in SECRET.finditer(text):
+        if random_looking(m[0]):
+            yield "secret", *m.span(), True
 
 
 def spans(text: str | None) -> list[Span]:

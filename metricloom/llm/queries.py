@@ -205,7 +205,7 @@ def op9_sketches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
-    """Personal data in every text: counts per kind, and all spans."""
+    """Personal data in every text: counts per kind, all spans, and the score of each."""
     found = pii.find_spans(table(spark, folder, "documents"))
 
     def joined(spans: Column) -> Column:
@@ -216,8 +216,15 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.size("spans").cast("long").alias("n_spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
 
 
 def _made_periodic(docs: DataFrame) -> DataFrame:
