@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from metricloom.llm.tables import settle
+from metricloom.llm.tables import settle, unused
 
 WINDOW = 10
 RARE = 3
@@ -205,13 +205,18 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_unnamed: bool = True) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; of rows that share an id only those with such a text go.
 
-    Rows without an id are kept.
+    Rows without an id are kept; with ``keep_unnamed`` false they go as well, told apart by a hash of their text. All columns
+    pass, whatever their names.
     """
-    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    name = F.struct("doc_id", F.col("__h").alias("h")).alias("doc_id")
+    mark = unused(docs)
+    h, bad_id, bad_h = f"{mark}h", f"{mark}bad", f"{mark}bad_h"
+    keyed = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    name = F.struct("doc_id", F.col(h).alias("h")).alias("doc_id")
     bad = contamination(keyed.select(name, "text"), benchmark, window).filter("n_hit > 0")
-    bad = bad.select(F.col("doc_id.doc_id").alias("__bad"), F.col("doc_id.h").alias("__bad_h")).distinct()
-    return keyed.join(bad, (keyed["doc_id"] == bad["__bad"]) & (keyed["__h"] == bad["__bad_h"]), "left_anti").drop("__h")
+    bad = bad.select(F.col("doc_id.doc_id").alias(bad_id), F.col("doc_id.h").alias(bad_h)).distinct()
+    named = bad.filter(F.col(bad_id).isNotNull()) if keep_unnamed else bad
+    same = keyed["doc_id"].eqNullSafe(named[bad_id]) & (keyed[h] == named[bad_h])
+    return keyed.join(named, same, "left_anti").drop(h)

@@ -13,14 +13,15 @@ Without it repeats of one or two lines stay unless a line is long: that is the r
 
 Documents are ordered by id, then by a hash of the text; null ids come first. Rows that are equal in id and text count as
 one document and get the same result. A null text stays null, an empty one empty. Columns other than the id and text are
-passed through; only n_lines and n_removed are replaced.
+passed through, whatever their names; only n_lines and n_removed are replaced. Very long texts and lines are taken whole: their
+windows are rows of their own. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from metricloom.llm.tables import settle
+from metricloom.llm.tables import settle, unused
 
 WINDOW = 3
 LONG_WORDS = 50
@@ -130,21 +131,22 @@ def drop_repeats(
     docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, run_words: int | None = None
 ) -> DataFrame:
     """``docs`` with later copies of runs deleted from ``text``, n_lines (that count) and n_removed."""
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    rows = keyed.select("doc_id", F.col("__h").alias("h"), F.col("text")).filter("text is not null")
+    mark = unused(docs, "n_lines", "n_removed")
+    keyed = docs.withColumn(f"{mark}h", F.xxhash64("text"))
+    rows = keyed.select("doc_id", F.col(f"{mark}h").alias("h"), F.col("text")).filter("text is not null")
     found = repeats(rows, window, long_words, run_words)
     gone = found.select("doc_id", "h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("i"))
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__hash")).agg(F.collect_set("i").alias("__gone"))
-    same = keyed["doc_id"].eqNullSafe(gone["__id"]) & (keyed["__h"] == gone["__hash"])
-    joined = keyed.join(gone, same, "left").withColumn("__lines", F.split("text", "\n", -1))
-    full = F.transform("__lines", lambda x, i: F.when(F.trim(x, F.lit(BLANKS)) != "", i))
-    joined = joined.withColumn("__full", F.filter(full, lambda i: i.isNotNull()))
-    joined = joined.withColumn("__removed", F.transform("__gone", lambda i: F.get("__full", i)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__removed"))
-    text = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    gone = gone.groupBy(F.col("doc_id").alias(f"{mark}id"), F.col("h").alias(f"{mark}hash")).agg(F.collect_set("i").alias(f"{mark}gone"))
+    same = keyed["doc_id"].eqNullSafe(gone[f"{mark}id"]) & (keyed[f"{mark}h"] == gone[f"{mark}hash"])
+    joined = keyed.join(gone, same, "left").withColumn(f"{mark}lines", F.split("text", "\n", -1))
+    full = F.transform(f"{mark}lines", lambda x, i: F.when(F.trim(x, F.lit(BLANKS)) != "", i))
+    joined = joined.withColumn(f"{mark}full", F.filter(full, lambda i: i.isNotNull()))
+    joined = joined.withColumn(f"{mark}removed", F.transform(f"{mark}gone", lambda i: F.get(f"{mark}full", i)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(f"{mark}lines") - 1), F.col(f"{mark}removed"))
+    text = F.array_join(F.transform(kept, lambda i: F.get(f"{mark}lines", i)), "\n")
     joined = joined.withColumns({
-        "n_lines": F.coalesce(F.array_size("__full"), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.array_size("__removed"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("__removed").isNull(), F.col("text")).otherwise(text),
+        "n_lines": F.coalesce(F.array_size(f"{mark}full"), F.lit(0)).cast("long"),
+        "n_removed": F.coalesce(F.array_size(f"{mark}removed"), F.lit(0)).cast("long"),
+        "text": F.when(F.col(f"{mark}removed").isNull(), F.col("text")).otherwise(text),
     })
-    return joined.drop("__h", "__id", "__hash", "__gone", "__lines", "__full", "__removed")
+    return joined.drop(f"{mark}h", f"{mark}id", f"{mark}hash", f"{mark}gone", f"{mark}lines", f"{mark}full", f"{mark}removed")

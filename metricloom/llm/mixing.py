@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from metricloom.llm.ranks import running_sum
+from metricloom.llm.tables import unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -87,13 +88,13 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, cei
     Copies are found on narrow rows and joined back by id and a hash of all columns. Equal rows cannot be told apart,
     so one of them stands for all and comes out with their copies together.
     """
-    names = docs.columns
-    keyed = docs.withColumns({"__row": F.xxhash64(*names), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    names, mark = docs.columns, unused(docs)
+    keyed = docs.withColumns({f"{mark}row": F.xxhash64(*names), f"{mark}id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
     size = words(F.col("text")).alias("size")
-    taken = copies(keyed.select("doc_id", "source", size, F.col("__row").alias("tie"), "__id"), seed, weights, ceiling)
+    taken = copies(keyed.select("doc_id", "source", size, F.col(f"{mark}row").alias("tie"), f"{mark}id"), seed, weights, ceiling)
     # copies of equal rows are summed up a thousand places at a time, so no row has to come out very often
-    parts = taken.groupBy("__id", F.col("tie").alias("__row"), F.floor(F.col("place") / 1000).alias("__part"))
-    parts = parts.agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
-    joined = keyed.dropDuplicates(["__id", "__row"]).join(parts, ["__id", "__row"])
-    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
-    return joined.withColumn("__copy", every).select(*names)
+    parts = taken.groupBy(f"{mark}id", F.col("tie").alias(f"{mark}row"), F.floor(F.col("place") / 1000).alias(f"{mark}part"))
+    parts = parts.agg(F.sum("copies").alias(f"{mark}copies")).filter(F.col(f"{mark}copies") > 0)
+    joined = keyed.dropDuplicates([f"{mark}id", f"{mark}row"]).join(parts, [f"{mark}id", f"{mark}row"])
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{mark}copies")))
+    return joined.withColumn(f"{mark}copy", every).select(*names)

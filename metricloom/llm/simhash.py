@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from metricloom.llm.components import stars
-from metricloom.llm.tables import settle
+from metricloom.llm.tables import settle, unused
 
 SEED = 42
 MASK = (1 << 64) - 1
@@ -219,17 +219,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bands:
     return rows.join(known, "bits").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, keep_unnamed: bool = True) -> DataFrame:
     """One row of each component: the one with the smallest id; of repeated ids within it, one of the smallest text hash.
 
     Rows that share an id but not the text are told apart by the text's hash. Rows without an id are kept, since nothing
-    names them.
+    names them; with ``keep_unnamed`` false they are told apart by the hash as well, and go unless their component has no row
+    with an id (then one stays). All columns pass, whatever their names.
     """
-    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
-    name = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.col("__h").alias("h")))
+    mark = unused(docs)
+    h, own, own_h = f"{mark}h", f"{mark}own", f"{mark}own_h"
+    keyed = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    named = F.col("doc_id").isNotNull()
+    name = F.struct((~named).alias("unnamed"), "doc_id", F.col(h).alias("h"))
+    name = F.when(named, name) if keep_unnamed else name
     found = near_duplicates(keyed.select(name.alias("doc_id"), "text"), shingle, max_bits)
     keep = found.filter(F.col("doc_id") == F.col("component_id"))
-    keep = keep.select(F.col("doc_id.doc_id").alias("__keep"), F.col("doc_id.h").alias("__keep_h")).distinct()
-    same = (keyed["doc_id"] == keep["__keep"]) & (keyed["__h"] == keep["__keep_h"])
-    kept = keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    keep = keep.select(F.col("doc_id.doc_id").alias(own), F.col("doc_id.h").alias(own_h)).distinct()
+    same = keyed["doc_id"].eqNullSafe(keep[own]) & (keyed[h] == keep[own_h])
+    kept = keyed.join(keep, same, "left_semi").dropDuplicates(["doc_id", h]).drop(h)
+    return kept.unionByName(docs.filter(~named)) if keep_unnamed else kept

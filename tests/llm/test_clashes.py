@@ -1,0 +1,61 @@
+"""Columns with the names of helper columns, very long texts, and rows without an id in the cleaning steps."""
+
+import corpus_pipeline
+from metricloom.llm import decontaminate, line_dedup, mixing, shard_tree, simhash
+
+ODD = "doc_id long, text string, source string, __h int, _h int, __row int, __id int, __keep int, __lines int, _amount int, _part int, _own int, __gone int"
+BASE = " ".join(f"w{i}" for i in range(60))
+
+
+def odd(spark, texts):
+    """Rows with the columns of ``ODD``, each number telling its row."""
+    return spark.createDataFrame([(i, t, "s", *[100 * i + k for k in range(10)]) for i, t in enumerate(texts)], ODD)
+
+
+def same_columns(rows, docs):
+    """All rows are rows of ``docs``, column by column."""
+    assert rows.columns[: len(docs.columns)] == docs.columns
+    known = {tuple(r) for r in docs.collect()}
+    found = [tuple(r)[: len(docs.columns)] for r in rows.select(*docs.columns).collect()]
+    assert all(r in known for r in found)
+    return found
+
+
+def test_no_operator_loses_columns(spark):
+    texts = [BASE, BASE + " x", BASE.upper(), "other words " * 30, "", None]
+    docs = odd(spark, texts)
+    single = same_columns(simhash.drop_near_duplicates(docs), docs)
+    assert {r[0] for r in single} == {0, 3, 4}  # null and empty texts are alike
+    items = spark.createDataFrame([(1, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    assert {r[0] for r in same_columns(decontaminate.drop_contaminated(docs, items), docs)} == {3, 4, 5}
+    assert {0, 1, 2, 3} <= {r[0] for r in same_columns(mixing.mix(docs), docs)}
+    assert len(same_columns(shard_tree.assign_shards(docs, ["doc_id"], shard_tree.even_tree(4)), docs)) == 6
+    lines = odd(spark, ["a\nb\nc\nd", "a\nb\nc\ne"])
+    kept = line_dedup.drop_repeats(lines).orderBy("doc_id").collect()
+    assert [(r.text, r.n_removed, r["__h"], r["__gone"]) for r in kept] == [("a\nb\nc\nd", 0, 0, 9), ("e", 3, 100, 109)]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    docs = odd(spark, [long, long + " end", "short text of words", "line\n" * 60_000 + "last"])
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()} == {0, 2, 3}
+    items = spark.createDataFrame([(1, "w149980 w149981 w149982 w149983 w149984 w149985 w149986 w149987 w149988 w149989")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {2, 3}
+    removed = {r.doc_id: r.n_removed for r in line_dedup.drop_repeats(docs).select("doc_id", "n_removed").collect()}
+    assert removed == {0: 0, 1: 0, 2: 0, 3: 59_997}
+    assert mixing.mix(docs).select("doc_id").distinct().count() <= 4
+    assert shard_tree.assign_shards(docs, ["text"], shard_tree.even_tree(4)).count() == 4
+
+
+def test_rows_without_an_id_are_cleaned_too(spark):
+    rows = [(None, BASE), (None, BASE), (5, BASE + " x"), (None, "only here, without an id"), (None, "only here, without an id"), (6, "something else"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    single = simhash.drop_near_duplicates(docs, keep_unnamed=False).collect()
+    assert sorted(((r.doc_id, r.text) for r in single), key=str) == sorted(
+        [(5, BASE + " x"), (6, "something else"), (None, None), (None, "only here, without an id")], key=str
+    )
+    items = spark.createDataFrame([(1, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    clean = decontaminate.drop_contaminated(docs, items, keep_unnamed=False).collect()
+    assert sorted(r.text or "" for r in clean) == ["", "only here, without an id", "only here, without an id", "something else"]
+    whole = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    assert corpus_pipeline.near_duplicates(spark, whole, "").filter("doc_id is null").count() == 2
