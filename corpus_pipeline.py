@@ -1,8 +1,8 @@
 """A corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 Every stage takes and returns the columns of documents; the last adds region, rack and shard. Nulls, empty texts, repeated
-rows and empty tables go through as the operators' docstrings define: rows without an id are never near copies and never
-contaminated, a document without words is not in the mix.
+rows and empty tables go through as the operators' docstrings define: rows without an id are told apart by their text, and are
+deduplicated and decontaminated like all others; a document without words is not in the mix.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.drop_near_duplicates(docs, shingle=4, max_bits=4)
+    """One document of each group of near copies stays, the one with the smallest id, if any has one."""
+    return simhash.drop_near_duplicates(docs, shingle=4, max_bits=4, keep_unnamed=False)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, table(spark, folder, "benchmark"))
+    return decontaminate.drop_contaminated(docs, table(spark, folder, "benchmark"), keep_unnamed=False)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
