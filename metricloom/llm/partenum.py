@@ -256,24 +256,32 @@ def likely(pairs: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
 def crossing(rows: DataFrame, percent: int) -> DataFrame:
     """Likely pairs (a < b) of one bucket (sig, part) whose nodes have different roots; rows come with their sketches, sorted."""
 
+    def distinct(least: list[np.ndarray], most: list[np.ndarray]) -> pa.RecordBatch:
+        """Pairs without repetition: those that are alike meet in many buckets."""
+        a, b = np.concatenate(least), np.concatenate(most)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], ["a", "b"])
+
     def pairs(group: np.ndarray, node: np.ndarray, root: np.ndarray, stats: pa.Array) -> Iterator[pa.RecordBatch]:
         sizes, parities = unpacked(stats)
         ends = np.searchsorted(group, group, "right")
-        at, step, seen = np.arange(len(group)), 1, np.zeros((0, 2), np.int64)
+        at, step, least, most, waiting = np.arange(len(group)), 1, [], [], 0
         while len(at := at[at + step < ends[at]]):
             other = at + step
             apart = root[at] != root[other]
             one, two = at[apart], other[apart]
             fits = possible((sizes[one], sizes[two]), (parities[one], parities[two]), percent)
             one, two = node[one[fits]], node[two[fits]]
-            if len(one):  # a pair meets in many buckets
-                seen = np.unique(np.concatenate([seen, np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)]), axis=0)
-            if len(seen) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
-                seen = seen[:0]
-            step += 1
-        if len(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
+            least.append(np.minimum(one, two))
+            most.append(np.maximum(one, two))
+            waiting, step = waiting + len(one), step + 1
+            if waiting > 1_000_000:
+                yield distinct(least, most)
+                least, most, waiting = [], [], 0
+        if waiting:
+            yield distinct(least, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
