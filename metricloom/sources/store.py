@@ -29,6 +29,11 @@ def write_frames(frames: DataFrame, path: str) -> None:
     _write_clustered(upsert_frames(frames), path)
 
 
+def write_dated(rows: DataFrame, path: str) -> None:
+    """Append store rows as they are, every version of a key, to a store partitioned by date."""
+    _write_clustered(rows, path)
+
+
 def _write_clustered(rows: DataFrame, path: str) -> None:
     """Range partitioning on the (unique) key splits hot agents and dates evenly and gives files with narrow
     key ranges, so the ``agent#`` prefix filter skips files and row groups."""

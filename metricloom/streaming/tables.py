@@ -68,3 +68,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of the caller's own."""
     fs, target = _fs(spark, path)
     fs.delete(target, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder."""
+    fs, target = _fs(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(target)]
