@@ -424,6 +424,9 @@ BODIES: dict[str, str] = {
         SELECT collected_at::DATE::VARCHAR AS window_date, region, fleet_id, count(*) AS anomaly_count,
                round(avg(cpu0), 9) AS avg_cpu_during_anomalies
         FROM flagged WHERE is_anomaly GROUP BY ALL""",
+    "agent_scan_indexed": """
+        SELECT row_key, idempotency_key, round(cpu, 9) AS cpu FROM store
+        WHERE starts_with(row_key, 'agent-8#') ORDER BY row_key LIMIT 20""",
     "retention_in_place": """
         SELECT row_key, idempotency_key, arrival_seq,
                CASE WHEN version = 1 AND fresh_cells THEN round(last_cpu, 9) END AS cpu,

@@ -14,7 +14,7 @@ from metricloom.operators.validate import validate, violations
 from metricloom.plans import tables as t
 from metricloom.schemas import SINK_BUCKETS
 from metricloom.session import fresh_dir, prepare
-from metricloom.sources import alert_feed, frames_json
+from metricloom.sources import agent_index, alert_feed, frames_json
 from metricloom.sources.retention import collect_garbage_in_place
 from metricloom.sources.store import write_dated, write_region_days
 from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, live_routing, redelivery, rollup
@@ -781,3 +781,14 @@ def stream_redelivery(spark, folder):
     parked = spark.read.parquet(f"{out}/tables/parked")
     parked = parked.filter("attempt = 3").select(F.regexp_extract("value", '"alertId":"([^"]*)"', 1).alias("alert_id"), F.lit("parked").alias("outcome"))
     return delivered.unionByName(parked)
+
+
+@query
+def agent_scan_indexed(spark, folder):
+    """The same scan of one agent from the layout by agent, written in two generations."""
+    path = fresh_dir(prepare(spark), "by-agent")
+    rows, seq = dedup.dedup_batch_ttl(t.deliveries(spark, folder)), F.col("arrival_seq")
+    agent_index.write_by_agent(store.upsert_frames(rows.filter(seq % 2 == 0)), path, 0)
+    agent_index.write_by_agent(store.upsert_frames(rows.filter(seq % 2 == 1)), path, 1)
+    found = agent_index.scan_by_agent(spark, path, "agent-8", 20)
+    return found.select("row_key", "idempotency_key", nine("system.cpu_utilization_pct", "cpu"))
