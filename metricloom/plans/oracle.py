@@ -112,6 +112,10 @@ CTES: dict[str, str] = {
     "late_mark": """
         SELECT max(collected_at) FILTER (WHERE part < 2) - INTERVAL 10 MINUTE AS low,
                max(collected_at) - INTERVAL 10 MINUTE AS high FROM late""",
+    "on_time": """
+        SELECT late.* FROM late
+        WHERE part < 3 OR time_bucket(INTERVAL '1 minute', collected_at) + INTERVAL 1 MINUTE
+                          > (SELECT max(collected_at) FILTER (WHERE part < 3 AND is_anomaly) - INTERVAL 10 MINUTE FROM late)""",
     "kept_late": """
         SELECT late.* FROM late, late_mark
         WHERE part < 3 OR time_bucket(INTERVAL '1 minute', collected_at) + INTERVAL 1 MINUTE > low""",
@@ -424,6 +428,12 @@ BODIES: dict[str, str] = {
         SELECT collected_at::DATE::VARCHAR AS window_date, region, fleet_id, count(*) AS anomaly_count,
                round(avg(cpu0), 9) AS avg_cpu_during_anomalies
         FROM flagged WHERE is_anomaly GROUP BY ALL""",
+    "stream_windows_kept": f"""
+        SELECT * FROM ({_windows("on_time", "1 minute")}) WHERE window_end <= (SELECT high FROM late_mark)""",
+    "stream_late_table": """
+        SELECT fleet_id, agent_id, collected_at AS event_time, round(cpu0, 9) AS cpu,
+               time_bucket(INTERVAL '1 minute', collected_at) AS window_start
+        FROM late WHERE is_anomaly AND arrival_seq NOT IN (SELECT arrival_seq FROM on_time)""",
     "agent_scan_indexed": """
         SELECT row_key, idempotency_key, round(cpu, 9) AS cpu FROM store
         WHERE starts_with(row_key, 'agent-8#') ORDER BY row_key LIMIT 20""",

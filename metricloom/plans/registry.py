@@ -17,7 +17,7 @@ from metricloom.session import fresh_dir, prepare
 from metricloom.sources import agent_index, alert_feed, frames_json
 from metricloom.sources.retention import collect_garbage_in_place
 from metricloom.sources.store import write_dated, write_region_days
-from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, live_routing, redelivery, rollup
+from metricloom.streaming import fleet_windows as sw, ingest, keyed_state as ks, late_windows, live_routing, redelivery, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -792,3 +792,24 @@ def agent_scan_indexed(spark, folder):
     agent_index.write_by_agent(store.upsert_frames(rows.filter(seq % 2 == 1)), path, 1)
     found = agent_index.scan_by_agent(spark, path, "agent-8", 20)
     return found.select("row_key", "idempotency_key", nine("system.cpu_utilization_pct", "cpu"))
+
+
+def _late_windows(spark, folder) -> str:
+    """Run the window job that keeps late rows, by the agents' clocks; every 50th event comes in the last of four batches."""
+    out = fresh_dir(prepare(spark), "late-windows")
+    found = de.anomalies(de.detect(t.as_frames(t.staged_events(spark, folder, f"{out}/events", late=50))))
+    late_windows.run_late_windows(found, f"{out}/tables", f"{out}/checkpoint", time_col="collected_at").awaitTermination()
+    return f"{out}/tables"
+
+
+@query
+def stream_windows_kept(spark, folder):
+    """Windows of the job that keeps late rows."""
+    return _windows(spark.read.parquet(f"{_late_windows(spark, folder)}/windows").drop("batch_id"))
+
+
+@query
+def stream_late_table(spark, folder):
+    """What came after its window was closed."""
+    rows = spark.read.parquet(f"{_late_windows(spark, folder)}/late")
+    return rows.select("fleet_id", "agent_id", "event_time", nine("cpu", "cpu"), "window_start")
