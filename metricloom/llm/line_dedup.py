@@ -8,8 +8,10 @@ out, which saves work and does not change the result. Of the others, windows wit
 order of document and place stays, others are deleted; a window that overlaps the first within its document stays. As every
 window is looked at, longer runs go as a whole, with nothing joined pairwise.
 
-With ``run_words`` every run of fewer than ``window`` lines that has so many words together is a window of its own, too.
-Without it repeats of one or two lines stay unless a line is long: that is the rule of the registered query's SQL.
+With ``run_words`` every run of fewer than ``window`` lines that has so many words together is a window of its own, too; the
+registered query takes five words. A run all of whose lines lie in shorter such runs inside it is not stored: if it repeats, so do
+these, and its lines go with them. So a document of ordinary lines stores one row per line. Without ``run_words`` repeats of one
+or two lines stay unless a line is long.
 
 Documents are ordered by id, then by a hash of the text; null ids come first. Rows that are equal in id and text count as
 one document and get the same result. A null text stays null, an empty one empty. Columns other than the id and text are
@@ -19,6 +21,9 @@ windows are rows of their own. An empty table stays empty.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from metricloom.llm.tables import settle, unused
@@ -61,10 +66,25 @@ def fingerprint_places(lines: Column, window: int) -> Column:
     return F.when(F.size(lines) >= window, chosen).otherwise(F.array().cast("array<int>"))
 
 
+def uncovered(lines: Column, start: Column, size: int, run_words: int) -> Column:
+    """Whether a line of the run lies in no shorter run inside it that has ``run_words`` words or more."""
+    n = [F.get(lines, start + j)["n"] for j in range(size)]
+    bare = []
+    for j in range(size):
+        # the longest shorter runs that hold the line have the most words
+        spans = [range(a, a + size - 1) for a in (0, 1) if size > 1 and a <= j < a + size - 1]
+        held = [sum((n[i] for i in span), F.lit(0)) >= run_words for span in spans]
+        bare.append(~reduce(or_, held) if held else F.lit(True))
+    return reduce(or_, bare)
+
+
 def short_runs(lines: Column, size: int, run_words: int) -> Column:
     """The runs of ``size`` lines that have ``run_words`` words or more together, as windows of their own."""
     starts = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size)).otherwise(F.array().cast("array<int>"))
-    enough = F.filter(starts, lambda i: sum(F.get(lines, i + j)["n"] for j in range(size)) >= run_words)
+    enough = F.filter(
+        starts,
+        lambda i: (sum(F.get(lines, i + j)["n"] for j in range(size)) >= run_words) & uncovered(lines, i, size, run_words),
+    )
 
     def run(start: Column) -> Column:
         hash = F.xxhash64(*[F.get(lines, start + j)["h"] for j in range(size)], F.lit("long"))
@@ -94,6 +114,8 @@ def seeds(docs: DataFrame, window: int, long_words: int, run_words: int | None =
             (F.get("places", i) != F.coalesce(F.get("places", i - 1), F.lit(-1))).alias("new"),
         ),
     )
+    if run_words is not None:
+        runs = F.filter(runs, lambda r: uncovered(F.col("lines"), r["start"], window, run_words))
     singles = F.transform(
         F.filter(F.transform("lines", lambda s, i: F.struct(i.alias("i"), s["h"].alias("h"), s["long"].alias("long"))), lambda s: s["long"]),
         lambda s: F.struct(
@@ -104,8 +126,11 @@ def seeds(docs: DataFrame, window: int, long_words: int, run_words: int | None =
             F.lit(True).alias("new"),
         ),
     )
-    short = [] if run_words is None else [short_runs(F.col("lines"), size, run_words) for size in range(1, window)]
-    return rows.select("doc_id", "h", F.inline(F.concat(runs, singles, *short)))
+    if run_words is None:
+        return rows.select("doc_id", "h", F.inline(F.concat(runs, singles)))
+    short = [short_runs(F.col("lines"), size, run_words) for size in range(1, window)]
+    singles = [singles] if run_words > long_words else []  # otherwise long lines are among the short runs
+    return rows.select("doc_id", "h", F.inline(F.concat(runs, *singles, *short)))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, run_words: int | None = None) -> DataFrame:

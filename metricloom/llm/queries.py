@@ -146,8 +146,8 @@ FROM placed
 
 @query
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without the lines that repeat an earlier run."""
-    found = line_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    """Every document without the lines that repeat an earlier run of three lines or of five words."""
+    found = line_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"), run_words=5)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -155,12 +155,17 @@ ORACLE["op1_line_dedup"] = r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, i, lines[i] AS line, trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x
   FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM docs)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM lines WHERE x <> ''),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+  FROM lines WHERE x <> ''),
 runs AS (
   SELECT doc_id, p, 3 AS size, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS run
   FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)
   UNION ALL
-  SELECT doc_id, p, 1, x FROM numbered WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50),
+  SELECT doc_id, p, 2, CASE WHEN n + lead(n) OVER w >= 5 THEN x || chr(10) || lead(x) OVER w END
+  FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+  UNION ALL
+  SELECT doc_id, p, 1, x FROM numbered WHERE n >= 5),
 placed AS (
   SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(p) OVER w AS first_p FROM runs WHERE run IS NOT NULL
   WINDOW w AS (PARTITION BY size, run ORDER BY doc_id, p)),
