@@ -32,11 +32,17 @@ def mark_duplicates(frames: DataFrame) -> DataFrame:
     return mark(frames, frames.groupBy(key).agg(F.min("arrival_seq").alias("arrival_seq")))
 
 
-def mark(frames: DataFrame, winners: DataFrame) -> DataFrame:
-    """Rows that are no winner (key, arrival_seq; each once) are duplicates. Only this narrow table meets the whole rows."""
+def mark(frames: DataFrame, winners: DataFrame, ties: bool = False) -> DataFrame:
+    """Rows that are no winner (key, arrival_seq; each once) are duplicates. Only this narrow table meets the whole rows.
+
+    With ``ties`` rows may share both key and arrival number; then one of them is the winner, at the cost of a sort of all rows.
+    """
     first = winners.select(F.col(KEY).alias("_key"), "arrival_seq", F.lit(True).alias("_first"))
     rows = frames.withColumn("_key", F.coalesce(KEY, F.lit(""))).join(first, ["arrival_seq", "_key"], "left")
-    return rows.withColumn("is_duplicate", F.col("_first").isNull()).drop("_first", "_key")
+    again = F.col("_first").isNull()
+    if ties:
+        again = again | (F.row_number().over(Window.partitionBy("arrival_seq", "_key").orderBy("arrival_seq")) > 1)
+    return rows.withColumn("is_duplicate", again).drop("_first", "_key")
 
 
 def dead_after(ttl: str = DEDUP_TTL, sweep: str = DEDUP_SWEEP) -> int:

@@ -116,6 +116,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
         live = seen if lowest is None else seen.filter(F.col("bucket") >= lowest - lifetime)
         winners = keep(accepted(valid, options.ttl, options.sweep, live))
         checked = keep(detect(_marked(arrived, winners), options.detector))
+        if checked.filter("not is_duplicate").count() > winners.count():  # a source that repeats arrival numbers
+            checked = keep(detect(_marked(arrived, winners, ties=True), options.detector))
         marked = checked.filter(F.size("reasons") == 0).drop("reasons")
         fresh = marked.filter("not is_duplicate")
 
@@ -169,10 +171,10 @@ def ingest_batch(batch: DataFrame, batch_id: int, out: str, options: IngestOptio
             df.unpersist()
 
 
-def _marked(arrived: DataFrame, winners: DataFrame) -> DataFrame:
+def _marked(arrived: DataFrame, winners: DataFrame, ties: bool = False) -> DataFrame:
     """All rows with ``is_duplicate``; rows with reasons can be no winner."""
     valid, bad = arrived.filter(F.size("reasons") == 0), arrived.filter(F.size("reasons") > 0)
-    return mark(valid, winners).unionByName(bad.withColumn("is_duplicate", F.lit(True)))
+    return mark(valid, winners, ties).unionByName(bad.withColumn("is_duplicate", F.lit(True)))
 
 
 def _newest_state(parts: DataFrame) -> DataFrame:
