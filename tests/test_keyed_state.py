@@ -113,3 +113,40 @@ def test_evictions_begin_with_a_state_table(spark, frames, tmp_path):
     write_batches(spark, frames, str(tmp_path / "in"), [[r] for r in rows])
     found = run(spark, lambda s: ks.evictions_stream(detect(s), state=state), str(tmp_path / "in"), str(tmp_path / "out"))
     assert [(r.agent_id, r.evicted_ms - begin) for r in sorted(found)] == [("old", 1_200_000)]
+
+
+def state_rows(spark, rows, out):
+    """Run a stream of one micro-batch; how many rows its state holds, and what it wrote."""
+    with ks.rocksdb(spark):
+        writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+        query = writer.trigger(availableNow=True).start(f"{out}/table")
+        query.awaitTermination()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    return held, spark.read.schema(rows.schema).parquet(f"{out}/table").collect()
+
+
+def test_state_grows_with_shards_and_slots_not_with_keys(spark, frames, tmp_path):
+    """Of 400 keys and agents, half are due before the newest arrival; what is kept is a row, and a timer, per shard and slot."""
+    rows = [frame(agent=f"a{n}", fleet="f", key=f"k{n}", received=n % 2 * 9000, when=n % 2 * 9000.0, cpu=1.0, seq=n) for n in range(400)]
+    write_batches(spark, frames, str(tmp_path / "in"), [rows])
+    stream = spark.readStream.schema(frame_schema("bigint")).parquet(str(tmp_path / "in"))
+    held, found = state_rows(spark, ks.accepted_stream(stream, shards=4), str(tmp_path / "keys"))
+    assert held <= 4 * 3 and sorted(r.arrival_seq for r in found) == list(range(400))
+    held, found = state_rows(spark, ks.evictions_stream(detect(stream), shards=4), str(tmp_path / "agents"))
+    assert held <= 4 * 3 and sorted(r.agent_id for r in found) == sorted(f"a{n}" for n in range(0, 400, 2))
+
+
+def test_keys_of_one_shard_over_batches(spark, frames, tmp_path):
+    """The answer does not depend on the number of shards; arrivals without number or time do not stop the others."""
+    rows = traffic(7)
+    expected = {s for s, dup in simulate(rows).items() if not dup}
+    batches = batches_of(rows, lambda r: frame(key=r[2], received=r[0], when=0.0, seq=r[1]), 5)
+    untimed = list(frame(key="untimed", received=0, when=0.0, seq=9_000))
+    untimed[7] = None
+    unnumbered = list(frame(key="unnumbered", received=rows[-1][0], when=0.0, seq=9_001))
+    unnumbered[8] = None
+    batches[-1] += [tuple(untimed), tuple(unnumbered)]
+    write_batches(spark, frames, str(tmp_path / "in"), batches)
+    found = run(spark, lambda s: ks.accepted_stream(s, shards=1), str(tmp_path / "in"), str(tmp_path / "out"))
+    assert {r.arrival_seq for r in found if r.idempotency_key != "unnumbered"} == expected
+    assert [r.arrival_seq for r in found if r.idempotency_key == "unnumbered"] == [None]
