@@ -11,9 +11,9 @@ in all its pairs; if both are, they give all signatures.) Equal texts are one no
 be equal are found and named by another one. A task signs a text once.
 
 Buckets of equal signatures give candidates. A bucket's nodes are first held against its first node, and what is linked is
-brought together; afterwards only nodes of different components meet, and every such pair of a bucket is looked at. A sketch (parities
-of classes of shingles, which cannot differ in more places than the sets) discards most pairs; the others are verified on
-whole texts. So no link between components is lost, and a large group of copies never makes all its pairs.
+brought together; afterwards only nodes of different components meet, and every such pair of a bucket is looked at, in one of the
+buckets that hold the same nodes. A sketch (parities of classes of shingles, which cannot differ in more places than the sets) discards
+most pairs where they meet, before they become rows; the others are verified on whole texts. So no link between components is lost, and a large group of copies never makes all its pairs.
 
 Words are what stands between ASCII blanks, lower-cased in A-Z. Sets are held as 64-bit hashes of shingles.
 
@@ -39,6 +39,8 @@ WORDS, PERCENT = 5, 80
 HELD = 200_000
 #: Rows of a bucket, or partners of a node, that meet in one task.
 CHUNK = 2048
+#: Bytes of a sketch that go with a node into its buckets; of longer ones only the 512 parities do.
+CARRIED = 2116
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -256,32 +258,36 @@ def likely(pairs: DataFrame, stats: DataFrame, percent: int) -> DataFrame:
 def crossing(rows: DataFrame, percent: int) -> DataFrame:
     """Likely pairs (a < b) of one bucket (sig, part) whose nodes have different roots; rows come with their sketches, sorted."""
 
-    def distinct(least: list[np.ndarray], most: list[np.ndarray]) -> pa.RecordBatch:
-        """Pairs without repetition: those that are alike meet in many buckets."""
-        a, b = np.concatenate(least), np.concatenate(most)
+    def distinct(node: np.ndarray, sketches: list[bytes], sizes: np.ndarray, ones: list[np.ndarray], twos: list[np.ndarray]) -> pa.RecordBatch:
+        """Pairs without repetition, as those that are alike meet in many buckets, that the finer parities do not rule out."""
+        one, two = np.concatenate(ones), np.concatenate(twos)
+        a, b = np.minimum(node[one], node[two]), np.maximum(node[one], node[two])
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], ["a", "b"])
+        a, b, one, two = a[order], b[order], one[order], two[order]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        most = ((100 - percent) * (sizes[one[at]] + sizes[two[at]])).tolist()
+        apart = [(100 + percent) * apart_at_least(sketches[i], sketches[j]) for i, j in zip(one[at].tolist(), two[at].tolist())]
+        kept = at[[x <= y for x, y in zip(apart, most)]]
+        return pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
 
     def pairs(group: np.ndarray, node: np.ndarray, root: np.ndarray, stats: pa.Array) -> Iterator[pa.RecordBatch]:
         sizes, parities = unpacked(stats)
+        sketches = stats.to_pylist()
         ends = np.searchsorted(group, group, "right")
-        at, step, least, most, waiting = np.arange(len(group)), 1, [], [], 0
+        at, step, ones, twos, waiting = np.arange(len(group)), 1, [], [], 0
         while len(at := at[at + step < ends[at]]):
             other = at + step
             apart = root[at] != root[other]
             one, two = at[apart], other[apart]
             fits = possible((sizes[one], sizes[two]), (parities[one], parities[two]), percent)
-            one, two = node[one[fits]], node[two[fits]]
-            least.append(np.minimum(one, two))
-            most.append(np.maximum(one, two))
-            waiting, step = waiting + len(one), step + 1
+            ones.append(one[fits])
+            twos.append(two[fits])
+            waiting, step = waiting + len(ones[-1]), step + 1
             if waiting > 1_000_000:
-                yield distinct(least, most)
-                least, most, waiting = [], [], 0
+                yield distinct(node, sketches, sizes, ones, twos)
+                ones, twos, waiting = [], [], 0
         if waiting:
-            yield distinct(least, most)
+            yield distinct(node, sketches, sizes, ones, twos)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -334,11 +340,16 @@ def verified(pairs: DataFrame, docs: DataFrame, least: DataFrame, words: int, pe
 
 
 def open_buckets(shared: DataFrame, roots: DataFrame, stats: DataFrame) -> DataFrame:
-    """Rows of buckets whose nodes are not all in one component, cut in parts so that every two chunks of a bucket meet."""
+    """Rows of buckets whose nodes are not all in one component, cut in parts so that every two chunks of a bucket meet.
+
+    Of buckets that hold the same nodes, as those of two similar sets mostly do, one is taken.
+    """
     rows = shared.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    mixed_up = rows.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
-    mixed_up = mixed_up.filter("least < most").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    rows = rows.join(mixed_up.select("sig", "chunks"), "sig").join(stats.select("node", F.substring("stats", 1, 68).alias("stats")), "node")
+    mixed_up = rows.groupBy("sig").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("held"), F.bit_xor(F.xxhash64(F.lit("held"), "node")).alias("held_too"))
+    mixed_up = mixed_up.filter("least < most").groupBy("n", "held", "held_too").agg(F.min("sig").alias("sig")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    carried = F.when(F.octet_length("stats") <= CARRIED, F.col("stats")).otherwise(F.substring("stats", 1, 68)).alias("stats")
+    rows = rows.join(mixed_up.select("sig", "chunks"), "sig").join(stats.select("node", carried), "node")
     chunk = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("chunk"))
     met = F.transform(others, lambda i: F.least(i, F.col("chunk")).cast("long") * F.col("chunks") + F.greatest(i, F.col("chunk")))
