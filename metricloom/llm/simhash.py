@@ -191,12 +191,15 @@ def links(
 
     A bucket is one band key. A bucket of more than ``bucket_rows`` rows is dealt into chunks, and every two chunks
     meet in a task of their own, so no task holds more than two chunks and every pair still meets.
+
+    Sizes of buckets are joined by a merge: Spark does not count the rows that ``explode`` adds, would send them to the driver and
+    broadcast them, and does not go back on that when it sees how many they are, since a merge has one exchange more.
     """
     if not max_bits < bands <= 64:
         raise ValueError("bands must be more than max_bits and at most 64")
     keyed = prints.select("bits", F.explode(band_keys(F.col("bits"), bands, max_bits)).alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = keyed.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("n") / bucket_rows).cast("int"))
+    rows = keyed.join(sizes.hint("merge"), "bucket").withColumn("chunks", F.ceil(F.col("n") / bucket_rows).cast("int"))
     chunk = F.pmod(F.xxhash64("bits", F.lit("chunk")), F.col("chunks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("chunk"))
     met = F.transform(others, lambda i: F.least(i, F.col("chunk")).cast("long") * F.col("chunks") + F.greatest(i, F.col("chunk")))
@@ -208,15 +211,18 @@ def links(
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bands: int = 7, pivots: int = 16) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
+    """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach.
+
+    Tables of a row per document or link are joined by merges: files of numbers are many times smaller than a broadcast of them.
+    """
     rows = settle(fingerprints(docs, shingle), "simhash")
     groups = settle(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "simhash-groups")
     roots = stars(links(groups, max_bits, bands, pivots)).select(F.col("node").alias("bits"), "root")
-    known = groups.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    known = groups.join(roots.hint("merge"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     named = known.groupBy("root").agg(F.min("first").alias("component_id"))
     known = known.join(named, "root").select("bits", "component_id")
     text = F.lower(F.lpad(F.hex("bits"), 16, "0"))
-    return rows.join(known, "bits").select("doc_id", text.alias("fingerprint"), "component_id")
+    return rows.join(known.hint("merge"), "bits").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, keep_unnamed: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from metricloom.llm import simhash
+from metricloom.llm.tables import settle
 
 
 def brute(text, size=4):
@@ -125,3 +126,13 @@ def test_one_id_with_different_texts(spark):
     rows = [(3, near), (7, near.upper()), (7, clean), (9, other), (9, "x y z w v u"), (9, other)]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(kept.collect()) == sorted([(3, near), (7, clean), (9, other), (9, "x y z w v u")])
+
+
+def test_tables_of_a_row_per_key_or_document_are_not_broadcast(spark):
+    """Their estimated size leaves out what explode adds and what files save; the adaptive plan does not undo such a broadcast."""
+    small = settle(spark.range(20).select(F.col("id").alias("bits")), "prints")  # far below the threshold
+    plan = simhash.links(small)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    docs = spark.createDataFrame([(i, f"a b c {i}") for i in range(20)], "doc_id long, text string")
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 3  # the join with the roots comes twice
