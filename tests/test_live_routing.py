@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from conftest import at, frame
 
 from metricloom.operators.alerts import route_alerts
@@ -76,3 +78,90 @@ def test_ingest_sees_who_subscribes_later(spark, frames, tmp_path):
         spark.createDataFrame([("b", "f1", at(50))], kinds).write.mode("append").parquet(path)
     routed = spark.read.parquet(f"{out}/routed")
     assert {(r.agent_id, r.batch_id) for r in routed.collect()} == {("a", 0), ("a", 1), ("b", 1)}
+
+
+class Store(dict):
+    """A state variable and its handle, in memory."""
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return self[()]
+
+    def update(self, value):
+        self[()] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def getMapState(self, *_):
+        self.pieces = Store()
+        return self.pieces
+
+    def getValueState(self, *_):
+        return Store()
+
+    def registerTimer(self, at_ms):
+        self[at_ms] = None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def one_by_one(rows):
+    current, out = {}, set()
+    for agent, when, kind, payload in sorted(rows, key=lambda r: r[1:3]):
+        if kind != lr.ALERT:
+            current[agent] = when if kind == lr.BEGIN else None
+        elif current.get(agent) is not None:
+            out.add((payload, current[agent]))
+    return out
+
+
+def test_a_shard_of_many_agents_routes_as_one_by_one(monkeypatch):
+    """Rows come in disorder, in pieces of three, with a null agent and equal times; a piece that begins later stays closed."""
+    monkeypatch.setattr(lr, "PIECE", 3)
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        kind = rng.choice((lr.END, lr.BEGIN, lr.ALERT, lr.ALERT))
+        rows.append((rng.choice(("a", "b", "c", None)), rng.randrange(120) * 500, kind, f"p{i}" if kind == lr.ALERT else None))
+    routes, handle, out = lr.LiveRoutes(), Store(), []
+    routes.init(handle)
+    for batch in range(6):  # a row waits for two batches at most
+        mine = [r for r in rows if r[1] // 10_000 == batch]
+        parts = [pd.DataFrame(mine[i::2], columns=["agent_id", "at", "kind", "payload"]) for i in range(2)]
+        out += [r for part in routes.handleInputRows((0,), iter(parts), Clock(10 * batch - 5)) for r in part.itertuples(index=False)]
+        assert handle.pieces and all(key[0] >= (10 * batch - 5) * 1000 for key in handle.pieces)
+        assert sum(len(lr.unpack(packed)) for packed, in handle.pieces.values()) < 2 * len(mine)
+    timers = len(handle)
+    out += [r for part in routes.handleExpiredTimer((0,), Clock(100), None) for r in part.itertuples(index=False)]
+    assert not handle.pieces and len(handle) == timers
+    assert {tuple(r) for r in out} == one_by_one(rows) and len(out) == len({r[0] for r in out}) > 30
+    assert list(routes.handleExpiredTimer((0,), Clock(100), None)) == []
+
+
+def test_state_is_by_shard_not_by_agent(spark, tmp_path):
+    agents = [f"a{i}" for i in range(150)]
+    spark.createDataFrame([(a, at(1), lr.BEGIN) for a in agents], EVENTS).coalesce(1).write.parquet(str(tmp_path / "events"))
+    rows = [(f"x{a}", a, at(2), 1, "") for a in agents] + [("end", "nobody", at(90), 0, None), ("none", "a1", None, 1, "")]
+    spark.createDataFrame(rows, ALERTS).coalesce(1).write.parquet(str(tmp_path / "alerts"))
+    alerts, events = (spark.readStream.schema(k).parquet(str(tmp_path / n)) for n, k in (("alerts", ALERTS), ("events", EVENTS)))
+    with ks.rocksdb(spark):
+        routed = lr.route_live(alerts, events, salts=2, shards=3).writeStream.format("parquet")
+        query = routed.option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(agents)
+    kept = [operator["numRowsTotal"] for progress in query.recentProgress for operator in progress["stateOperators"]]
+    assert 0 < max(kept) <= 20
