@@ -51,3 +51,10 @@ def test_odd_rows_go_through(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER)
         assert docs.select(F.count("*")).first()[0] <= 3 * len(given)
+
+
+def test_near_duplicates_do_not_broadcast_a_row_per_document(spark):
+    """Documents, fingerprints and links are joined by merges, however small their files are; what is kept may be sized as it is shuffled."""
+    docs = spark.createDataFrame([(i, f"a b c {i}", "en", "web", 7) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    plan = corpus_pipeline.near_duplicates(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 3  # documents with components; fingerprints with their roots, twice
